@@ -6,6 +6,7 @@ from . import op08_quality_rules, op10_url_rules
 from .op01_near_dedup import op1_near_dedup
 from .op02_toxicity import op2_toxicity
 from .op03_decontaminate import op3_decontaminate
+from .op04_paragraphs import op4_paragraphs
 from .op05_suffix_dedup import op5_suffix_dedup
 from .op06_token_orc import op6_token_orc
 from .op07_mixing import op7_mixing
@@ -15,7 +16,7 @@ from .op10_url_rules import op10_url_rules as _op10
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_decontaminate, op5_suffix_dedup, op6_token_orc, op7_mixing, op8_quality_rules, op9_line_chunks, _op10)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_toxicity, op3_decontaminate, op4_paragraphs, op5_suffix_dedup, op6_token_orc, op7_mixing, op8_quality_rules, op9_line_chunks, _op10)}
 
 
 def oracle_sql() -> dict[str, str]:
