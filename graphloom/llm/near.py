@@ -91,11 +91,11 @@ def _signatures(c: NearConfig):
                 total = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1]),
+                        batch.column(0).slice(at, len(sets)), batch.column(2).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(total[:, 0]), pa.array(total[:, 1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, c.bands, dtype=np.int32)), pa.array(keys.ravel())),
                         pa.array([x.tobytes() for x in odd], pa.binary()),
                     ],
-                    ["uid", "n_shingles", "d1", "d2", "bands", "sketch"],
+                    ["uid", "version", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     return run
@@ -226,16 +226,16 @@ def _confirm(c: NearConfig):
 
 
 def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
-    """(row, uid, n_shingles, node, component) for each row of docs (uid long, text string).
+    """(row, uid, version, n_shingles, node, component) for each row of docs (uid long, text string).
 
-    row numbers the rows; node is the smallest row with the same shingle set; component the smallest node that links
+    row numbers the rows; version is the text's xxhash64; node is the smallest row with the same shingle set; component the smallest node that links
     reach. Both are null where the text has no words. A null text counts as empty; rows may repeat a uid.
     """
     docs = docs.toDF("uid", "text")
-    sig = scratch.keep(docs.mapInArrow(_signatures(c), "uid long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
+    sig = scratch.keep(docs.withColumn("version", F.xxhash64("text")).mapInArrow(_signatures(c), "uid long, version long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sig.where("n_shingles > 0")
     classes = some.groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("node"))
-    rows = scratch.keep(sig.select("row", "uid", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left"), "classes")
+    rows = scratch.keep(sig.select("row", "uid", "version", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left"), "classes")
     reps = sig.join(rows.where("node = row").select("row"), "row", "left_semi")
 
     buckets = reps.select("row", F.posexplode("bands").alias("band", "key"))
@@ -275,5 +275,5 @@ def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
     found = confirmed(compared(tiles, False), "open")
     joint = found.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
     second = components(scratch, joint.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")))
-    label = rows.select("row", "uid", "n_shingles", "node").join(first.toDF("node", "c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
-    return label.join(second.toDF("c1", "c2"), "c1", "left").select("row", "uid", "n_shingles", "node", F.coalesce("c2", "c1").alias("component"))
+    label = rows.select("row", "uid", "version", "n_shingles", "node").join(first.toDF("node", "c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
+    return label.join(second.toDF("c1", "c2"), "c1", "left").select("row", "uid", "version", "n_shingles", "node", F.coalesce("c2", "c1").alias("component"))

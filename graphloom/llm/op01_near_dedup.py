@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import Scratch, table
 from .near import NearConfig, near_groups
 
 
 def near_dedup(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, kept) for each row of docs (doc_id long, text string).
+    """(row, version, doc_id, n_shingles, component_id, kept) for each row of docs (doc_id long, text string).
 
     Nulls and texts without words have empty sets: they link with nothing, are their own component and are kept.
     Repeated rows are linked like any equal texts; one row of each component is kept, the first of those with the
@@ -19,11 +18,12 @@ def near_dedup(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near")
     found = scratch.keep(near_groups(scratch, docs.select("doc_id", "text"), config or NearConfig()), "groups")
-    # equal components meet after a count for each task, so that a large group costs its tasks and not one task
-    head = found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("uid").isNull().alias("none"), "uid", "row")).alias("first"))
+    # written apart from the join below, so that Spark can split a large component's rows there
+    head = scratch.keep(found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("uid").isNull().alias("none"), "uid", "row")).alias("first")), "heads")
     out = found.join(head, "component", "left")
     return out.select(
         "row",
+        "version",
         F.col("uid").alias("doc_id"),
         F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("uid")).otherwise(F.col("first.uid")).alias("component_id"),
@@ -32,14 +32,16 @@ def near_dedup(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
-    """docs with one row of each near-duplicate group, columns as they were."""
-    verdict = near_dedup(docs, config).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    # of rows with one doc_id as many stay as were kept; ids are unique in documents, so there it is one of one
-    order = W.partitionBy("doc_id").orderBy("text")
-    ranked = docs.withColumn("__k", F.row_number().over(order)).join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return ranked.where(F.col("__k") <= F.col("__n")).select(*docs.columns)
+    """docs with one row of each near-duplicate group, columns as they were; rows equal in doc_id and text count as one."""
+    scratch = Scratch(docs.sparkSession, "one")
+    verdict = scratch.keep(near_dedup(docs, config).select("row", "doc_id", "version", "kept"), "verdict")
+    kept = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__v")).distinct()
+    out = docs.withColumn("__version", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__v")), "left_semi")
+    if not verdict.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "__version"])
+    return out.select(*docs.columns)
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return near_dedup(docs, NearConfig(width=4)).drop("row")
+    return near_dedup(docs, NearConfig(width=4)).drop("row", "version")
