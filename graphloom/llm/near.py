@@ -245,9 +245,12 @@ def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
     wanted = rows.where("node = row").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("uid").alias("u"), "d1", "d2")
     sets = scratch.keep(docs.join(wanted, F.col("uid").eqNullSafe(F.col("u"))).select("node", "text", "d1", "d2").mapInArrow(_sets(c), "node long, shingles binary"), "sets", "none")
 
+    used = [sig, members, sketches, sets]
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
         pairs = scratch.keep(pairs.distinct(), f"pairs-{name}")
+        used.append(pairs)
         return scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(c), "a long, b long"), f"links-{name}")
 
     def compared(tiles: DataFrame, forest: bool) -> DataFrame:
@@ -275,5 +278,6 @@ def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
     found = confirmed(compared(tiles, False), "open")
     joint = found.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
     second = components(scratch, joint.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")))
+    scratch.drop(*used)
     label = rows.select("row", "uid", "version", "n_shingles", "node").join(first.toDF("node", "c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
     return label.join(second.toDF("c1", "c2"), "c1", "left").select("row", "uid", "version", "n_shingles", "node", F.coalesce("c2", "c1").alias("component"))

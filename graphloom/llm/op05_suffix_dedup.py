@@ -231,9 +231,10 @@ def repeated_spans(docs: DataFrame, config: SuffixConfig | None = None) -> DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     versioned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     found = scratch.keep(versioned.mapInArrow(_anchor_rows(c), "hash long, doc_id long, version long, at long"), "anchors")
-    twice = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # written apart from the join, so that Spark can split a hot anchor's rows there
+    twice = scratch.keep(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     again = scratch.keep(found.join(twice, "hash", "left_semi").groupBy("doc_id", "version").agg(F.collect_list("at").alias("at")), "again")
-    scratch.drop(found)
+    scratch.drop(found, twice)
     again = again.withColumnsRenamed({"doc_id": "d", "version": "v"})
     rows = versioned.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("doc_id", "version", "text", "at")
     runs = scratch.keep(rows.sortWithinPartitions("doc_id", "version").mapInArrow(_sorted_runs(c, parts), _RUNS), "runs")
