@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,9 +159,13 @@ def _within(first, last, a: int, b: int, k: int):
 
 def _evidence(c: ToxicConfig, costs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text, toxic) as (term, context, toxic), once for each document: its least context, the hash of both neighbours. Copies of a document have equal rows, which count once."""
+        """Rows (text, toxic) as (term, context, toxic), once for each document: its least context.
+
+        A word's context is the hash of both neighbours, a beginning's is the whole word: copies of a document have equal
+        rows, which count once, and a beginning needs several words behind it.
+        """
         model = costs.tolist()
-        cache: dict[int, list[str]] = {}
+        cache: dict[int, list[tuple[str, int | None]]] = {}
         for batch in batches:
             column, label = texts(batch.column(0)), batch.column(1).to_pylist()
             for lo, hi in steps(column):
@@ -175,10 +180,11 @@ def _evidence(c: ToxicConfig, costs: np.ndarray):
                     for w in range(int(first[k]), int(last[k])):
                         if (found := cache.get(names[w])) is None:
                             token = raw[starts[w] : ends[w]].decode("utf-8", "replace").lower()
-                            found = cache[names[w]] = [t for x in readings(token, model)[:1] for t in terms(x, c)]
-                        for t in found:
-                            if context[w] < least.get(t, 1 << 63):
-                                least[t] = context[w]
+                            found = cache[names[w]] = [(t, None if t[0] == "=" else xxhash.xxh64_intdigest(x) - (1 << 63)) for x in readings(token, model)[:1] for t in terms(x, c)]
+                        for t, whole in found:
+                            at = context[w] if whole is None else whole
+                            if at < least.get(t, 1 << 63):
+                                least[t] = at
                     out += [(t, x, label[lo + k]) for t, x in least.items()]
                 if len(cache) > c.cache_words:
                     cache.clear()
