@@ -80,6 +80,14 @@ def _children(component: dict) -> Iterator[tuple[str, int, dict]]:
             yield from ((key, i, x) for i, x in enumerate(value) if isinstance(x, dict) and isinstance(x.get("id"), str))
 
 
+def _linked(path: str, kind: str, id_: str, parent: str | None, reference, at: str, seq: int) -> Iterator[tuple]:
+    """A record with the file that a reference names, or a diagnostic."""
+    if target := resolved(reference, path) if isinstance(reference, str) else None:
+        yield path, kind, id_, parent, reference, target, at, seq
+    else:
+        yield path, "diagnostic", id_, parent, "UNRESOLVED_REFERENCE", str(reference), at, seq
+
+
 def _page(path: str, doc: dict) -> Iterator[tuple]:
     for i, x in enumerate(doc.get("params") or []):
         yield path, "param", x.get("id"), None, x.get("name"), _scalar(x.get("value")), f"params[{i}]", i
@@ -100,7 +108,7 @@ def _page(path: str, doc: dict) -> Iterator[tuple]:
         seen.add(cid)
         yield path, "component", cid, parent, comp.get("type"), comp.get("dataSet") or comp.get("source"), at, seq
         if comp.get("resPath"):
-            yield path, "embeds", cid, None, None, comp["resPath"], at, seq
+            yield from _linked(path, "embeds", cid, None, comp["resPath"], at, seq)
         if comp.get("submitField"):
             yield path, "submit_field", cid, None, None, _scalar(comp["submitField"]), at, seq
         for name in (*ALWAYS_EXPRESSION, *MAYBE_EXPRESSION):
@@ -114,7 +122,7 @@ def _page(path: str, doc: dict) -> Iterator[tuple]:
                 if a.get(name):
                     yield path, "action_condition", aid, cid, name, _scalar(a[name]), f"{where}.{name}", i
             if a.get("path"):
-                yield path, "action_path", aid, cid, None, a["path"], where, i
+                yield from _linked(path, "action_path", aid, cid, a["path"], where, i)
             for x in a.get("fieldValues") or []:
                 yield path, "field_value", aid, cid, x.get("name"), _scalar(x.get("value")), where, i
             for x in a.get("data") or []:
@@ -189,11 +197,6 @@ def _ids(rows: DataFrame) -> dict:
     return {"comp": comp, "action": action, "page": F.concat(F.lit("page:"), "path"), "model": F.concat(F.lit("model:"), F.col("id"))}
 
 
-@F.udf("string")
-def _resolve(reference: str, page: str):
-    return resolved(reference, page) if reference else None
-
-
 def graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of walked documents. Edges whose ends don't exist are left out by a join at the end, once all nodes are known."""
     i = _ids(rows)
@@ -223,8 +226,7 @@ def graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     cond_id = F.concat(F.lit("cond:"), "path", F.lit("|"), F.col("id"), F.lit("#"), F.col("name"), F.lit("#0"))
     act_conds = of("action_condition")
     act_cond_id = F.concat(F.lit("cond:"), "path", F.lit("|"), F.col("parent"), F.lit("#"), F.col("id"), F.lit("#"), F.col("name"))
-    links = of("action_path").withColumn("target", _resolve("value", "path"))
-    embeds = of("embeds").withColumn("target", _resolve("value", "path"))
+    links, embeds = of("action_path"), of("embeds")
     inputs = of("depends").select("path", "id", "value").unionByName(of("df_node").where("value IS NOT NULL").select("path", stem(F.col("path")).alias("id"), "value")).withColumn("input", stem(F.col("value"))).distinct()
     params = lambda kind: of(kind).where("name IS NOT NULL")
     param = F.concat(F.lit("param:"), F.col("name"))
@@ -263,8 +265,8 @@ def graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         edge(acts.where(action_type.isin(*LOADS)), i["action"], model, "ActionLoadsData", operation=verbs(LOADS)[action_type]),
         edge(acts.where(action_type == "validateData"), i["action"], model, "ActionValidates", operation=F.lit("validate")),
         edge(values.where(F.col("action_type").isin(*WRITES)), i["action"], F.concat(F.lit("field:"), "model", F.lit("."), "name"), "FieldWrite", F.col("name"), verbs(WRITES)[F.col("action_type")]),
-        edge(links.where("target IS NOT NULL"), i["action"], F.concat(F.lit("page:"), "target"), "ActionNavigates"),
-        edge(embeds.where("target IS NOT NULL"), i["comp"], F.concat(F.lit("page:"), "target"), "EmbedsPage"),
+        edge(links, i["action"], F.concat(F.lit("page:"), "value"), "ActionNavigates"),
+        edge(embeds, i["comp"], F.concat(F.lit("page:"), "value"), "EmbedsPage"),
         edge(params("passed_param"), i["action"], param, "PassesParam"),
         edge(params("set_param"), i["action"], param, "ActionSetsParam"),
         edge(of("action_target"), i["action"], F.concat(F.lit("comp:"), "path", F.lit("|"), F.col("value")), "ActionControlsComponent"),
