@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import dataflow, lookup, neighbours, ranking, rules
 from graphloom.operators import traversal as tr
@@ -148,3 +149,25 @@ def test_references_to_files(text, page, out):
 def test_prefix_ancestors(spark):
     rows = spark.createDataFrame([("p", "a", "canvas"), ("p", "b", "canvas.components[1]"), ("p", "c", "canvas.components[10]"), ("p", "d", "canvas.components[1].actions[0]"), ("q", "e", "canvas.x")], "page string, id string, json_path string")
     assert {tuple(r) for r in tr.prefix_ancestors(rows).collect()} == {("b", "a"), ("c", "a"), ("d", "a"), ("d", "b")}
+
+
+def test_store(spark, tmp_path):
+    from graphloom.sources import store
+
+    path = f"file://{tmp_path}/edges"
+    rows = spark.createDataFrame([(f"f{i % 9}", f"a{i}") for i in range(60)], "origin_file string, src string")
+    store.save(rows, path)
+    assert store.load(spark, path).count() == 60 and store.load(spark, path, ["f3"]).count() == rows.where("origin_file = 'f3'").count()
+    store.replace(spark, path, ["f3", "f4", "f99"], spark.createDataFrame([("f3", "new")], rows.schema))
+    expected = rows.where("origin_file NOT IN ('f3', 'f4')").unionByName(spark.createDataFrame([("f3", "new")], rows.schema))
+    assert rules.multiset_difference(store.load(spark, path), expected).isEmpty()
+
+
+def test_drawing_and_budgets(spark):
+    from graphloom.operators import explain
+
+    n = spark.createDataFrame([("page:a",), ("model:b",)], "id string")
+    e = edges(spark, [("page:a", "model:b", "Reads")])
+    assert explain.echarts(n, e)["links"] == [{"source": "page:a", "target": "model:b", "value": "Reads"}]
+    row = spark.range(1).selectExpr("sequence(1, 30) AS a").select(*[explain.budgeted(F.col("a"), b).alias(b) for b in ("compact", "normal", "full")]).first()
+    assert [len(row[b]) for b in ("compact", "normal", "full")] == [5, 20, 30]
