@@ -16,7 +16,7 @@ from .common import joined, steps, table, texts
 
 @dataclass(frozen=True)
 class LeakConfig:
-    edits_percent: int = 5  #: error budget of an item, in hundredths of its normalised length
+    edits_percent: int = 8  #: error budget of an item, in hundredths of its normalised length
     block_bytes: int = 2 << 20  #: benchmark text that one pass over the documents looks for; more items take more passes
 
 

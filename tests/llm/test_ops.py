@@ -14,7 +14,7 @@ from graphloom.llm.components import components
 from graphloom.llm.near import NearConfig
 from graphloom.llm.op01_near_dedup import near_dedup, one_of_each
 from graphloom.llm.op02_toxicity import ToxicConfig, character_model, readings, toxicity
-from graphloom.llm.op03_decontaminate import contaminated, leaks, myers, normalise, pieces
+from graphloom.llm.op03_decontaminate import LeakConfig, contaminated, leaks, myers, normalise, pieces
 from graphloom.llm.op04_paragraphs import repeated_paragraphs
 from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
@@ -163,14 +163,14 @@ def test_decontamination(spark):
         expected = {}
         for k, item in items:
             p = normalise(item)
-            if p and (d := brute.edit_inside(p, b" " + normalise(text) + b" ")) <= len(p) * 5 // 100:
+            if p and (d := brute.edit_inside(p, b" " + normalise(text) + b" ")) <= len(p) * LeakConfig().edits_percent // 100:
                 expected[k] = d
         assert got[i].keys() == expected.keys(), i
     assert sum(map(bool, got.values())) > 5
     assert contaminated(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     none = contaminated(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.where(F.size("item_ids") > 0).count() == 0
-    small = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), __import__("graphloom.llm.op03_decontaminate", fromlist=["LeakConfig"]).LeakConfig(block_bytes=300))
+    small = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), LeakConfig(block_bytes=300))
     assert {r.doc_id: set(r.item_ids) for r in small.collect()} == {i: set(x) for i, x in got.items()}
     assert leaks(b" nothing ", [(1, normalise("abc def"))], 5) == {}
 
