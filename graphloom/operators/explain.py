@@ -119,3 +119,62 @@ def echarts(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, most_edge
     links = visual_cut(nodes, edges, most_nodes, most_edges).collect()
     ids = sorted({x for r in links for x in (r.src, r.dst)})
     return {"type": "graph", "data": [{"id": x, "category": x.split(":", 1)[0]} for x in ids], "links": [{"source": r.src, "target": r.dst, "value": r.edge_type} for r in links]}
+
+
+def page_scoped_models(edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(page, model, score): models that a page means by its own data: 100 one that it touches, 20 less for each step along dataflow inputs."""
+    from .traversal import reach
+
+    tree = page_subtree(edges)
+    own = edges.where("dst LIKE 'model:%'").join(tree, F.col("src") == F.col("node")).select(F.col("page").alias("target"), F.col("dst").alias("node")).distinct()
+    inputs = edges.where("edge_type = 'DataflowInput'").select("src", "dst").distinct()
+    return reach(own, inputs, hops).select(F.col("target").alias("page"), F.col("node").alias("model"), (100 - 20 * F.col("depth")).alias("score"))
+
+
+def answer_facts(nodes: DataFrame, edges: DataFrame, conditions: DataFrame, shown: int = 3) -> DataFrame:
+    """(id, display, value_source, writer, action): the first facts of each block about every component that has any."""
+    facts = conditions.where("effect_type = 'Show'").select(F.col("owner_id").alias("id"), F.lit("display").alias("block"), F.col("id").alias("fact"))
+    for block, kind in (("value_source", "Reads"), ("writer", "Writes"), ("action", "Triggers")):
+        facts = facts.unionByName(edges.where((F.col("edge_type") == kind) & F.col("src").startswith("comp:")).select(F.col("src").alias("id"), F.lit(block).alias("block"), F.col("dst").alias("fact")))
+    top = facts.withColumn("k", F.row_number().over(W.partitionBy("id", "block").orderBy("fact"))).where(F.col("k") <= shown)
+    of = lambda b: F.array_join(F.array_sort(F.collect_list(F.when(F.col("block") == b, F.col("fact")))), ",").alias(b)
+    return top.groupBy("id").agg(*[of(b) for b in ("display", "value_source", "writer", "action")])
+
+
+# The blocks that must answer a question, and those that must not stand for an answer.
+CONTRACT = {"display": (("display",), ("writer",)), "value_source": (("value_source",), ("display",)), "writer": (("writer", "action"), ("display",)), "availability": (("display", "value_source"), ())}
+
+
+def completion(intent: str, facts: DataFrame) -> DataFrame:
+    """(id, status): complete if every block that a question needs has facts, partial if some have, else missing."""
+    needed = [F.col(b) != "" for b in CONTRACT[intent][0]]
+    every, some = needed[0], needed[0]
+    for x in needed[1:]:
+        every, some = every & x, some | x
+    return facts.select("id", F.when(every, "complete").when(some, "partial").otherwise("missing").alias("status"))
+
+
+def advice(target: str, known: bool) -> list[str]:
+    """Questions to ask next about an id."""
+    if not known:
+        return [f"find {target.split(':', 1)[-1]}"]
+    kind = target.split(":", 1)[0]
+    more = {"page": "relations", "model": "lineage", "comp": "conditions", "action": "flows", "field": "lineage", "cond": "owners"}
+    return [f"explain {target}", f"{more.get(kind, 'context')} {target}"]
+
+
+def shrunk(answer: dict, peripheral: list[str], most: int) -> dict:
+    """An answer whose JSON text has at most so many bytes, as far as cutting its peripheral lists to 8, 5, 3, 2 and 1 items can make it so."""
+    import json
+
+    out = dict(answer)
+    for n in (8, 5, 3, 2, 1):
+        if len(json.dumps(out, ensure_ascii=False).encode()) <= most:
+            break
+        for key in peripheral:
+            if isinstance(out.get(key), list) and len(out[key]) > n:
+                out[key] = out[key][:n]
+                out.setdefault("truncated", [])
+                if key not in out["truncated"]:
+                    out["truncated"] = [*out["truncated"], key]
+    return out

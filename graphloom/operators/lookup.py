@@ -80,23 +80,27 @@ def resolve_bare(nodes: DataFrame, names: DataFrame, kind: str) -> DataFrame:
 def normalise_targets(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, tier, ids): ids that a prefixed target means, by the first tier that has any.
 
-    1 the id itself, 2 the same without case, 3 a missing file suffix, 4 the right name under another kind, 5 the bare
-    name alone. Several ids in one tier are all returned, sorted.
+    1 the id itself, 2 the same without case, 3 a missing file suffix, 4 ids that the target goes beyond, 5 the right name
+    under another kind, 6 the bare name alone. Several ids in one tier are all returned, sorted.
     """
     plain = lambda x: F.regexp_replace(F.lower(x), "\\.(spg|tbl)$", "")
     t = targets.select("target")
     n = nodes.select("id")
     tail = lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x))
+    # beginnings of a target that end before a dot or a bar; they meet ids by equality
+    stops = F.filter(F.sequence(F.lit(1), F.length("target")), lambda i: F.substring("target", i, F.lit(1)).isin(".", "|"))
+    heads = t.select("target", F.explode(F.transform(stops, lambda i: F.substring("target", F.lit(1), i - 1))).alias("head"))
     tiers = [
-        (1, F.col("target") == F.col("id")),
-        (2, F.lower("target") == F.lower("id")),
-        (3, plain(F.col("target")) == plain(F.col("id"))),
-        (4, F.lower(tail(F.col("target"))) == F.lower(tail(F.col("id")))),
-        (5, F.lower(bare(F.col("target"))) == F.lower(bare(F.col("id")))),
+        (1, t, F.col("target") == F.col("id")),
+        (2, t, F.lower("target") == F.lower("id")),
+        (3, t, plain(F.col("target")) == plain(F.col("id"))),
+        (4, heads, F.col("head") == F.col("id")),
+        (5, t, F.lower(tail(F.col("target"))) == F.lower(tail(F.col("id")))),
+        (6, t, F.lower(bare(F.col("target"))) == F.lower(bare(F.col("id")))),
     ]
     joined = None
-    for tier, on in tiers:  # one equi-join for each tier
-        part = t.join(n, on).select("target", F.lit(tier).alias("tier"), "id")
+    for tier, rows, on in tiers:  # one equi-join for each tier
+        part = rows.join(n, on).select("target", F.lit(tier).alias("tier"), "id")
         joined = part if joined is None else joined.unionByName(part)
     first = joined.groupBy("target").agg(F.min("tier").alias("tier"))
     return joined.join(first, ["target", "tier"]).groupBy("target", "tier").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))

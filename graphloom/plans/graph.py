@@ -135,12 +135,12 @@ def resolve(t):
     return lookup.resolve_bare(p.nodes(t), t.spark.createDataFrame([(x,) for x in _NAMED], "name string"), "comp")
 
 
-_LOOSE = ["model:PART5", "page:app/n3", "comp:part9", "field:x|part2.qty", "model:part8", "page:nowhere"]
+_LOOSE = ["model:PART5", "page:app/n3", "comp:part9", "field:x|part2.qty", "model:part8", "page:nowhere", "model:part8.qty.sum", "comp:app/n3.spg|zz"]
 
 
 @query("p06_normalise_targets", p.sql(f"""SELECT target, tier, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT target, tier, id, min(tier) OVER (PARTITION BY target) AS best FROM (
- SELECT target, id, unnest(list_filter([CASE WHEN target = id THEN 1 END, CASE WHEN lower(target) = lower(id) THEN 2 END, CASE WHEN regexp_replace(lower(target), '\\.(spg|tbl)$', '') = regexp_replace(lower(id), '\\.(spg|tbl)$', '') THEN 3 END, CASE WHEN lower(substr(target, strpos(target, ':') + 1)) = lower(substr(id, strpos(id, ':') + 1)) THEN 4 END,
- CASE WHEN lower(split_part(substr(target, strpos(target, ':') + 1), '|', -1)) = lower(split_part(substr(id, strpos(id, ':') + 1), '|', -1)) THEN 5 END], lambda x: x IS NOT NULL)) AS tier FROM nodes CROSS JOIN (VALUES {_values(_LOOSE)}) k(target))) WHERE tier = best GROUP BY target, tier"""))
+ SELECT target, id, unnest(list_filter([CASE WHEN target = id THEN 1 END, CASE WHEN lower(target) = lower(id) THEN 2 END, CASE WHEN regexp_replace(lower(target), '\\.(spg|tbl)$', '') = regexp_replace(lower(id), '\\.(spg|tbl)$', '') THEN 3 END, CASE WHEN starts_with(target, concat(id, '.')) OR starts_with(target, concat(id, '|')) THEN 4 END, CASE WHEN lower(substr(target, strpos(target, ':') + 1)) = lower(substr(id, strpos(id, ':') + 1)) THEN 5 END,
+ CASE WHEN lower(split_part(substr(target, strpos(target, ':') + 1), '|', -1)) = lower(split_part(substr(id, strpos(id, ':') + 1), '|', -1)) THEN 6 END], lambda x: x IS NOT NULL)) AS tier FROM nodes CROSS JOIN (VALUES {_values(_LOOSE)}) k(target))) WHERE tier = best GROUP BY target, tier"""))
 def normalise(t):
     return lookup.normalise_targets(p.nodes(t), t.spark.createDataFrame([(x,) for x in _LOOSE], "target string"))
 

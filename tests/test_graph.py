@@ -171,3 +171,13 @@ def test_drawing_and_budgets(spark):
     assert explain.echarts(n, e)["links"] == [{"source": "page:a", "target": "model:b", "value": "Reads"}]
     row = spark.range(1).selectExpr("sequence(1, 30) AS a").select(*[explain.budgeted(F.col("a"), b).alias(b) for b in ("compact", "normal", "full")]).first()
     assert [len(row[b]) for b in ("compact", "normal", "full")] == [5, 20, 30]
+
+
+def test_shrinking_and_advice():
+    from graphloom.operators import explain
+
+    answer = {"main": ["x" * 50], "near": ["y" * 20] * 30, "far": list(range(4))}
+    small = explain.shrunk(answer, ["near", "far"], 300)
+    assert len(small["near"]) == 8 and small["truncated"] == ["near"] and len(small["far"]) == 4 and small["main"] == answer["main"]
+    assert explain.shrunk(answer, ["near"], 10**6) == answer and len(explain.shrunk(answer, ["near"], 10)["near"]) == 1
+    assert explain.advice("model:x", True) == ["explain model:x", "lineage model:x"] and explain.advice("x", False) == ["find x"]
