@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +23,7 @@ class TokenConfig:
     end_id: int = 2
     stride: int = 1000  #: rows of an index entry, the unit that a Bloom filter or a minimum and maximum can skip
     stripe_bytes: int = 16 << 20  #: stripes are read in parallel
-    cache_words: int = 1 << 19  #: words whose ids a worker remembers
+    cache_words: int = 1 << 21  #: words whose ids a worker remembers
 
     @property
     def path(self) -> str:
@@ -36,13 +38,13 @@ _LOADED: dict[str, tuple] = {}
 _MARK = "\x01"
 #: Bytes of text that are encoded at once; in larger steps words repeat more.
 STEP = 2 << 20
+#: Letters, then perhaps marks: words of one or two tokens before merging.
+_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]+)?")
 
 
 def _tokenizer(path: str):
-    """The tokenizer, the id of a mark between words, and whether white space only parts words, so that they can be encoded apart."""
+    """The tokenizer; the id of a mark between words; which ids end a word; whether white space only parts words, so that they can be encoded apart."""
     if path not in _LOADED:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -50,16 +52,30 @@ def _tokenizer(path: str):
         ids = lambda x: t.encode(x, add_special_tokens=False).ids
         mark = ids(f"a {_MARK} b")
         apart = all(ids(f"a{gap}b") == ids("a") + ids("b") for gap in (" ", "\t", "\n", "  ", "\r\n ", "\x0b\x0c")) and ids(" a ") == ids("a") and len(mark) == 3 and mark[0] == ids("a")[0]
-        _LOADED[path] = t, mark[1], apart
+        ends = np.zeros(t.get_vocab_size(), bool)
+        if suffix := getattr(t.model, "end_of_word_suffix", None):
+            ends[[i for x, i in t.get_vocab().items() if x.endswith(suffix)]] = True
+        _LOADED[path] = t, mark[1], ends, apart
     return _LOADED[path]
 
 
 class Words:
-    """Ids of texts, word by word: the library encodes each distinct word once, a memory of bounded size keeps it."""
+    """Ids of texts, word by word: the library encodes each distinct word once, a memory of bounded size keeps it.
+
+    The memory is four flat arrays ordered by the words' 64-bit hashes, about 40 bytes a word.
+    """
 
     def __init__(self, path: str, most: int):
-        self.tokenizer, self.mark, self.apart = _tokenizer(path)
-        self.most, self.known = most, {}
+        self.tokenizer, self.mark, self.ends, self.apart = _tokenizer(path)
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<i4")
+
+    def _places(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, distinct)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] != distinct if len(self.keys) else np.ones(len(distinct), bool)
 
     def encode(self, column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts lo to hi one after another, and how many each has."""
@@ -68,34 +84,65 @@ class Words:
             return np.concatenate(found), np.fromiter(map(len, found), np.int64, hi - lo)
         buf, begin, end = joined(column, lo, hi)
         starts, ends, hashes = word_hashes(buf, lower=False)
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        names, raw = distinct.tolist(), buf.tobytes()
-        new = [k for k, h in enumerate(names) if h not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = range(len(names))
-        self._learn([names[k] for k in new], [raw[starts[at[k]] : ends[at[k]]] for k in new])
-        ids = [self.known[h] for h in names]
-        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), "<i4")
-        count = sizes[back]
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at, new = self._places(distinct)
+        if len(self.keys) + int(new.sum()) > self.most:
+            self.forget()
+            at, new = self._places(distinct)
+        if new.any():
+            raw = buf.tobytes()
+            ids, sizes = self._ids([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self.starts = np.insert(self.starts, at[new], len(self.flat) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, at[new], sizes)
+            self.keys = np.insert(self.keys, at[new], distinct[new])
+            self.flat = np.concatenate([self.flat, ids])
+            at, _ = self._places(distinct)
+        count = self.sizes[at][back].astype(np.int64)
         place = np.cumsum(count) - count
-        out = flat[np.repeat((np.cumsum(sizes) - sizes)[back] - place, count) + np.arange(int(count.sum()))]
+        out = self.flat[np.repeat(self.starts[at][back] - place, count) + np.arange(int(count.sum()))]
         upto = np.append(place, len(out))
         return out, upto[np.searchsorted(starts, end)] - upto[np.searchsorted(starts, begin)]
 
-    def _learn(self, names: list[int], words: list[bytes]) -> None:
-        plain = [k for k, w in enumerate(words) if b"\x01" not in w]
-        odd = [k for k, w in enumerate(words) if b"\x01" in w]
-        for k, x in zip(odd, self.tokenizer.encode_batch([words[k].decode() for k in odd], add_special_tokens=False), strict=True):
-            self.known[names[k]] = np.asarray(x.ids, "<i4").tobytes()
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            ids = np.asarray(self.tokenizer.encode(f" {_MARK} ".join(words[k].decode() for k in some) + f" {_MARK}", add_special_tokens=False).ids, "<i4")
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        parts = np.array([0 if (m := _SIMPLE.fullmatch(w)) is None else 1 + (m[2] is not None) for w in words], np.int64)
+        sizes = np.zeros(len(words), np.int64)
+        pieces: list[np.ndarray] = [np.zeros(0, "<i4")] * len(words)
+
+        def put(some: list[int], ids: np.ndarray, stops: np.ndarray, gap: int) -> None:
             begin = 0
-            for k, end in zip(some, np.flatnonzero(ids == self.mark).tolist(), strict=True):
-                self.known[names[k]] = ids[begin:end].tobytes()
-                begin = end + 1
+            for k, stop in zip(some, stops.tolist(), strict=True):
+                pieces[k] = ids[begin:stop]
+                begin = stop + gap
+
+        encode = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+        odd = np.flatnonzero(parts == 0).tolist()
+        if self.ends.any():
+            plain = np.flatnonzero(parts).tolist()
+            for at in range(0, len(plain), 1024):
+                some = plain[at : at + 1024]
+                ids = encode(" ".join([words[k] for k in some]))
+                last = np.flatnonzero(self.ends[ids])
+                upto = np.cumsum(parts[some])
+                if len(last) == upto[-1]:
+                    put(some, ids, last[upto - 1] + 1, 0)
+                else:  # a letter that the tokenizer cuts: with marks instead
+                    odd += some
+        else:
+            odd = list(range(len(words)))
+        for k in [k for k in odd if _MARK in words[k]]:
+            pieces[k] = encode(words[k])
+        odd = [k for k in odd if _MARK not in words[k]]
+        for at in range(0, len(odd), 1024):
+            some = odd[at : at + 1024]
+            ids = encode(f" {_MARK} ".join([words[k] for k in some]) + f" {_MARK}")
+            put(some, ids, np.flatnonzero(ids == self.mark), 1)
+        sizes[:] = [len(x) for x in pieces]
+        return np.concatenate(pieces), sizes
+
+
+#: A worker process runs many tasks; what it has learnt stays with it.
+_WORDS: dict[tuple[str, int], Words] = {}
 
 
 def _encode(c: TokenConfig):
@@ -103,7 +150,9 @@ def _encode(c: TokenConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (doc_id, text) as (doc_id, place in the file, n_tokens, ids)."""
-        words = Words(path, c.cache_words)
+        if (path, c.cache_words) not in _WORDS:
+            _WORDS[path, c.cache_words] = Words(path, c.cache_words)
+        words = _WORDS[path, c.cache_words]
         place = 0
         for batch in batches:
             column = texts(batch.column(1))
