@@ -37,7 +37,7 @@ class TokenConfig:
 _LOADED: dict[str, tuple] = {}
 _MARK = "\x01"
 #: Bytes of text that are encoded at once; in larger steps words repeat more.
-STEP = 2 << 20
+STEP = 1 << 20
 #: Letters, then perhaps marks: words of one or two tokens before merging.
 _SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]+)?")
 
