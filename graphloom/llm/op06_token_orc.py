@@ -38,12 +38,12 @@ _LOADED: dict[str, tuple] = {}
 _MARK = "\x01"
 #: Bytes of text that are encoded at once; in larger steps words repeat more.
 STEP = 1 << 20
-#: Letters, then perhaps marks: words of one or two tokens before merging.
-_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]+)?")
+#: White space that the tokenizer may know inside a word, which only ASCII white space ends.
+_GAP = re.compile(r"\s")
 
 
 def _tokenizer(path: str):
-    """The tokenizer; the id of a mark between words; which ids end a word; whether white space only parts words, so that they can be encoded apart."""
+    """The tokenizer; the id of a mark between words; the bytes of text of each id, if a suffix tells words' ends; whether white space only parts words, so that they can be encoded apart."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
@@ -52,10 +52,15 @@ def _tokenizer(path: str):
         ids = lambda x: t.encode(x, add_special_tokens=False).ids
         mark = ids(f"a {_MARK} b")
         apart = all(ids(f"a{gap}b") == ids("a") + ids("b") for gap in (" ", "\t", "\n", "  ", "\r\n ", "\x0b\x0c")) and ids(" a ") == ids("a") and len(mark) == 3 and mark[0] == ids("a")[0]
-        ends = np.zeros(t.get_vocab_size(), bool)
+        widths = np.zeros(0, np.int64)
         if suffix := getattr(t.model, "end_of_word_suffix", None):
-            ends[[i for x, i in t.get_vocab().items() if x.endswith(suffix)]] = True
-        _LOADED[path] = t, mark[1], ends, apart
+            vocab = t.get_vocab()
+            widths = np.full(max(vocab.values()) + 1, 1 << 40)  # an id of no known width fits nowhere
+            special = {x.content for x in t.get_added_tokens_decoder().values()} | {getattr(t.model, "unk_token", None)}
+            for x, i in vocab.items():
+                if x not in special and x != suffix:
+                    widths[i] = len(x.removesuffix(suffix))
+        _LOADED[path] = t, mark[1], widths, apart
     return _LOADED[path]
 
 
@@ -66,7 +71,7 @@ class Words:
     """
 
     def __init__(self, path: str, most: int):
-        self.tokenizer, self.mark, self.ends, self.apart = _tokenizer(path)
+        self.tokenizer, self.mark, self.widths, self.apart = _tokenizer(path)
         self.most = most
         self.forget()
 
@@ -105,7 +110,6 @@ class Words:
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, and how many each has."""
-        parts = np.array([0 if (m := _SIMPLE.fullmatch(w)) is None else 1 + (m[2] is not None) for w in words], np.int64)
         sizes = np.zeros(len(words), np.int64)
         pieces: list[np.ndarray] = [np.zeros(0, "<i4")] * len(words)
 
@@ -116,17 +120,22 @@ class Words:
                 begin = stop + gap
 
         encode = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
-        odd = np.flatnonzero(parts == 0).tolist()
-        if self.ends.any():
-            plain = np.flatnonzero(parts).tolist()
+        normal = self.tokenizer.normalizer
+        if len(self.widths):
+            odd = [k for k, w in enumerate(words) if _GAP.search(w) or _MARK in w]
+            plain = np.setdiff1d(np.arange(len(words)), odd).tolist()
             for at in range(0, len(plain), 1024):
                 some = plain[at : at + 1024]
-                ids = encode(" ".join([words[k] for k in some]))
-                last = np.flatnonzero(self.ends[ids])
-                upto = np.cumsum(parts[some])
-                if len(last) == upto[-1]:
-                    put(some, ids, last[upto - 1] + 1, 0)
-                else:  # a letter that the tokenizer cuts: with marks instead
+                text = " ".join([words[k] for k in some])
+                ids = encode(text)
+                # ids cover the normalised text byte after byte, so each word's last id is where the sums meet
+                raw = np.frombuffer((normal.normalize_str(text) if normal else text).encode() + b" ", np.uint8)
+                want = np.flatnonzero(raw == 32) - np.arange(int((raw == 32).sum()))
+                upto = np.cumsum(self.widths[ids])
+                last = np.searchsorted(upto, want)
+                if len(want) == len(some) and len(ids) and upto[-1] == want[-1] and (upto[last] == want).all():
+                    put(some, ids, last + 1, 0)
+                else:  # a special or unknown id: with marks instead
                     odd += some
         else:
             odd = list(range(len(words)))

@@ -275,6 +275,17 @@ def test_words_of_a_tokenizer_that_keeps_white_space():
     assert count.tolist()[1] == 0 and len(ids) == count.sum()
 
 
+def test_words_whose_guessed_numbers_of_ids_would_cancel():
+    path = TokenConfig().path
+    w = Words(path, 1 << 10)
+    for words in (["cafe\u0301", "hello", "m\u00b2"], ["\u0130stanbul", "e\u0301", "x", "o\u0301"], ["ab\u00bd", "na\u0308ive", "don't", "x\u2460"], ["<|endoftext|>", "a\u00a0b", "m\u00b2"]):
+        expected = [w.tokenizer.encode(x, add_special_tokens=False).ids for x in words]
+        ids, sizes = w._ids(words)
+        assert sizes.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+        ids, count = w.encode(pa.array([" ".join(words), words[-1]]), 0, 2)
+        assert ids.tolist() == sum(expected, []) + expected[-1] and count.tolist() == [len(sum(expected, [])), len(expected[-1])]
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows, labels = [], []
