@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, texts
+from .common import Scratch, steps, table, texts
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -115,6 +116,106 @@ def without_repeated_chunks(docs: DataFrame, config: ChunkConfig | None = None)
     return both.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
 
 
+#: Hashes of lines, tried in this order until one parts all lines of a table.
+_HASHES = (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest, lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest()))
+
+
+def _lines(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (text) as distinct (hash, line) of some texts; two lines of one hash are two rows."""
+        of, seen, held = _HASHES[k], set(), 0
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                lines = text.as_buffer().to_pybytes().split(b"\n")
+                seen.update(lines)
+                held += len(lines)
+                if held > 1 << 16:
+                    yield _batch(of, seen)
+                    seen, held = set(), 0
+        yield _batch(of, seen)
+
+    def _batch(of, seen: set[bytes]) -> pa.RecordBatch:
+        lines = list(seen)
+        return pa.RecordBatch.from_arrays([pa.array([of(x) - (1 << 63) for x in lines], pa.int64()), pa.array(lines, pa.binary())], ["hash", "line"])
+
+    return run
+
+
+def _pairs(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, version, text) as (doc_id, version, at, a, b): the hashes of line at and of the next one."""
+        of = _HASHES[k]
+        for batch in batches:
+            ids, versions, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), texts(batch.column(2))
+            for lo, hi in steps(column):
+                hashes = [np.array([of(x) for x in text.as_buffer().to_pybytes().split(b"\n")], np.uint64) for text in column[lo:hi]]
+                sizes = np.array([len(x) - 1 for x in hashes])
+                row = np.repeat(np.arange(lo, hi), sizes)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                a, b = (np.concatenate([x[cut] for x in hashes]).view(np.int64) for cut in (slice(None, -1), slice(1, None)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(versions[row]), pa.array(at), pa.array(a), pa.array(b)], ["doc_id", "version", "at", "a", "b"])
+
+    return run
+
+
+def parting_hash(docs: DataFrame) -> int:
+    """The number of the first hash under which all different lines of docs (text) differ: all bytes are compared."""
+    for k in range(len(_HASHES)):
+        lines = docs.select("text").mapInArrow(_lines(k), "hash long, line binary")
+        if lines.groupBy("hash").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").isEmpty():
+            return k
+    raise ValueError("each hash gives two different lines one value")
+
+
+def repeated_pairs(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
+    """(doc_id, version, at): lines of docs that with the next line repeat two lines of an earlier place (smaller doc_id, or earlier line) byte for byte.
+
+    A repeated block of two or more lines is a run of such pairs wherever it begins and ends, so no border has to fall
+    into it. Ids, versions and nulls are as in repeated_chunks; pairs of blank lines are among the rows.
+    """
+    c = config or ChunkConfig()
+    scratch = Scratch(docs.sparkSession, "pairs")
+    versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    pairs = scratch.keep(versioned.mapInArrow(_pairs(parting_hash(docs)), "doc_id long, version long, at long, a long, b long"), "pairs")
+    pos = F.struct("doc_id", "version", "at")
+    twice = scratch.keep(pairs.groupBy("a", "b").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).where("first <> last").select("a", "b", "first"), "twice")
+    spread = twice.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"), "first")
+    salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(c.salts)).cast("int")
+    some = pairs.withColumn("salt", salt).join(spread, ["a", "b", "salt"]).where(pos > F.col("first"))
+    return some.select("doc_id", "version", "at").distinct()
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, starts of repeated pairs) without the runs of lines under pairs that have a word, and what was counted."""
+    for batch in batches:
+        kept, n, removed, spans = [], [], [], []
+        for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            lines = (text or "").split("\n")
+            gone = np.zeros(len(lines) + 2, bool)
+            at = np.array(starts or [], np.int64)
+            gone[at + 1] = gone[at + 2] = True
+            edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist() + [len(lines)] * bool(gone[-1])
+            runs = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if "".join(lines[a:b]).encode().strip()]
+            begin, rest = 0, []
+            for a, b in runs:
+                rest += lines[begin:a]
+                begin = b
+            kept.append("\n".join(rest + lines[begin:]) if text is not None else None)
+            n.append(len(lines) if text is not None else 0)
+            removed.append(sum(b - a for a, b in runs))
+            spans.append(len(runs))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+
+
+def without_repeated_blocks(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed_lines, n_removed_chunks): each row's text without its repeated blocks of two or more lines; a null text stays null."""
+    spans = repeated_pairs(docs, config).groupBy("doc_id", "version").agg(F.collect_list("at").alias("starts"))
+    spans = spans.withColumnsRenamed({"doc_id": "d", "version": "v"})
+    versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    both = versioned.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return both.select("doc_id", "text", "starts").mapInArrow(_cut_blocks, "doc_id long, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
+
+
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = without_repeated_chunks(table(spark, sf_dir, "documents"))
+    out = without_repeated_blocks(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -60,3 +60,25 @@ def edit_inside(pattern, text):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != t)))
         row = new
     return min(row)
+
+
+def line_blocks(rows):
+    """rows: (doc_id, text) -> doc_id: text without runs of two or more lines that repeat, two by two, earlier ones and have a word."""
+    seen, out = set(), {}
+    for doc, text in sorted(rows, key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        gone = [False] * len(lines)
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if pair in seen:
+                gone[i] = gone[i + 1] = True
+            seen.add(pair)
+        kept, i = [], 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and gone[j] == gone[i]:
+                j += 1
+            if not gone[i] or not WORD.search(" ".join(lines[i:j])):
+                kept += lines[i:j]
+            i = j
+        out[doc] = "\n".join(kept)
+    return out

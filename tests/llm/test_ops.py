@@ -20,7 +20,7 @@ from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
 from graphloom.llm.op07_mixing import MixConfig, fit, mixed, rates
 from graphloom.llm.op08_quality_rules import LineConfig, quality_lines
-from graphloom.llm.op09_line_chunks import ChunkConfig, chunk_borders, repeated_chunks, without_repeated_chunks
+from graphloom.llm.op09_line_chunks import ChunkConfig, chunk_borders, parting_hash, repeated_chunks, repeated_pairs, without_repeated_blocks, without_repeated_chunks
 from graphloom.llm.op10_url_rules import split_url, url_rules
 from graphloom.llm.suffixes import Run, front_code, merge
 
@@ -358,6 +358,44 @@ def test_line_chunks(spark):
     assert without_repeated_chunks(frame(spark, [])).count() == 0
 
 
+def test_line_blocks_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(2, 8):  # blocks of k lines inside other text
+        for n in range(10):
+            block = [passage(rng, 8) for _ in range(k)]
+            for copy in range(2):
+                rows.append((len(rows), "\n".join([passage(rng, 6) for _ in range(3)] + block + [passage(rng, 6) for _ in range(3)])))
+                assert copy == 0 or rows[-2][1] != rows[-1][1]
+    planted = len(rows)
+    rows += [(300, "a b\n\n\n\nc d"), (301, "e f\n\n\n\nc d"), (302, "g\n\n\n\nh"), (303, "\n".join(["x", "y"] * 40)), (304, "q\r\nr\r\ns"), (305, "q\r\nr\r\nt"), *ODD]
+    expected = brute.line_blocks(rows)
+    got = {r.doc_id: r for r in without_repeated_blocks(frame(spark, rows)).collect()}
+    assert {i: r.text or "" for i, r in got.items()} == expected
+    assert [got[i].n_removed_lines for i in range(planted)] == [0 if i % 2 == 0 else 2 + i // 20 for i in range(planted)]
+    assert all(got[i].n_removed_chunks == i % 2 for i in range(planted)) and got[900].text is None and got[900].n_lines == 0
+    same = frame(spark, [(1, rows[0][1]), (1, rows[0][1]), (None, rows[0][1])])
+    assert {r.doc_id for r in repeated_pairs(same).collect()} == {1}
+    assert without_repeated_blocks(frame(spark, [])).count() == 0
+
+
+def test_line_hashes_that_collide_are_not_used(spark, monkeypatch):
+    from graphloom.llm import op09_line_chunks as op
+
+    docs = frame(spark, [(1, "a\nb"), (2, "c\nb")])
+    assert parting_hash(docs) == 0
+    monkeypatch.setattr(op, "_lines", lambda k, real=op._lines: (lambda batches: (b.set_column(0, "hash", pa.array([0] * b.num_rows, pa.int64())) if k == 0 else b for b in real(k)(batches))))
+    assert parting_hash(docs) == 1
+
+
+def test_line_chunk_query_equals_brute_force(spark):
+    import hashlib
+
+    rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.kept_sha256 for r in registry.queries()["op9_line_chunks"](spark, SF).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in brute.line_blocks(rows).items()}
+
+
 def test_url_rules(spark):
     rng = random.Random(7)
     rules = [("allow", "com", "/"), ("block", "a.com", "/x"), ("allow", "a.com", "/x/y"), ("block", "b.a.com", "/"), ("allow", "b.a.com", "/x/y/z"), ("block", "net", "/"), (None, "org", "/"), ("block", "", "/")]
