@@ -48,14 +48,8 @@ def _repeat_words(words: Column, c: LineConfig) -> Column:
     return F.when(F.size(words) < k, F.lit(0).cast("long")).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), hashes), counted))
 
 
-def quality_lines(docs: DataFrame, config: LineConfig | None = None, host: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Verdicts and the boilerplate lines behind them; docs has doc_id, text and a host column.
-
-    Verdicts: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
-    Lines: (line hash of host and normalised line, documents).
-    A null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are judged each but
-    count once for a line; an empty table gives no rows; other columns are ignored.
-    """
+def _judged(docs: DataFrame, config: LineConfig | None, host: str) -> tuple[DataFrame, DataFrame]:
+    """Verdicts with version and place, which tell rows of one doc_id apart, and gone_at, the numbers of the boilerplate lines; and those lines."""
     c = config or LineConfig()
     scratch = Scratch(docs.sparkSession, "quality")
     text = F.coalesce("text", F.lit(""))
@@ -65,35 +59,64 @@ def quality_lines(docs: DataFrame, config: LineConfig | None = None, host: str =
         return F.translate(F.array_join(_words(line), " "), _UPPER, _LOWER)
 
     def measured(lines: Column) -> Column:
-        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("dup"), F.transform(lines, lambda x: F.struct(F.xxhash64("place", normal(x)).alias("line"), F.size(_words(x)).alias("words"))).alias("rows"))
+        return F.struct((F.size(lines) - F.size(F.array_distinct(F.transform(lines, lambda x: x["x"])))).cast("long").alias("dup"), F.transform(lines, lambda x: F.struct(F.xxhash64("place", normal(x["x"])).alias("line"), F.size(_words(x["x"])).alias("words"), x["i"].alias("i"))).alias("rows"))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, _GAP, "")) > 0)
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    lines = F.filter(lines, lambda x: F.length(F.regexp_replace(x["x"], _GAP, "")) > 0)
     counts = lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w, c).alias("repeat"))
     base = docs.select("doc_id", text.alias("text"), place.alias("place")).select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
+        F.xxhash64("text").alias("version"),
+        "place",
         let(_words(F.col("text")), counts).alias("w"),
         F.length(F.regexp_replace("text", _GAP, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, measured).alias("l"),
     )
     base = scratch.keep(base, "base")
-    rows = base.select("row", "doc_id", F.explode("l.rows").alias("x")).select("row", "doc_id", "x.line", "x.words")
+    rows = base.select("row", "doc_id", F.explode("l.rows").alias("x")).select("row", "doc_id", "x.line", "x.words", "x.i")
     often = rows.select("line", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).distinct().groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > c.max_docs)
     often = scratch.keep(often, "often")
     spread = often.select("line", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"))
-    gone = rows.withColumn("salt", F.pmod("row", F.lit(c.salts)).cast("int")).join(spread, ["line", "salt"]).groupBy("row").agg(F.sum("words").alias("gone"))
+    gone = rows.withColumn("salt", F.pmod("row", F.lit(c.salts)).cast("int")).join(spread, ["line", "salt"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_list("i").alias("gone_at"))
     n, repeat, lost = F.col("w.n"), F.col("w.repeat"), F.coalesce("gone", F.lit(0)).cast("long")
     failed = (n < c.min_words) | (100 * repeat > c.max_repeat_percent * n)
     verdicts = base.join(gone, "row", "left").select(
         "doc_id", n.alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
         failed.alias("base_failed"), lost.alias("n_removed_words"), (~failed & (100 * (n - lost) >= c.min_left_percent * n)).alias("kept"),
+        "version", "place", "gone_at",
     )
     return verdicts, often
 
 
+def quality_lines(docs: DataFrame, config: LineConfig | None = None, host: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Verdicts and the boilerplate lines behind them; docs has doc_id, text and a host column.
+
+    Verdicts: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
+    Lines: (line hash of host and normalised line, documents).
+    A null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are judged each but
+    count once for a line; an empty table gives no rows; other columns are ignored.
+    """
+    verdicts, often = _judged(docs, config, host)
+    return verdicts.drop("version", "place", "gone_at"), often
+
+
+def cleaned_lines(docs: DataFrame, config: LineConfig | None = None, host: str = "source") -> DataFrame:
+    """quality_lines' verdicts and the row's text without its boilerplate lines, whose words n_removed_words counts; a null text stays null."""
+    verdicts, _ = _judged(docs, config, host)
+    # rows that agree in doc_id, text and host have one verdict
+    verdicts = verdicts.dropDuplicates(["doc_id", "version", "place"]).withColumnsRenamed({"doc_id": "d", "version": "v", "place": "p"})
+    place = F.coalesce(F.col(host).cast("string"), F.lit("\0"))
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), place.alias("place"))
+    both = rows.join(verdicts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")) & (F.col("place") == F.col("p")), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone_at", i)), "\n")
+    return both.withColumn("text", F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(left)).drop("version", "place", "d", "v", "p", "gone_at")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_lines(table(spark, sf_dir, "documents"))[0]
+    out = cleaned_lines(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
 
 
 ORACLE = f"""

@@ -82,3 +82,14 @@ def line_blocks(rows):
             i = j
         out[doc] = "\n".join(kept)
     return out
+
+
+def without_frequent_lines(rows, most):
+    """rows: (doc_id, text, host) -> each one's text without lines that more than most documents of its host have, as the same words in any case."""
+    norm = lambda x: " ".join(words(x.translate(_LOW)))
+    docs = {}
+    for doc, text, host in rows:
+        for line in (text or "").split("\n"):
+            docs.setdefault((host, norm(line)), set()).add(doc)
+    gone = {k for k, d in docs.items() if k[1] and len(d) > most}
+    return [None if text is None else "\n".join(x for x in text.split("\n") if (host, norm(x)) not in gone) for _, text, host in rows]

@@ -19,7 +19,7 @@ from graphloom.llm.op04_paragraphs import repeated_paragraphs
 from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
 from graphloom.llm.op07_mixing import MixConfig, fit, mixed, rates
-from graphloom.llm.op08_quality_rules import LineConfig, quality_lines
+from graphloom.llm.op08_quality_rules import LineConfig, cleaned_lines, quality_lines
 from graphloom.llm.op09_line_chunks import ChunkConfig, chunk_borders, parting_hash, repeated_chunks, repeated_pairs, without_repeated_blocks, without_repeated_chunks
 from graphloom.llm.op10_url_rules import split_url, url_rules
 from graphloom.llm.suffixes import Run, front_code, merge
@@ -335,6 +335,35 @@ def test_quality_rules(spark):
     assert quality_lines(frame(spark, []))[0].count() == 0
 
 
+def test_cleaned_lines_equal_brute_force(spark):
+    rng = random.Random(13)
+    often = [passage(rng, 6) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        lines = [passage(rng, 8) for _ in range(3)] + rng.sample(often, rng.randrange(4)) + [rng.choice(["", " \t", often[0].upper() + " "])]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice(["a", "b", None])))
+    rows += [(3, rows[4][1], "a"), (3, rows[4][1], "a"), (None, rows[5][1], "a"), (None, None, None), (70, "", "b"), (71, None, "a"), (72, "\n\n", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (3, 6, 100):
+        got = cleaned_lines(docs, LineConfig(max_docs=most)).collect()
+        expected = brute.without_frequent_lines(rows, most)
+        key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+        assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((i, t) for (i, _, _), t in zip(rows, expected)), key=key)
+        lost = sorted((i or -1, len(brute.words(t)) - len(brute.words(x))) for (i, t, _), x in zip(rows, expected))
+        assert sorted((r.doc_id or -1, r.n_removed_words) for r in got) == lost and (sum(n for _, n in lost) > 0) == (most < 100)
+    assert cleaned_lines(docs.limit(0)).count() == 0
+
+
+def test_quality_query_returns_cleaned_texts(spark):
+    import hashlib
+
+    rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "source").collect()]
+    expected = brute.without_frequent_lines(rows, LineConfig().max_docs)
+    got = {r.doc_id: r.kept_sha256 for r in registry.queries()["op8_quality_rules"](spark, SF).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for (i, _, _), t in zip(rows, expected)}
+
+
 def test_line_chunks(spark):
     rng = random.Random(3)
     shared = [passage(rng, 8) for _ in range(30)]
