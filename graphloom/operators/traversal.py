@@ -154,6 +154,53 @@ def cycles(refs: DataFrame, longest: int) -> DataFrame:
     return found
 
 
+def _page_cycles(rows):
+    """Simple cycles of one page's references: from each member, through later ones that lead back to it."""
+    import pandas as pd
+
+    after: dict[str, set[str]] = {}
+    for a, b in zip(rows["component"], rows["ref"], strict=True):
+        after.setdefault(a, set()).add(b)
+    while True:  # what nothing refers to and what refers to nothing lies on no cycle
+        held = set().union(*after.values()) if after else set()
+        core = {a: {b for b in bs if b in after} for a, bs in after.items() if a in held}
+        core = {a: bs for a, bs in core.items() if bs}
+        if core == after:
+            break
+        after = core
+    before: dict[str, set[str]] = {}
+    for a, bs in after.items():
+        for b in bs:
+            before.setdefault(b, set()).add(a)
+    found = []
+    for start in sorted(after):
+        back, new = {start}, [start]
+        while new:
+            more = {a for x in new for a in before.get(x, ()) if a > start} - back
+            back |= more
+            new = list(more)
+        path, held, todo = [start], {start}, [sorted(after[start] & back)]
+        while todo:
+            if not todo[-1]:
+                todo.pop()
+                held.discard(path.pop())
+                continue
+            x = todo[-1].pop()
+            if x == start:
+                found.append(">".join(path))
+            elif x not in held:
+                path.append(x)
+                held.add(x)
+                todo.append(sorted(after[x] & back))
+    return pd.DataFrame({"page": [rows["page"].iloc[0]] * len(found), "cycle": found}, dtype="object")
+
+
+def all_cycles(refs: DataFrame) -> DataFrame:
+    """(page, cycle): simple cycles of any length, each once, from its smallest member on; a page is one task's group."""
+    rows = refs.select("page", "component", "ref").distinct()
+    return rows.groupBy("page").applyInPandas(_page_cycles, "page string, cycle string")
+
+
 def visual_depth(edges: DataFrame, seeds: DataFrame, depth: int, collapse_at: int = 3) -> DataFrame:
     """(target, node, depth, collapsed): nodes downstream of each target for a drawing."""
     return reach(seeds, edges.select("src", "dst").distinct(), depth).withColumn("collapsed", F.col("depth") >= collapse_at)

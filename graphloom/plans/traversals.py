@@ -102,6 +102,12 @@ def cycles(t):
     return tr.cycles(p.component_refs(t), 4)
 
 
+# cycles of any length; g07_cycles has those that recursive SQL can list
+@query("g07_all_cycles")
+def all_cycles(t):
+    return tr.all_cycles(p.component_refs(t))
+
+
 @query("g11_lineage", p.sql("SELECT model, upstream, min(depth) AS depth FROM walk WHERE depth > 0 AND upstream <> model GROUP BY 1, 2", "walk AS (SELECT src AS model, src AS upstream, 0 AS depth, [src] AS seen FROM edges WHERE edge_type = 'DataflowInput' UNION ALL SELECT w.model, e.dst, w.depth + 1, list_append(w.seen, e.dst) FROM walk w JOIN edges e ON e.src = w.upstream AND e.edge_type = 'DataflowInput' WHERE NOT list_contains(w.seen, e.dst))"))
 def lineage(t):
     return dataflow.lineage(p.edges(t)).where("model <> upstream")
@@ -204,6 +210,13 @@ def page_rank(t):
     return ranking.page_rank(p.edges(t), seeds, "value_source", iterations=4, tolerance=0.0).where("score > 1e-12").select("node", F.round("score", 9).alias("score"))
 
 
+# to the operator's own tolerance; g23_page_rank has the rounds that SQL can unroll
+@query("g23_converged_page_rank")
+def converged_page_rank(t):
+    seeds = p.nodes(t).where("node_type = 'Page'").select(F.col("id").alias("node"), F.lit(1.0).alias("score"))
+    return ranking.page_rank(p.edges(t), seeds, "value_source").select("node", F.round("score", 9).alias("score"))
+
+
 _FILES = ("SELECT concat('f', o_custkey) AS path, max(o_orderkey) AS hash FROM orders {} GROUP BY 1", "o_orderstatus <> 'P'", "o_orderkey % 5 <> 0")
 
 
