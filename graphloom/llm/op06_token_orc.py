@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, joined, steps, table, texts, word_hashes
+from .common import _BYTE, _LOWER, _SPACE, Scratch, joined, mix, powers, steps, table, texts
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,8 @@ class TokenConfig:
     end_id: int = 2
     stride: int = 1000  #: rows of an index entry, the unit that a Bloom filter or a minimum and maximum can skip
     stripe_bytes: int = 16 << 20  #: stripes are read in parallel
-    cache_words: int = 1 << 21  #: words whose ids a worker remembers
+    file_bytes: int = 256 << 20  #: input bytes of one output file, by the source's own statistics
+    cache_words: int = 1 << 21  #: parts of words whose ids a worker remembers
 
     @property
     def path(self) -> str:
@@ -34,53 +36,144 @@ class TokenConfig:
         return public_tokenizers.path("word_bpe_49k.json")
 
 
-_LOADED: dict[str, tuple] = {}
-_MARK = "\x01"
+# What a tokenizer file says if it parts text at white space, letters, single digits and other characters,
+# and changes nothing but composition and case.
+PARTING_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTING_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 #: Bytes of text that are encoded at once; in larger steps words repeat more.
 STEP = 1 << 20
-#: White space that the tokenizer may know inside a word, which only ASCII white space ends.
-_GAP = re.compile(r"\s")
+#: Parts of words in one call of the library.
+CALL = 1024
+
+# Classes of bytes: white space, ASCII letter, digit, other printable ASCII character, lead byte C3, anything else.
+_GAP, _LETTER, _DIGIT, _MARK, _LEAD, _ODD = range(6)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[_SPACE] = _GAP
+_KIND[0xC3] = _LEAD
+_KIND[0x27] = _ODD  # an apostrophe may begin a part of its own
 
 
-def _tokenizer(path: str):
-    """The tokenizer; the id of a mark between words; the bytes of text of each id, if a suffix tells words' ends; whether white space only parts words, so that they can be encoded apart."""
-    if path not in _LOADED:
+class _Tokenizer:
+    """A tokenizers file, and whether words of its texts can be encoded apart, which the file's own rules decide."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        ids = lambda x: t.encode(x, add_special_tokens=False).ids
-        mark = ids(f"a {_MARK} b")
-        apart = all(ids(f"a{gap}b") == ids("a") + ids("b") for gap in (" ", "\t", "\n", "  ", "\r\n ", "\x0b\x0c")) and ids(" a ") == ids("a") and len(mark) == 3 and mark[0] == ids("a")[0]
-        widths = np.zeros(0, np.int64)
-        if suffix := getattr(t.model, "end_of_word_suffix", None):
-            vocab = t.get_vocab()
-            widths = np.full(max(vocab.values()) + 1, 1 << 40)  # an id of no known width fits nowhere
-            special = {x.content for x in t.get_added_tokens_decoder().values()} | {getattr(t.model, "unk_token", None)}
-            for x, i in vocab.items():
-                if x not in special and x != suffix:
-                    widths[i] = len(x.removesuffix(suffix))
-        _LOADED[path] = t, mark[1], widths, apart
-    return _LOADED[path]
+        self.library = Tokenizer.from_file(path)
+        rules = json.loads(self.library.to_str())
+        model, split = rules["model"], rules.get("pre_tokenizer") or {}
+        first = (split.get("pretokenizers") or [{}])[0]
+        self.apart = (
+            rules.get("normalizer") == PARTING_NORMALIZER
+            and split.get("type") == "Sequence"
+            and [x.get("type") for x in split["pretokenizers"]] == ["Split", "ByteLevel"]
+            and first.get("pattern") == {"Regex": PARTING_PATTERN}
+            and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+            and (split["pretokenizers"][1].get("add_prefix_space"), split["pretokenizers"][1].get("use_regex")) == (False, False)
+            and rules.get("post_processor") is None
+            and model["type"] == "BPE"
+            and not model.get("dropout")
+            and bool(model.get("end_of_word_suffix"))
+        )
+        self.special = [x["content"].encode() for x in rules.get("added_tokens", [])]
+        self.apart &= not any(x.get("normalized") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in rules.get("added_tokens", []))
+        if self.apart:
+            suffix = model["end_of_word_suffix"]
+            ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            ends[[i for x, i in model["vocab"].items() if x.endswith(suffix)]] = True
+            self.ends = ends
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<i4")
+
+
+_LOADED: dict[str, _Tokenizer] = {}
+
+
+def _parts(buf: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end, hash of each part of words, and whether it is a plain one, of bytes that end in white space.
+
+    A word ``[^\\x20\\x09-\\x0D]+`` of ASCII letters, digits and marks and of the letters U+00C0 to U+00FF falls into runs
+    of letters, single digits and runs of marks, which the tokenizer's pattern parts in the same way: these are plain.
+    Any other word (an apostrophe, a control character, any other character, a special token) is one part.
+    """
+    kind = _KIND[buf]
+    lead = np.flatnonzero(kind == _LEAD)
+    if len(lead):
+        after = buf[lead + 1]
+        good = lead[(after != 0x97) & (after != 0xB7)]  # not the signs of multiplication and division
+        kind[good] = kind[good + 1] = _LETTER
+        kind[lead[(after == 0x97) | (after == 0xB7)]] = _ODD
+    raw = buf.tobytes()
+    for x in special:
+        at = raw.find(x)
+        while at >= 0:
+            kind[at] = _ODD
+            at = raw.find(x, at + 1)
+    gap = kind == _GAP
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        edges = np.flatnonzero(gap)
+        k = np.unique(np.searchsorted(edges, odd))
+        a, b = np.where(k > 0, edges[k - 1] + 1, 0), edges[k]
+        size = b - a
+        kind[np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = _ODD
+    new = np.append(True, kind[1:] != kind[:-1]) | (kind == _DIGIT)
+    begins = np.flatnonzero(new)
+    some = kind[begins] != _GAP
+    ends = np.append(begins[1:], len(buf))[some]
+    begins = begins[some]
+    if not len(begins):
+        return begins, ends, np.zeros(0, np.uint64), np.zeros(0, bool)
+    size = ends - begins
+    place = np.arange(len(buf), dtype=np.int32)
+    place[begins[0] :] -= np.repeat(begins.astype(np.int32), np.diff(np.append(begins, len(buf))))
+    place[gap] = 0
+    place[: begins[0]] = 0
+    value = _BYTE[np.where(kind == _LETTER, _LOWER[buf], buf)] * powers(int(size.max()) + 1)[place]
+    plain = kind[begins] != _ODD
+    return begins, ends, mix(np.add.reduceat(value, begins) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + plain.astype(np.uint64)), plain
 
 
 class Words:
-    """Ids of texts, word by word: the library encodes each distinct word once, a memory of bounded size keeps it.
+    """Ids of texts, part by part: the library encodes each distinct part of a word once, a memory of bounded size keeps it.
 
-    The memory is four flat arrays ordered by the words' 64-bit hashes, about 40 bytes a word.
+    The memory is flat arrays ordered by the parts' 64-bit hashes, about 40 bytes a part: a large table, and a small one
+    that is merged into it whenever it has grown to a quarter.
     """
 
     def __init__(self, path: str, most: int):
-        self.tokenizer, self.mark, self.widths, self.apart = _tokenizer(path)
-        self.most = most
+        if path not in _LOADED:
+            _LOADED[path] = _Tokenizer(path)
+        self.rules, self.most = _LOADED[path], most
+        self.tokenizer, self.apart = self.rules.library, self.rules.apart
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<i4")
-
-    def _places(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, distinct)
-        return at, self.keys[np.minimum(at, len(self.keys) - 1)] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        nothing = lambda: [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.large, self.small = nothing(), nothing()
+        self.flat, self.used = np.zeros(1 << 16, "<i4"), 0
+
+    @staticmethod
+    def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return [keys[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))]
+
+    def _known(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of ids of each part; -1 where it is not known."""
+        start, size = np.full(len(distinct), -1), np.zeros(len(distinct), np.int64)
+        for keys, starts, sizes in (self.large, self.small):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                hit = keys[at] == distinct
+                start[hit], size[hit] = starts[at[hit]], sizes[at[hit]]
+        return start, size
 
     def encode(self, column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts lo to hi one after another, and how many each has."""
@@ -88,66 +181,62 @@ class Words:
             found = [np.asarray(x.ids, "<i4") for x in self.tokenizer.encode_batch(column[lo:hi].to_pylist(), add_special_tokens=False)]
             return np.concatenate(found), np.fromiter(map(len, found), np.int64, hi - lo)
         buf, begin, end = joined(column, lo, hi)
-        starts, ends, hashes = word_hashes(buf, lower=False)
+        begins, ends, hashes, plain = _parts(buf, self.rules.special)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at, new = self._places(distinct)
-        if len(self.keys) + int(new.sum()) > self.most:
+        start, size = self._known(distinct)
+        new = np.flatnonzero(start < 0)
+        if len(self.large[0]) + len(self.small[0]) + len(new) > self.most:
             self.forget()
-            at, new = self._places(distinct)
-        if new.any():
-            raw = buf.tobytes()
-            ids, sizes = self._ids([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            self.starts = np.insert(self.starts, at[new], len(self.flat) + np.cumsum(sizes) - sizes)
-            self.sizes = np.insert(self.sizes, at[new], sizes)
-            self.keys = np.insert(self.keys, at[new], distinct[new])
-            self.flat = np.concatenate([self.flat, ids])
-            at, _ = self._places(distinct)
-        count = self.sizes[at][back].astype(np.int64)
+            start, size = self._known(distinct)
+            new = np.flatnonzero(start < 0)
+        if len(new):
+            raw, at = buf.tobytes(), first[new]
+            ids, sizes = self._ids([raw[a:b].decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)], plain[at])
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            start[new], size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used += len(ids)
+            self.small = self._merged(self.small, [distinct[new], start[new], size[new]])
+            if 4 * len(self.small[0]) > len(self.large[0]):
+                self.large = self._merged(self.large, self.small)
+                self.small = [x[:0] for x in self.small]
+        count = size[back]
         place = np.cumsum(count) - count
-        out = self.flat[np.repeat(self.starts[at][back] - place, count) + np.arange(int(count.sum()))]
+        out = self.flat[np.repeat(start[back] - place, count) + np.arange(int(count.sum()))]
         upto = np.append(place, len(out))
-        return out, upto[np.searchsorted(starts, end)] - upto[np.searchsorted(starts, begin)]
-
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after another, and how many each has."""
-        sizes = np.zeros(len(words), np.int64)
-        pieces: list[np.ndarray] = [np.zeros(0, "<i4")] * len(words)
-
-        def put(some: list[int], ids: np.ndarray, stops: np.ndarray, gap: int) -> None:
-            begin = 0
-            for k, stop in zip(some, stops.tolist(), strict=True):
-                pieces[k] = ids[begin:stop]
-                begin = stop + gap
-
-        encode = lambda text: np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
-        normal = self.tokenizer.normalizer
-        if len(self.widths):
-            odd = [k for k, w in enumerate(words) if _GAP.search(w) or _MARK in w]
-            plain = np.setdiff1d(np.arange(len(words)), odd).tolist()
-            for at in range(0, len(plain), 1024):
-                some = plain[at : at + 1024]
-                text = " ".join([words[k] for k in some])
-                ids = encode(text)
-                # ids cover the normalised text byte after byte, so each word's last id is where the sums meet
-                raw = np.frombuffer((normal.normalize_str(text) if normal else text).encode() + b" ", np.uint8)
-                want = np.flatnonzero(raw == 32) - np.arange(int((raw == 32).sum()))
-                upto = np.cumsum(self.widths[ids])
-                last = np.searchsorted(upto, want)
-                if len(want) == len(some) and len(ids) and upto[-1] == want[-1] and (upto[last] == want).all():
-                    put(some, ids, last + 1, 0)
-                else:  # a special or unknown id: with marks instead
-                    odd += some
-        else:
-            odd = list(range(len(words)))
-        for k in [k for k in odd if _MARK in words[k]]:
-            pieces[k] = encode(words[k])
-        odd = [k for k in odd if _MARK not in words[k]]
-        for at in range(0, len(odd), 1024):
-            some = odd[at : at + 1024]
-            ids = encode(f" {_MARK} ".join([words[k] for k in some]) + f" {_MARK}")
-            put(some, ids, np.flatnonzero(ids == self.mark), 1)
-        sizes[:] = [len(x) for x in pieces]
-        return np.concatenate(pieces), sizes
+        return out, upto[np.searchsorted(begins, end)] - upto[np.searchsorted(begins, begin)]
+
+    def _ids(self, parts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and how many each has.
+
+        A plain part is one token of the pattern. In ASCII it is its own byte-level form, which the model takes without
+        the steps before; with other letters, many go to the library at once, with spaces between, and each one's last id
+        alone ends a word. Any other part goes alone.
+        """
+        pieces: list = [None] * len(parts)
+        model, other = self.tokenizer.model, []
+        for k in np.flatnonzero(plain).tolist():
+            if parts[k].isascii():
+                pieces[k] = [x.id for x in model.tokenize(parts[k].lower())]
+            else:
+                other.append(k)
+        for at in range(0, len(other), CALL):
+            some = other[at : at + CALL]
+            ids = self.rules.ids(" ".join([parts[k] for k in some]))
+            stops = np.flatnonzero(self.rules.ends[ids]) + 1
+            if len(stops) == len(some):
+                begin = 0
+                for k, stop in zip(some, stops.tolist(), strict=True):
+                    pieces[k] = ids[begin:stop].tolist()
+                    begin = stop
+            else:  # a vocabulary in which some part has no word end
+                for k in some:
+                    pieces[k] = self.rules.ids(parts[k]).tolist()
+        rest = np.flatnonzero(~plain).tolist()
+        for k, found in zip(rest, self.tokenizer.encode_batch([parts[k] for k in rest], add_special_tokens=False), strict=True):
+            pieces[k] = found.ids
+        return np.fromiter(chain.from_iterable(pieces), "<i4"), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
 #: A worker process runs many tasks; what it has learnt stays with it.
@@ -178,6 +267,15 @@ def _encode(c: TokenConfig):
     return run
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a DataFrame, by their metadata; sources that do not tell count nothing."""
+    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
+    for k in range(leaves.size()):
+        size = int(leaves.apply(k).stats().sizeInBytes())
+        total += size if size < 1 << 60 else 0
+    return total
+
+
 def write_tokens(docs: DataFrame, path: str, config: TokenConfig | None = None) -> None:
     """Writes docs (doc_id long, text string) as ORC rows (doc_id, place, n_tokens, ids), ascending by doc_id over the files.
 
@@ -186,7 +284,7 @@ def write_tokens(docs: DataFrame, path: str, config: TokenConfig | None = None)
     end id alone; null doc_ids come first; rows that repeat a doc_id are kept, by text; an empty table writes no rows.
     """
     c = config or TokenConfig()
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // c.file_bytes))
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = ranged.mapInArrow(_encode(c), "doc_id long, place long, n_tokens long, ids array<int>")
     options = {"compression": "zstd", "orc.row.index.stride": str(c.stride), "orc.stripe.size": str(c.stripe_bytes), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}

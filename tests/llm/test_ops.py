@@ -280,12 +280,50 @@ def test_words_whose_guessed_numbers_of_ids_would_cancel():
     w = Words(path, 1 << 10)
     for words in (["cafe\u0301", "hello", "m\u00b2"], ["\u0130stanbul", "e\u0301", "x", "o\u0301"], ["ab\u00bd", "na\u0308ive", "don't", "x\u2460"], ["<|endoftext|>", "a\u00a0b", "m\u00b2"]):
         expected = [w.tokenizer.encode(x, add_special_tokens=False).ids for x in words]
-        ids, sizes = w._ids(words)
+        ids, sizes = w._ids(words, np.zeros(len(words), bool))
         assert sizes.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
         ids, count = w.encode(pa.array([" ".join(words), words[-1]]), 0, 2)
         assert ids.tolist() == sum(expected, []) + expected[-1] and count.tolist() == [len(sum(expected, [])), len(expected[-1])]
 
 
+def test_words_equal_the_library_on_random_characters():
+    w = Words(TokenConfig().path, 1 << 12)
+    rng = random.Random(1)
+    some = [*"abcXYZéÀß×÷ç019 .,!?'\"<|>$€²½ⅣⅫ\n\t\r\x0b\x0c\x1c\x1f\x00\x7f", "\u0338", "\u0301", "\u0308", "\u00a0", "\u2003", "\u0130", "ǅſΣς", "क़क्षि", "日本語", "😀", "T\u0308", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "cafe\u0301", "x²"]
+    for _ in range(300):
+        rows = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 9))]
+        ids, count = w.encode(pa.array(rows), 0, len(rows))
+        expected = [w.tokenizer.encode(x, add_special_tokens=False).ids for x in rows]
+        assert count.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, []), rows
+    long = "Ab1,é " * 200000 + "q" * 100000  # one very long text, one very long word
+    ids, count = w.encode(pa.array([long, "x"]), 0, 2)
+    assert ids.tolist() == w.tokenizer.encode(long + " x", add_special_tokens=False).ids
+
+
+def rows_read(df):
+    """Rows that the file scan of a DataFrame gave out."""
+    df._jdf.queryExecution().toRdd().count()
+    return _scan(df._jdf.queryExecution().executedPlan()).metrics().apply("numOutputRows").value()
+
+
+def _scan(plan):
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan
+
+
+def test_token_files_skip_rows_by_index_and_bloom_filter(spark, tmp_path):
+    out = str(tmp_path / "pruned")
+    docs = spark.range(0, 60000, 2).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    write_tokens(docs, out, TokenConfig(stride=1000))
+    assert rows_read(read_tokens(spark, out)) == 30000
+    by_index = read_tokens(spark, out, F.col("doc_id") == 20000)
+    assert by_index.count() == 1 and rows_read(by_index) <= 1000
+    # an odd id lies between a row group's least and greatest; only the Bloom filter can tell that it is absent
+    absent = [rows_read(read_tokens(spark, out, F.col("doc_id") == k)) for k in range(10001, 10101, 10)]
+    assert absent.count(0) >= 8 and max(absent) <= 1000
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     rows, labels = [], []
