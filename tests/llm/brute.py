@@ -93,3 +93,44 @@ def without_frequent_lines(rows, most):
             docs.setdefault((host, norm(line)), set()).add(doc)
     gone = {k for k, d in docs.items() if k[1] and len(d) > most}
     return [None if text is None else "\n".join(x for x in text.split("\n") if (host, norm(x)) not in gone) for _, text, host in rows]
+
+
+def paragraph_units(text, least=8):
+    """(begin, stop, words) of each line with a word, and of each sentence with the next ones of its line up to least words, in bytes."""
+    out, at = set(), 0
+    for line in (text or "").encode().split(b"\n"):
+        found = [(at + m.start(), at + m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)]
+        at += len(line) + 1
+        ends = [k + 1 for k, x in enumerate(found) if x[2][-1:] in (b".", b"!", b"?") or k + 1 == len(found)]
+        ranges = [(0, len(found))] if found else []
+        for a in [0, *ends[:-1]] if found else []:
+            ranges += [(a, b) for b in ends if b - a >= least][:1]
+        out |= {(found[a][0], found[b - 1][1], tuple(x[2].lower() for x in found[a:b])) for a, b in ranges}
+    return sorted(out)
+
+
+def paragraphs(rows, percent=80, width=5):
+    """rows: (doc_id, text) -> doc_id: removed byte ranges, merged; all pairs of different units are compared."""
+    every = [(i, *u) for i, t in sorted(rows, key=lambda r: r[0]) for u in paragraph_units(t)]
+    sets = {w: {w[k : k + width] for k in range(max(1, len(w) - width + 1))} for _, _, _, w in every}
+    names = dict(enumerate(sorted(sets)))
+    comp = {names[k]: c for k, c in components({k: sets[w] for k, w in names.items()}, percent).items()}
+    of = {}
+    for i, a, b, w in every:
+        of.setdefault(comp[w], []).append((i, a, b))
+    spans = {i: [] for i, _ in rows}
+    for group in of.values():
+        for i, a, b in group:
+            if any(j < i or (j == i and y <= a) for j, _, y in group):
+                spans[i].append((a, b))
+    return {i: merged(x) for i, x in spans.items()}
+
+
+def merged(spans):
+    out = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out

@@ -15,7 +15,7 @@ from graphloom.llm.near import NearConfig
 from graphloom.llm.op01_near_dedup import near_dedup, one_of_each
 from graphloom.llm.op02_toxicity import ToxicConfig, character_model, readings, toxicity
 from graphloom.llm.op03_decontaminate import LeakConfig, contaminated, leaks, myers, normalise, pieces
-from graphloom.llm.op04_paragraphs import repeated_paragraphs
+from graphloom.llm.op04_paragraphs import ParagraphConfig, _few, _many, _shared, repeated_paragraphs, without_repeated_paragraphs
 from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
 from graphloom.llm.op07_mixing import MixConfig, fit, mixed, rates
@@ -175,26 +175,57 @@ def test_decontamination(spark):
     assert leaks(b" nothing ", [(1, normalise("abc def"))], 5) == {}
 
 
-def test_paragraphs(spark):
+def test_paragraphs_equal_brute_force(spark):
     rng = random.Random(6)
     base = [passage(rng, 20) + "." for _ in range(6)]
     near = base[0].split()
     near[19] = "zz."
-    rows = [(1, f"{base[0]} {base[1]}"), (2, f"{passage(rng, 12)}. {' '.join(near)} tail"), (3, f"{base[2]}\n{base[1]}\n{base[1]}"), (4, "short one. " * 5), (5, passage(rng, 30)), *ODD]
-    got = {r.doc_id: (r.n_paragraphs, sorted((x.begin, x.stop) for x in r.spans or [])) for r in repeated_paragraphs(frame(spark, rows)).collect()}
-    assert got[1] == (2, []) and got[5] == (1, []) and got[4] == (0, [])
-    at = rows[1][1].index(" ".join(near))
-    assert got[2] == (2, [(at, at + len(" ".join(near)))])
-    first = len(base[2]) + 1
-    assert got[3] == (3, [(first, first + len(base[1])), (first + len(base[1]) + 1, first + 2 * len(base[1]) + 1)])
-    assert all(got[i] == (0, []) for i, _ in ODD)
+    rows = [(1, f"{base[0]} {base[1]}"), (2, f"{passage(rng, 12)}. {' '.join(near)} tail"), (3, f"{base[2]}\n{base[1]}\n{base[1]}"), (5, passage(rng, 30)), *ODD]
+    six = "two of the six words here."
+    rows += [(4, " ".join([six] * 30)), (6, f"own start {six} {six} own end"), (7, "Short! " + passage(rng, 40)), (8, "é ü. " * 9 + "\nsolo\n" + base[3].upper())]
+    rows += [(20 + i, f"{passage(rng, 9)} {base[4]} {passage(rng, 7)}. {base[5]}\r\n{base[3]}") for i in range(5)]
+    long = passage(rng, 60).split()
+    for i in range(12):  # a chain of edits: each is near the next, the ends are not
+        rows.append((40 + i, " ".join(long)))
+        long[rng.randrange(60)] = "new"
+    rows.append((60, f"{base[0]}\n" + (passage(rng, 50) + ". ") * 400))  # a long text
+    expected = brute.paragraphs(rows)
+    assert expected[1] == [] and expected[5] == [] and expected[7] == [] and len(expected[4]) == 1 and expected[3]
+    for config in (ParagraphConfig(), ParagraphConfig(block=3)):
+        got = {r.doc_id: brute.merged((x.begin, x.stop) for x in r.spans or []) for r in repeated_paragraphs(frame(spark, rows).withColumn("d1", F.lit(1)).withColumn("spans", F.lit("x")), config).collect()}
+        assert got == expected
+    counts = {r.doc_id: (r.n_paragraphs, r.n_bytes, r.n_removed, r.n_spans) for r in without_repeated_paragraphs(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert counts[i] == (sum(bool(brute.words(x)) for x in (t or "").split("\n")), len((t or "").encode()), sum(b - a for a, b in expected[i]), len(expected[i]))
     assert repeated_paragraphs(frame(spark, [])).count() == 0
     many = [(i, " ".join(base[0].split()[:19] + [f"w{i}."])) for i in range(60)]  # one bucket over several blocks
-    from graphloom.llm.op04_paragraphs import ParagraphConfig
+    spans = {r.doc_id: len(r.spans or []) for r in repeated_paragraphs(frame(spark, many), ParagraphConfig(block=7)).collect()}
+    assert spans == {i: int(i > 0) for i in range(60)}
+    same = frame(spark, [(1, base[0]), (1, base[0]), (None, base[0]), (1, base[0] + " x")])
+    assert sorted((r.doc_id or 0, r.text, len(r.spans or [])) for r in repeated_paragraphs(same).collect()) == [(0, base[0], 0), (1, base[0], 1), (1, base[0], 1), (1, base[0] + " x", 2)]
 
-    for config in (ParagraphConfig(), ParagraphConfig(block=7)):
-        spans = {r.doc_id: len(r.spans or []) for r in repeated_paragraphs(frame(spark, many), config).collect()}
-        assert spans == {i: int(i > 0) for i in range(60)}
+
+def test_shared_bucket_rows_over_batches():
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(40), rng.randrange(4)) for _ in range(120))
+    units = {k: sorted({u for x, u in rows if x == k}) for k, _ in rows}
+    expected = sorted((k, u) for k, us in units.items() if len(us) > 1 for u in us)
+    for size in (1, 2, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[at : at + size]], pa.int64()) for i in (0, 1)], ["key", "unit"]) for at in range(0, len(rows), size)]
+        assert sorted(tuple(x.values()) for b in _shared(iter(batches)) for x in b.to_pylist()) == expected
+
+
+def test_links_of_small_and_large_blocks_join_the_same():
+    rng = random.Random(9)
+    sets = [np.unique(np.array([rng.randrange(30) + 100 * (i % 3) for _ in range(60)], np.uint64)) for i in range(60)]
+    for side in ([0] * 60, [i % 2 for i in range(60)]):
+        joins = []
+        for linked in (_few, _many):
+            parent = list(range(60))
+            for i, j in linked(sets, list(range(60)), side, 80):
+                parent = [parent[i] if p == parent[j] else p for p in parent]
+            joins.append([parent.index(p) for p in parent])
+        assert joins[0] == joins[1] and len(set(joins[0])) < 40
 
 
 def test_merge_of_front_coded_runs():
