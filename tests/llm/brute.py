@@ -110,11 +110,12 @@ def paragraph_units(text, least=8):
 
 
 def paragraphs(rows, percent=80, width=5):
-    """rows: (doc_id, text) -> doc_id: removed byte ranges, merged; all pairs of different units are compared."""
+    """rows: (doc_id, text) -> doc_id: removed byte ranges, merged; all pairs of different lines are compared."""
     every = [(i, *u) for i, t in sorted(rows, key=lambda r: r[0]) for u in paragraph_units(t)]
-    sets = {w: {w[k : k + width] for k in range(max(1, len(w) - width + 1))} for _, _, _, w in every}
-    names = dict(enumerate(sorted(sets)))
-    comp = {names[k]: c for k, c in components({k: sets[w] for k, w in names.items()}, percent).items()}
+    lines = sorted({tuple(x.lower() for x in re.findall(rb"[^\x20\x09-\x0D]+", y)) for _, t in rows for y in (t or "").encode().split(b"\n")} - {()})
+    near = components({k: {w[j : j + width] for j in range(max(1, len(w) - width + 1))} for k, w in enumerate(lines)}, percent)
+    comp = {w: lines[near[k]] for k, w in enumerate(lines)}
+    comp = {w: comp.get(w, w) for _, _, _, w in every}
     of = {}
     for i, a, b, w in every:
         of.setdefault(comp[w], []).append((i, a, b))
