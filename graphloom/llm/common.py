@@ -17,20 +17,26 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. Only a session without one (a test, a laptop) gets a local folder."""
+    """The folder that every executor sees. Only a local session without one (a test, a laptop) gets a local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Written tables that cut lineage: a lost executor rereads them instead of recomputing everything above."""
+    """Written tables that cut lineage: a lost executor rereads them instead of recomputing everything above.
+
+    The session is told to drop a query's shuffle files once the query has ended.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -38,13 +44,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """df, written and reread; the shuffle files behind it go as soon as it is written."""
-        at, key = self.path(name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, "false")
-        self.spark.conf.set(key, "true")
-        try:
-            df.write.option("compression", codec).parquet(at)
-        finally:
-            self.spark.conf.set(key, before)
+        at = self.path(name)
+        df.write.option("compression", codec).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_at = at
         return out
@@ -62,6 +63,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spare(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened where a table has such a column."""
+    known, out = {x.lower() for x in taken}, []
+    for x in names:
+        while x.lower() in known:
+            x += "_"
+        known.add(x.lower())
+        out.append(x)
+    return out
+
+
+def packed(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, text, rest), where rest holds all other columns, so that none can clash, and the way back to docs' columns."""
+    names = [x for x in docs.columns if x not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{x}`") for x in names]) if names else F.lit(None).cast("int")
+
+    def unpacked(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(x) if x in ("doc_id", "text") else F.col("rest").getField(x).alias(x) for x in docs.columns])
+
+    return docs.select("doc_id", "text", rest.alias("rest")), unpacked
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

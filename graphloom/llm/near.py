@@ -42,6 +42,7 @@ class NearConfig:
     bits: int = 2048
     sigmas: float = 4.5  #: a sketch rules a pair out when its estimate is so many deviations below the limit
     block: int = 512  #: texts of a bucket that are compared in one step
+    salts: int = 16  #: rows of a class of equal texts meet it in so many parts
 
     @property
     def most_bits(self) -> int:
@@ -226,26 +227,28 @@ def _confirm(c: NearConfig):
 
 
 def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
-    """(row, uid, version, n_shingles, node, component) for each row of docs (uid long, text string).
+    """(row, uid, version, n_shingles, component, first) for each row of docs (uid long, text string).
 
-    row numbers the rows; version is the text's xxhash64; node is the smallest row with the same shingle set; component the smallest node that links
-    reach. Both are null where the text has no words. A null text counts as empty; rows may repeat a uid.
+    row numbers the rows; version is the text's xxhash64; component is the smallest row of a class that links reach,
+    first the first row of all of these (none, uid, row), none telling that it has no uid. Both are null where the text
+    has no words. A null text counts as empty; rows may repeat a uid. Sets are sets of 64-bit shingle hashes.
     """
     docs = docs.toDF("uid", "text")
     sig = scratch.keep(docs.withColumn("version", F.xxhash64("text")).mapInArrow(_signatures(c), "uid long, version long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary").withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sig.where("n_shingles > 0")
-    classes = some.groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("node"))
-    rows = scratch.keep(sig.select("row", "uid", "version", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left"), "classes")
-    reps = sig.join(rows.where("node = row").select("row"), "row", "left_semi")
+    first = F.min(F.struct(F.col("uid").isNull().alias("none"), "uid", "row")).alias("first")
+    classes = scratch.keep(some.groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("node"), F.count("*").alias("n"), first), "classes")
+    nodes = classes.select(F.col("node").alias("row"))
+    reps = sig.join(nodes, "row", "left_semi")
 
     buckets = reps.select("row", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = scratch.keep(buckets.join(shared, "key").select("key", "n", "band", F.col("row").alias("node")), "members")
     sketches = scratch.keep(sig.select(F.col("row").alias("node"), "bands", "sketch").join(members.select("node").distinct(), "node", "left_semi"), "sketches", "none")
-    wanted = rows.where("node = row").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("uid").alias("u"), "d1", "d2")
+    wanted = sig.withColumnRenamed("row", "node").join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("uid").alias("u"), "d1", "d2")
     sets = scratch.keep(docs.join(wanted, F.col("uid").eqNullSafe(F.col("u"))).select("node", "text", "d1", "d2").mapInArrow(_sets(c), "node long, shingles binary"), "sets", "none")
 
-    used = [sig, members, sketches, sets]
+    used = [members, sketches, sets]
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
@@ -260,10 +263,10 @@ def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
     nblocks = F.ceil(F.col("n") / F.lit(c.block)).cast("long")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), nblocks))
     likely = confirmed(compared(dealt.withColumn("side", F.lit(0)).withColumn("component", F.col("node")), True), "likely")
-    first = components(scratch, likely)
+    first_ = components(scratch, likely)
 
     # what is open: pairs of different components in one bucket
-    known = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = members.join(first_, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = known.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top")).where("parts > 1")
     mixed = mixed.select("key", F.col("top.component").alias("largest"), F.ceil(F.col("top.m") / F.lit(c.block)).cast("long").alias("big"), F.ceil((F.col("all") - F.col("top.m")) / F.lit(c.block)).cast("long").alias("small"))
@@ -276,8 +279,18 @@ def near_groups(scratch: Scratch, docs: DataFrame, c: NearConfig) -> DataFrame:
     larger = F.transform(F.sequence(F.lit(0).cast("long"), rest - 1), lambda k: rest * rest + F.col("own") * rest + k)
     tiles = at.withColumn("block", F.explode(F.when(F.col("side") == 1, larger).otherwise(F.concat(inner, outer))))
     found = confirmed(compared(tiles, False), "open")
-    joint = found.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
+    joint = found.join(first_.toDF("a", "ca"), "a", "left").join(first_.toDF("b", "cb"), "b", "left")
     second = components(scratch, joint.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")))
+    named = classes.join(first_.toDF("node", "c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node")).join(second.toDF("c1", "c2"), "c1", "left").withColumn("component", F.coalesce("c2", "c1"))
+    heads = scratch.keep(named.groupBy("component").agg(F.min("first").alias("first")), "heads")
+    named = scratch.keep(named.drop("first").join(heads, "component").select("d1", "d2", "n_shingles", "node", "n", "component", "first"), "named")
+    rows = sig.select("row", "uid", "version", "n_shingles", "d1", "d2")
+    # the row that names its class needs no other column; of the others each meets its class in one of its parts
+    own = rows.join(named.select(F.col("node").alias("row"), "component", "first"), "row", "left")
+    own = scratch.keep(own, "own")
+    spread = named.where("n > 1").select("d1", "d2", "n_shingles", "component", "first", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"))
+    rest = own.where("component is null and n_shingles > 0").drop("component", "first").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(c.salts)).cast("int"))
+    rest = rest.join(spread, ["d1", "d2", "n_shingles", "salt"])
     scratch.drop(*used)
-    label = rows.select("row", "uid", "version", "n_shingles", "node").join(first.toDF("node", "c1"), "node", "left").withColumn("c1", F.coalesce("c1", "node"))
-    return label.join(second.toDF("c1", "c2"), "c1", "left").select("row", "uid", "version", "n_shingles", "node", F.coalesce("c2", "c1").alias("component"))
+    out = ("row", "uid", "version", "n_shingles", "component", "first")
+    return own.where("component is not null or n_shingles = 0 or n_shingles is null").select(*out).unionByName(rest.select(*out))

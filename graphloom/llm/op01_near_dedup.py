@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, spare, table
 from .near import NearConfig, near_groups
 
 
@@ -14,14 +14,12 @@ def near_dedup(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
 
     Nulls and texts without words have empty sets: they link with nothing, are their own component and are kept.
     Repeated rows are linked like any equal texts; one row of each component is kept, the first of those with the
-    smallest doc_id (a null doc_id counts as the largest). An empty table gives no rows; other columns are ignored.
+    smallest doc_id (a null doc_id counts as the largest). A very long text is one step, so memory follows the longest.
+    An empty table gives no rows; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    found = scratch.keep(near_groups(scratch, docs.select("doc_id", "text"), config or NearConfig()), "groups")
-    # written apart from the join below, so that Spark can split a large component's rows there
-    head = scratch.keep(found.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("uid").isNull().alias("none"), "uid", "row")).alias("first")), "heads")
-    out = found.join(head, "component", "left")
-    return out.select(
+    found = near_groups(scratch, docs.select("doc_id", "text"), config or NearConfig())
+    return found.select(
         "row",
         "version",
         F.col("uid").alias("doc_id"),
@@ -32,14 +30,15 @@ def near_dedup(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, config: NearConfig | None = None) -> DataFrame:
-    """docs with one row of each near-duplicate group, columns as they were; rows equal in doc_id and text count as one."""
+    """docs with one row of each near-duplicate group, columns as they were, whatever their names; rows equal in doc_id and text count as one."""
     scratch = Scratch(docs.sparkSession, "one")
     verdict = scratch.keep(near_dedup(docs, config).select("row", "doc_id", "version", "kept"), "verdict")
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("version").alias("__v")).distinct()
-    out = docs.withColumn("__version", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__v")), "left_semi")
+    version, id_, v = spare(docs.columns, "version", "kept_id", "kept_version")
+    kept = verdict.where("kept").select(F.col("doc_id").alias(id_), F.col("version").alias(v)).distinct()
+    out = docs.withColumn(version, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(version) == F.col(v)), "left_semi")
     if not verdict.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "__version"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["doc_id", version])
+    return out.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

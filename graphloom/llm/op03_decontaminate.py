@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, steps, table, texts
+from .common import Scratch, joined, steps, table, texts
 
 
 @dataclass(frozen=True)
 class LeakConfig:
     edits_percent: int = 8  #: error budget of an item, in hundredths of its normalised length
     block_bytes: int = 2 << 20  #: benchmark text that one pass over the documents looks for; more items take more passes
+    blocks: int = 4  #: passes of one plan; after these the rows are written, so that a plan holds a bounded part of a benchmark
 
 
 _KEEP = np.full(256, 32, np.uint8)
@@ -36,9 +37,13 @@ def normalise(text: str | None) -> bytes:
     return normalised(np.frombuffer((text or "").encode(), np.uint8)).tobytes().strip(b" ")
 
 
-def pieces(item: bytes, percent: int) -> list[tuple[int, bytes]]:
+def budget(item: bytes, percent: int) -> int:
+    """Edits that an item of normalised bytes may have; at 8 % items of up to 12 bytes have none."""
+    return len(item) * percent // 100
+
+
+def pieces(item: bytes, k: int) -> list[tuple[int, bytes]]:
     """Error budget plus one pieces of nearly equal length, with their places: so many edits leave one of them whole."""
-    k = len(item) * percent // 100
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -65,68 +70,81 @@ def myers(pattern_bits: list[int], m: int, text: bytes, limit: int) -> int:
     return min(best, limit + 1)
 
 
-_BUILT: dict[int, tuple] = {}
+class Items:
+    """Benchmark items (id, normalised text) as one automaton of all their pieces.
 
+    Items and texts have a space at both ends, so that an item is found between spaces only and never inside a word.
+    """
 
-def _automaton(items: list[tuple[int, bytes]], percent: int):
-    key = hash((percent, tuple(items)))
-    if key not in _BUILT:
+    def __init__(self, items: list[tuple[int, bytes]], percent: int):
         import ahocorasick
 
-        machine, where = ahocorasick.Automaton(), {}
-        for n, (_, item) in enumerate(items):
-            for at, piece in pieces(item, percent):
+        self.ids = [i for i, _ in items]
+        self.budgets = [budget(x, percent) for _, x in items]
+        self.texts = [b" " + x + b" " for _, x in items]
+        where: dict[bytes, list[tuple[int, int]]] = {}
+        for n, (item, k) in enumerate(zip(self.texts, self.budgets, strict=True)):
+            for at, piece in pieces(item, k):
                 where.setdefault(piece, []).append((n, at))
+        self.machine = ahocorasick.Automaton()
         for piece, at in where.items():
-            machine.add_word(piece.decode("latin-1"), (len(piece), at))
-        machine.make_automaton()
-        bits = []
-        for _, item in items:
+            self.machine.add_word(piece.decode("latin-1"), (len(piece), at))
+        self.machine.make_automaton()
+        self.bits = []
+        for item in self.texts:
             row = [0] * 256
             for i, ch in enumerate(item):
                 row[ch] |= 1 << i
-            bits.append(row)
-        _BUILT.clear()
-        _BUILT[key] = machine, bits
-    return _BUILT[key]
+            self.bits.append(row)
+
+    def inside(self, text: bytes) -> dict[int, int]:
+        """Item ids in a normalised text with their least distances within the budgets."""
+        text = b" " + text.strip(b" ") + b" "
+        tried: set[tuple[int, int]] = set()
+        found: dict[int, int] = {}
+        for last, (size, places) in self.machine.iter(text.decode("latin-1")):
+            for n, at in places:
+                item, k = self.texts[n], self.budgets[n]
+                begin = last + 1 - size - at
+                if found.get(n) == 0 or (n, begin) in tried:
+                    continue
+                tried.add((n, begin))
+                if begin >= 0 and text.startswith(item, begin):
+                    found[n] = 0
+                elif k:
+                    d = myers(self.bits[n], len(item), text[max(0, begin - k) : begin + len(item) + k], k)
+                    if d <= k:
+                        found[n] = min(d, found.get(n, d))
+        least: dict[int, int] = {}
+        for n, d in found.items():
+            least[self.ids[n]] = min(d, least.get(self.ids[n], d))
+        return least
 
 
 def leaks(text: bytes, items: list[tuple[int, bytes]], percent: int) -> dict[int, int]:
-    """Item ids in a normalised text with their least distances within the budget."""
-    machine, bits = _automaton(items, percent)
-    tried: set[tuple[int, int]] = set()
-    found: dict[int, int] = {}
-    for last, (size, places) in machine.iter(text.decode("latin-1")):
-        for n, at in places:
-            item = items[n][1]
-            m = len(item)
-            k = m * percent // 100
-            begin = last + 1 - size - at
-            if found.get(n) == 0 or (n, begin) in tried:
-                continue
-            tried.add((n, begin))
-            if begin >= 0 and text.startswith(item, begin):
-                found[n] = 0
-            elif k:
-                d = myers(bits[n], m, text[max(0, begin - k) : begin + m + k], k)
-                if d <= k:
-                    found[n] = min(d, found.get(n, d))
-    least: dict[int, int] = {}
-    for n, d in found.items():
-        least[items[n][0]] = min(d, least.get(items[n][0], d))
-    return least
+    return Items(items, percent).inside(text)
+
+
+#: The last block's automaton: a worker's tasks of one pass share it.
+_BUILT: dict[str, Items] = {}
 
 
 def _look(items: list[tuple[int, bytes]], percent: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds what a block of items finds to the last two columns (item ids, distances); text is column 0."""
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = Items(items, percent)
+        built = _BUILT[name]
         for batch in batches:
             column, n = texts(batch.column(0)), batch.num_columns
             had = [dict(zip(a, b, strict=True)) for a, b in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)]
             for lo, hi in steps(column):
                 for k in range(lo, hi):
                     buf, _, _ = joined(column, k, k + 1, sep=32)
-                    for item, d in leaks(normalised(buf).tobytes(), items, percent).items():
+                    for item, d in built.inside(normalised(buf).tobytes()).items():
                         had[k][item] = min(d, had[k].get(item, d))
             ids = [sorted(x) for x in had]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(ids, pa.list_(pa.int64())), pa.array([[x[i] for i in y] for x, y in zip(had, ids, strict=True)], pa.list_(pa.int32()))], batch.schema.names)
@@ -153,14 +171,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: LeakConfig | Non
 
     docs has text, benchmark has item_id and text. Every column of docs comes through; columns of docs that are called
     item_ids or distances are replaced. Null and empty texts hold nothing; null, empty or wordless items are left
-    out; rows that repeat are judged each; an empty benchmark gives empty arrays, an empty table no rows. No shuffle:
-    each block of items, bounded in bytes, is one narrow pass over all documents.
+    out; rows that repeat are judged each; a very long text is one step, so memory follows the longest; an empty
+    benchmark gives empty arrays, an empty table no rows. An item is found between spaces of the normalised text only;
+    items of up to 12 bytes have no error budget. No shuffle: each block of items, bounded in bytes, is one narrow pass
+    over all documents.
     """
     c = config or LeakConfig()
     names = [x for x in docs.columns if x not in ("item_ids", "distances")]
     order = ["text", *(x for x in names if x != "text")]
     out = docs.select(*order, F.expr("cast(array() as array<bigint>)").alias("item_ids"), F.expr("cast(array() as array<int>)").alias("distances"))
-    for items in chain(_blocks(benchmark, c.block_bytes)):
+    scratch = Scratch(docs.sparkSession, "leaks")
+    for k, items in enumerate(_blocks(benchmark, c.block_bytes)):
+        if k and not k % c.blocks:
+            out = scratch.keep(out, "blocks")
         out = out.mapInArrow(_look(items, c.edits_percent), out.schema)
     return out.select(*names, "item_ids", "distances")
 

@@ -15,7 +15,8 @@ _GAP = "[\\x20\\x09-\\x0D]+"
 
 @dataclass(frozen=True)
 class LineConfig:
-    max_docs: int = 30  #: a normalised line in more documents of a host is boilerplate
+    max_docs: int = 30  #: a normalised line in more documents of a host, and in more than
+    max_per_mille: int = 1  #: so many thousandths of them, is boilerplate
     min_left_percent: int = 50  #: a document that keeps a smaller part of its words is depleted
     min_words: int = 10
     max_repeat_percent: int = 20
@@ -59,7 +60,7 @@ def _judged(docs: DataFrame, config: LineConfig | None, host: str) -> tuple[Data
         return F.translate(F.array_join(_words(line), " "), _UPPER, _LOWER)
 
     def measured(lines: Column) -> Column:
-        return F.struct((F.size(lines) - F.size(F.array_distinct(F.transform(lines, lambda x: x["x"])))).cast("long").alias("dup"), F.transform(lines, lambda x: F.struct(F.xxhash64("place", normal(x["x"])).alias("line"), F.size(_words(x["x"])).alias("words"), x["i"].alias("i"))).alias("rows"))
+        return F.struct((F.size(lines) - F.size(F.array_distinct(F.transform(lines, lambda x: x["x"])))).cast("long").alias("dup"), F.transform(lines, lambda x: F.struct(F.xxhash64(normal(x["x"])).alias("line"), F.size(_words(x["x"])).alias("words"), x["i"].alias("i"))).alias("rows"))
 
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     lines = F.filter(lines, lambda x: F.length(F.regexp_replace(x["x"], _GAP, "")) > 0)
@@ -75,11 +76,13 @@ def _judged(docs: DataFrame, config: LineConfig | None, host: str) -> tuple[Data
         let(lines, measured).alias("l"),
     )
     base = scratch.keep(base, "base")
-    rows = base.select("row", "doc_id", F.explode("l.rows").alias("x")).select("row", "doc_id", "x.line", "x.words", "x.i")
-    often = rows.select("line", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).distinct().groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > c.max_docs)
-    often = scratch.keep(often, "often")
-    spread = often.select("line", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"))
-    gone = rows.withColumn("salt", F.pmod("row", F.lit(c.salts)).cast("int")).join(spread, ["line", "salt"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_list("i").alias("gone_at"))
+    hosted = base.withColumn("host", F.xxhash64("place"))
+    sizes = hosted.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("of"))
+    rows = hosted.select("row", "doc_id", "host", F.explode("l.rows").alias("x")).select("row", "doc_id", "host", "x.line", "x.words", "x.i")
+    often = rows.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > c.max_docs)
+    often = scratch.keep(often.join(sizes, "host").where(1000 * F.col("documents") > c.max_per_mille * F.col("of")).drop("of"), "often")
+    spread = often.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"))
+    gone = rows.withColumn("salt", F.pmod("row", F.lit(c.salts)).cast("int")).join(spread, ["host", "line", "salt"]).groupBy("row").agg(F.sum("words").alias("gone"), F.collect_list("i").alias("gone_at"))
     n, repeat, lost = F.col("w.n"), F.col("w.repeat"), F.coalesce("gone", F.lit(0)).cast("long")
     failed = (n < c.min_words) | (100 * repeat > c.max_repeat_percent * n)
     verdicts = base.join(gone, "row", "left").select(
@@ -94,9 +97,10 @@ def quality_lines(docs: DataFrame, config: LineConfig | None = None, host: str =
     """Verdicts and the boilerplate lines behind them; docs has doc_id, text and a host column.
 
     Verdicts: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
-    Lines: (line hash of host and normalised line, documents).
+    Lines: (host's hash, normalised line's hash, documents).
     A null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are judged each but
-    count once for a line; an empty table gives no rows; other columns are ignored.
+    count once for a line, as do all rows without a doc_id; a very long text is one row's arrays in memory; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     verdicts, often = _judged(docs, config, host)
     return verdicts.drop("version", "place", "gone_at"), often
@@ -127,7 +131,7 @@ rep AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc
 ln AS (SELECT doc_id, source, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM d)),
 lw AS (SELECT *, translate(array_to_string(w, ' '), '{_UPPER}', '{_LOWER}') AS norm FROM ln WHERE len(w) > 0),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lw GROUP BY doc_id),
-often AS (SELECT source, norm FROM lw GROUP BY source, norm HAVING count(DISTINCT doc_id) > {LineConfig.max_docs}),
+often AS (SELECT source, norm FROM lw JOIN (SELECT source, count(DISTINCT doc_id) AS n_of FROM documents GROUP BY source) USING (source) GROUP BY source, norm, n_of HAVING count(DISTINCT doc_id) > {LineConfig.max_docs} AND 1000 * count(DISTINCT doc_id) > {LineConfig.max_per_mille} * n_of),
 gone AS (SELECT doc_id, sum(len(w)) AS n FROM lw JOIN often USING (source, norm) GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words

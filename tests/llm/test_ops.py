@@ -14,7 +14,7 @@ from graphloom.llm.components import components
 from graphloom.llm.near import NearConfig
 from graphloom.llm.op01_near_dedup import near_dedup, one_of_each
 from graphloom.llm.op02_toxicity import ToxicConfig, character_model, readings, toxicity
-from graphloom.llm.op03_decontaminate import LeakConfig, contaminated, leaks, myers, normalise, pieces
+from graphloom.llm.op03_decontaminate import LeakConfig, budget, contaminated, leaks, myers, normalise, pieces
 from graphloom.llm.op04_paragraphs import ParagraphConfig, _few, _many, _shared, repeated_paragraphs, without_repeated_paragraphs
 from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
@@ -140,7 +140,7 @@ def test_myers_equals_the_table():
         assert myers(bits, len(p), t, len(p)) == brute.edit_inside(p, t)
     for n in (1, 19, 20, 100, 399):
         item = bytes(range(97, 97 + 20)) * 20
-        parts = pieces(item[:n], 5)
+        parts = pieces(item[:n], budget(item[:n], 5))
         assert b"".join(x for _, x in parts) == item[:n] and len(parts) == n * 5 // 100 + 1
 
 
@@ -163,16 +163,19 @@ def test_decontamination(spark):
         expected = {}
         for k, item in items:
             p = normalise(item)
-            if p and (d := brute.edit_inside(p, b" " + normalise(text) + b" ")) <= len(p) * LeakConfig().edits_percent // 100:
+            if p and (d := brute.edit_inside(b" " + p + b" ", b" " + normalise(text) + b" ")) <= len(p) * LeakConfig().edits_percent // 100:
                 expected[k] = d
         assert got[i].keys() == expected.keys(), i
     assert sum(map(bool, got.values())) > 5
     assert contaminated(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     none = contaminated(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.where(F.size("item_ids") > 0).count() == 0
-    small = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), LeakConfig(block_bytes=300))
+    small = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), LeakConfig(block_bytes=300, blocks=2))
     assert {r.doc_id: set(r.item_ids) for r in small.collect()} == {i: set(x) for i, x in got.items()}
     assert leaks(b" nothing ", [(1, normalise("abc def"))], 5) == {}
+    assert leaks(normalise("the party was long"), [(1, b"art"), (2, b"part")], 8) == {} and leaks(normalise("The ART, was"), [(1, b"art")], 8) == {1: 0}
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300000))  # a very long text, an item across its end
+    assert leaks(normalise(long), [(1, normalise(long[200000:200400]).strip()), (2, normalise(long[-300:]))], 8).keys() == {1, 2}
 
 
 def test_paragraphs_equal_brute_force(spark):
