@@ -1,4 +1,15 @@
-"""Operator 9: globally repeated multi-line chunks with content-defined borders."""
+"""Operator 9: globally repeated multi-line chunks with content-defined borders.
+
+1. A rolling hash over the hashes of a text's lines chooses borders, so lines that are put in or taken out elsewhere
+   don't move them. A text is its chunks, each a list of line hashes.
+2. Before any hash counts as a line, the bytes of all lines that share it are compared (``parting_hash``): a hash that
+   gives two different lines one value is not used. So equal lists are equal bytes.
+3. Chunks of two lines or more that repeat an earlier chunk go whole.
+4. A repeated block need not hold a whole chunk. What is left, pairs of neighbouring lines across borders and inside
+   chunks that stay, is looked up too: a pair that repeats an earlier one goes. A pair inside a chunk that goes is
+   repeated with it, and its first occurrence is in a chunk that stays, so nothing is missed: the result is every block
+   of two or more lines that occurred before, wherever it begins.
+"""
 
 from __future__ import annotations
 
@@ -12,108 +23,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, steps, table, texts
+from .common import Scratch, let, steps, table, texts
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
 class ChunkConfig:
     window: int = 2  #: lines under the rolling hash
     divisor: int = 3  #: a chunk ends where the rolling hash is a multiple: three lines on average
-    min_lines: int = 2  #: chunks of fewer lines are never removed
+    min_lines: int = 2  #: chunks of fewer lines are never removed whole
     salts: int = 16  #: a hot chunk's occurrences meet its first one in so many parts
 
 
-def chunk_borders(lines: list[bytes], c: ChunkConfig) -> list[tuple[int, int]]:
-    """Chunks as line ranges. A border depends on the window's lines alone, so lines put in or taken out elsewhere don't move it."""
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    top = pow(_BASE, c.window, 1 << 64)
-    rolling, out, begin = 0, [], 0
-    for i, h in enumerate(hashes):
-        rolling = (rolling * _BASE + h) & _MASK
-        if i >= c.window:
-            rolling = (rolling - hashes[i - c.window] * top) & _MASK
-        if i + 1 >= c.window and (rolling >> 33) % c.divisor == 0:
-            out.append((begin, i + 1))
-            begin = i + 1
-    if begin < len(lines):
-        out.append((begin, len(lines)))
-    return out
-
-
-def _chunks(c: ChunkConfig):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, version, text) as (doc_id, version, at, lines, hash, body) of chunks with enough lines and a word."""
-        for batch in batches:
-            ids, versions = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            held = 0
-            for k, text in enumerate(texts(batch.column(2))):
-                lines = text.as_buffer().to_pybytes().split(b"\n")
-                for a, b in chunk_borders(lines, c):
-                    if b - a >= c.min_lines and (body := b"\n".join(lines[a:b])).strip():
-                        out.append((ids[k], versions[k], a, b - a, xxhash.xxh64_intdigest(body) - (1 << 63), body))
-                        held += len(body)
-                if held > 1 << 22:
-                    yield _batch(out)
-                    out, held = [], 0
-            yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "version", "at", "lines", "hash", "body"])
-
-    return run
-
-
-def repeated_chunks(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """(doc_id, version, at, lines): line ranges of docs that repeat an earlier chunk (smaller doc_id, or earlier line) byte for byte.
-
-    docs: doc_id long, text string. version is the text's xxhash64: rows with one doc_id and one text count as one
-    document, others with that doc_id as different ones, smaller version first. Null and empty texts have no chunks; a
-    null doc_id comes first; an empty table gives no rows; other columns are ignored.
-    """
-    c = config or ChunkConfig()
-    scratch = Scratch(docs.sparkSession, "chunks")
-    versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    chunks = scratch.keep(versioned.mapInArrow(_chunks(c), "doc_id long, version long, at long, lines long, hash long, body binary"), "chunks")
-    pos = F.struct("doc_id", "version", "at")
-    twice = scratch.keep(chunks.groupBy("hash").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).where("first <> last").select("hash", "first"), "twice")
-    spread = twice.select("hash", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"), "first")
-    salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(c.salts)).cast("int")
-    some = scratch.keep(chunks.withColumn("salt", salt).join(spread, ["hash", "salt"]), "occurrences")
-    first = some.where(pos == F.col("first")).dropDuplicates(["hash"]).select("hash", F.col("body").alias("original"))
-    first = first.select("hash", "original", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"))
-    same = some.where(pos > F.col("first")).join(first, ["hash", "salt"]).where("body = original")
-    return same.select("doc_id", "version", "at", "lines").distinct()
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, spans) without the lines of the spans, and what was counted."""
-    for batch in batches:
-        kept, n, removed, spans = [], [], [], []
-        for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            gone = np.zeros(len(lines), bool)
-            for x in cuts or []:
-                gone[x["at"] : x["at"] + x["lines"]] = True
-            kept.append("\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g) if text is not None else None)
-            n.append(len(lines) if text is not None else 0)
-            removed.append(int(gone.sum()))
-            spans.append(len(cuts or []))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
-
-
-def without_repeated_chunks(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed_lines, n_removed_chunks): each row's text without its repeated chunks; a null text stays null."""
-    spans = repeated_chunks(docs, config).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "d", "version": "v"})
-    versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    both = versioned.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
+def chunk_ends(hashes: np.ndarray, c: ChunkConfig) -> np.ndarray:
+    """Where chunks of lines with these hashes end; the last one ends with the text."""
+    n = len(hashes)
+    ends = np.zeros(n, bool)
+    if n >= c.window:
+        rolling = np.zeros(n - c.window + 1, np.uint64)
+        for j in range(c.window):
+            rolling = rolling * np.uint64(_BASE) + hashes[j : n - c.window + 1 + j]
+        ends[c.window - 1 :] = (rolling >> np.uint64(33)) % np.uint64(c.divisor) == 0
+    ends[-1:] = True
+    return np.flatnonzero(ends) + 1
 
 
 #: Hashes of lines, tried in this order until one parts all lines of a table.
@@ -141,81 +74,111 @@ def _lines(k: int):
     return run
 
 
-def _pairs(k: int):
+def parting_hash(docs: DataFrame) -> int:
+    """The number of the first hash under which all different lines of docs (text) differ: all bytes are compared."""
+    for k in range(len(_HASHES)):
+        lines = docs.select("text").mapInArrow(_lines(k), "hash long, line binary")
+        if lines.groupBy("hash").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").isEmpty():
+            return k
+    raise ValueError("each hash gives two different lines one value")
+
+
+def _chunks(k: int, c: ChunkConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, version, text) as (doc_id, version, at, a, b): the hashes of line at and of the next one."""
+        """Rows (doc_id, version, text) as chunks (doc_id, version, at, hashes, next): first line, lines' hashes, hash of the line behind."""
         of = _HASHES[k]
         for batch in batches:
-            ids, versions, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), texts(batch.column(2))
+            column = texts(batch.column(2))
             for lo, hi in steps(column):
-                hashes = [np.array([of(x) for x in text.as_buffer().to_pybytes().split(b"\n")], np.uint64) for text in column[lo:hi]]
-                sizes = np.array([len(x) - 1 for x in hashes])
-                row = np.repeat(np.arange(lo, hi), sizes)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                a, b = (np.concatenate([x[cut] for x in hashes]).view(np.int64) for cut in (slice(None, -1), slice(1, None)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(versions[row]), pa.array(at), pa.array(a), pa.array(b)], ["doc_id", "version", "at", "a", "b"])
+                row, at, size, flat, after = [], [], [], [], []
+                for i in range(lo, hi):
+                    hashes = np.array([of(x) for x in column[i].as_buffer().to_pybytes().split(b"\n")], np.uint64)
+                    ends = chunk_ends(hashes, c)
+                    begins = np.append(0, ends[:-1])
+                    row.append(np.full(len(ends), i))
+                    at.append(begins)
+                    size.append(ends - begins)
+                    flat.append(hashes)
+                    after += [*hashes[ends[:-1]].view(np.int64).tolist(), None]
+                take = pa.array(np.concatenate(row))
+                offsets = pa.array(np.append(0, np.cumsum(np.concatenate(size))).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(at).astype(np.int64)), lists, pa.array(after, pa.int64())], ["doc_id", "version", "at", "hashes", "next"])
 
     return run
 
 
-def parting_hash(docs: DataFrame) -> int:
-    """The number of the first hash under which all different lines of docs (text) differ: all bytes are compared."""
-    for k in range(len(_HASHES)):
-        lines = docs.select("text").mapInArrow(_lines(k), "hash long, line binary")
-        if lines.groupBy("hash").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x <> y").isEmpty():
-            return k
-    raise ValueError("each hash gives two different lines one value")
+def _later(rows: DataFrame, keys: list[str], scratch: Scratch, c: ChunkConfig) -> DataFrame:
+    """The rows whose keys an earlier row (smaller doc_id, version, then line) has; hot keys meet their first row in salted parts."""
+    pos = F.struct("doc_id", "version", "at")
+    first = rows.groupBy(*keys).agg(F.min(pos).alias("first"), F.max(pos).alias("last")).where("first <> last").select(*keys, "first")
+    spread = scratch.keep(first, "firsts").select(*keys, F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"), "first")
+    salt = F.pmod(F.xxhash64("doc_id", "version", "at"), F.lit(c.salts)).cast("int")
+    return rows.withColumn("salt", salt).join(spread, [*keys, "salt"]).where(pos > F.col("first")).drop("salt", "first")
 
 
-def repeated_pairs(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """(doc_id, version, at): lines of docs that with the next line repeat two lines of an earlier place (smaller doc_id, or earlier line) byte for byte.
+def repeated_blocks(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
+    """(doc_id, version, at, lines): line ranges of docs that repeat lines of an earlier place (smaller doc_id, or earlier line) byte for byte.
 
-    A repeated block of two or more lines is a run of such pairs wherever it begins and ends, so no border has to fall
-    into it. Ids, versions and nulls are as in repeated_chunks; pairs of blank lines are among the rows.
+    docs: doc_id long, text string. Ranges are chunks and pairs of lines; together they cover every repeated block of
+    two or more lines; pairs of blank lines are among them. version is the text's xxhash64: rows with one doc_id and one
+    text count as one document, others with that doc_id as different ones, smaller version first. Null and empty texts
+    have one empty line; a null doc_id comes first; a very long text is one step, so memory follows the longest; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     c = config or ChunkConfig()
-    scratch = Scratch(docs.sparkSession, "pairs")
+    scratch = Scratch(docs.sparkSession, "chunks")
     versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    pairs = scratch.keep(versioned.mapInArrow(_pairs(parting_hash(docs)), "doc_id long, version long, at long, a long, b long"), "pairs")
-    pos = F.struct("doc_id", "version", "at")
-    twice = scratch.keep(pairs.groupBy("a", "b").agg(F.min(pos).alias("first"), F.max(pos).alias("last")).where("first <> last").select("a", "b", "first"), "twice")
-    spread = twice.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt"), "first")
-    salt = F.pmod(F.xxhash64("doc_id", "at"), F.lit(c.salts)).cast("int")
-    some = pairs.withColumn("salt", salt).join(spread, ["a", "b", "salt"]).where(pos > F.col("first"))
-    return some.select("doc_id", "version", "at").distinct()
+    chunks = scratch.keep(versioned.mapInArrow(_chunks(parting_hash(docs), c), "doc_id long, version long, at long, hashes array<long>, next long"), "chunks")
+    whole = scratch.keep(_later(chunks.where(F.size("hashes") >= c.min_lines), ["hashes"], scratch, c).select("doc_id", "version", "at", F.size("hashes").cast("long").alias("lines")).distinct(), "whole")
+    gone = whole.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), F.col("at").alias("a"), F.lit(True).alias("gone"))
+    marked = chunks.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")) & (F.col("at") == F.col("a")), "left")
+    lines = F.when(F.col("gone"), F.slice("hashes", -1, 1)).otherwise(F.col("hashes"))
+    skipped = F.col("at") + F.when(F.col("gone"), F.size("hashes") - 1).otherwise(0)
+    run = F.when(F.col("next").isNull(), lines).otherwise(F.concat(lines, F.array("next")))
+    # neighbours are zipped before they are exploded: a row of a long run must not carry the run
+    zipped = marked.select("doc_id", "version", skipped.alias("base"), let(run, lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("z"))
+    pairs = zipped.select("doc_id", "version", "base", F.posexplode("z").alias("i", "p")).select("doc_id", "version", (F.col("base") + F.col("i")).alias("at"), "p.x", "p.y")
+    pairs = scratch.keep(pairs, "pairs")
+    scratch.drop(chunks)
+    two = _later(pairs, ["x", "y"], scratch, c).select("doc_id", "version", "at", F.lit(2).cast("long").alias("lines")).distinct()
+    return whole.unionByName(two)
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, starts of repeated pairs) without the runs of lines under pairs that have a word, and what was counted."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, ranges of repeated lines) without the runs of such lines that have a word, and what was counted."""
     for batch in batches:
-        kept, n, removed, spans = [], [], [], []
-        for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            gone = np.zeros(len(lines) + 2, bool)
-            at = np.array(starts or [], np.int64)
-            gone[at + 1] = gone[at + 2] = True
-            edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist() + [len(lines)] * bool(gone[-1])
-            runs = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if "".join(lines[a:b]).encode().strip()]
-            begin, rest = 0, []
-            for a, b in runs:
-                rest += lines[begin:a]
-                begin = b
-            kept.append("\n".join(rest + lines[begin:]) if text is not None else None)
-            n.append(len(lines) if text is not None else 0)
-            removed.append(sum(b - a for a, b in runs))
-            spans.append(len(runs))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+        column = batch.column(1)
+        for lo, hi in steps(texts(column)):
+            kept, n, removed, spans = [], [], [], []
+            for text, ranges in zip(column[lo:hi].to_pylist(), batch.column(2)[lo:hi].to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                gone = np.zeros(len(lines) + 2, bool)
+                for x in ranges or []:
+                    gone[x["at"] + 1 : x["at"] + 1 + x["lines"]] = True
+                edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist() + [len(lines)] * bool(gone[-1])
+                runs = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if "".join(lines[a:b]).encode().strip()]
+                begin, rest = 0, []
+                for a, b in runs:
+                    rest += lines[begin:a]
+                    begin = b
+                kept.append("\n".join(rest + lines[begin:]) if text is not None else None)
+                n.append(len(lines) if text is not None else 0)
+                removed.append(sum(b - a for a, b in runs))
+                spans.append(len(runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_blocks"])
 
 
 def without_repeated_blocks(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed_lines, n_removed_chunks): each row's text without its repeated blocks of two or more lines; a null text stays null."""
-    spans = repeated_pairs(docs, config).groupBy("doc_id", "version").agg(F.collect_list("at").alias("starts"))
-    spans = spans.withColumnsRenamed({"doc_id": "d", "version": "v"})
+    """(doc_id, text, n_lines, n_removed_lines, n_removed_blocks): each row's text without its repeated blocks of two or more lines; a null text stays null."""
+    scratch = Scratch(docs.sparkSession, "blocks")
+    ranges = repeated_blocks(docs, config).groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "lines")).alias("ranges"))
+    ranges = scratch.keep(ranges, "ranges").withColumnsRenamed({"doc_id": "d", "version": "v"})
     versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    both = versioned.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
-    return both.select("doc_id", "text", "starts").mapInArrow(_cut_blocks, "doc_id long, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
+    both = versioned.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return both.select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed_lines long, n_removed_blocks long")
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeated_blocks(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_blocks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

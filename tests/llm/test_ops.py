@@ -20,7 +20,7 @@ from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
 from graphloom.llm.op07_mixing import MixConfig, fit, mixed, rates
 from graphloom.llm.op08_quality_rules import LineConfig, cleaned_lines, quality_lines
-from graphloom.llm.op09_line_chunks import ChunkConfig, chunk_borders, parting_hash, repeated_chunks, repeated_pairs, without_repeated_blocks, without_repeated_chunks
+from graphloom.llm.op09_line_chunks import ChunkConfig, chunk_ends, parting_hash, repeated_blocks, without_repeated_blocks
 from graphloom.llm.op10_url_rules import split_url, url_rules
 from graphloom.llm.suffixes import Run, front_code, merge
 
@@ -436,27 +436,16 @@ def test_quality_query_returns_cleaned_texts(spark):
     assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for (i, _, _), t in zip(rows, expected)}
 
 
-def test_line_chunks(spark):
+def test_chunk_borders_resist_shifts():
     rng = random.Random(3)
-    shared = [passage(rng, 8) for _ in range(30)]
-    rows = [(i, "\n".join([passage(rng, 6) for _ in range(rng.randrange(5))] + shared + [passage(rng, 6) for _ in range(4)])) for i in range(20)]
-    rows += [(50, "\n".join(["x", "y"] * 40)), *ODD]
     c = ChunkConfig()
-    seen, expected = {}, {}
-    for i, t in sorted(rows):
-        lines = (t or "").encode().split(b"\n")
-        expected[i] = 0
-        for a, b in chunk_borders(lines, c):
-            body = b"\n".join(lines[a:b])
-            if b - a >= 2 and body.strip():
-                expected[i] += (b - a) * (body in seen)
-                seen[body] = 1
-    got = {r.doc_id: r for r in without_repeated_chunks(frame(spark, rows)).collect()}
-    assert {i: r.n_removed_lines for i, r in got.items()} == expected and sum(expected.values()) > 200
-    assert all(len((r.text or "").split("\n")) == max(1, r.n_lines - r.n_removed_lines) for r in got.values() if r.text)
-    same = frame(spark, [(1, rows[0][1]), (1, rows[0][1]), (None, rows[0][1])])
-    assert {r.doc_id for r in repeated_chunks(same).collect()} == {1}
-    assert without_repeated_chunks(frame(spark, [])).count() == 0
+    hashes = [rng.getrandbits(64) for _ in range(300)]
+    ends = chunk_ends(np.array(hashes, np.uint64), c).tolist()
+    expected = [i + 1 for i in range(300) if i and (hashes[i - 1] * 0x9E3779B97F4A7C15 + hashes[i] & (1 << 64) - 1) >> 33 and ((hashes[i - 1] * 0x9E3779B97F4A7C15 + hashes[i]) % (1 << 64) >> 33) % 3 == 0]
+    assert ends == sorted({*expected, 300})
+    moved = chunk_ends(np.array([1, 2, 3, *hashes], np.uint64), c).tolist()
+    assert [x - 3 for x in moved if x > 4] == [x for x in ends if x > 1] and 70 < len(ends) < 130
+    assert chunk_ends(np.array([7], np.uint64), c).tolist() == [1]
 
 
 def test_line_blocks_equal_brute_force(spark):
@@ -470,13 +459,16 @@ def test_line_blocks_equal_brute_force(spark):
                 assert copy == 0 or rows[-2][1] != rows[-1][1]
     planted = len(rows)
     rows += [(300, "a b\n\n\n\nc d"), (301, "e f\n\n\n\nc d"), (302, "g\n\n\n\nh"), (303, "\n".join(["x", "y"] * 40)), (304, "q\r\nr\r\ns"), (305, "q\r\nr\r\nt"), *ODD]
+    shared = [passage(rng, 8) for _ in range(30)]
+    rows += [(400 + i, "\n".join([passage(rng, 6) for _ in range(rng.randrange(5))] + shared[i % 3 :] + [passage(rng, 6) for _ in range(4)])) for i in range(20)]
+    rows.append((500, "\n".join(f"{k % 700} line" for k in range(5000))))  # a long text that repeats itself
     expected = brute.line_blocks(rows)
     got = {r.doc_id: r for r in without_repeated_blocks(frame(spark, rows)).collect()}
     assert {i: r.text or "" for i, r in got.items()} == expected
     assert [got[i].n_removed_lines for i in range(planted)] == [0 if i % 2 == 0 else 2 + i // 20 for i in range(planted)]
-    assert all(got[i].n_removed_chunks == i % 2 for i in range(planted)) and got[900].text is None and got[900].n_lines == 0
+    assert all(got[i].n_removed_blocks == i % 2 for i in range(planted)) and got[900].text is None and got[900].n_lines == 0
     same = frame(spark, [(1, rows[0][1]), (1, rows[0][1]), (None, rows[0][1])])
-    assert {r.doc_id for r in repeated_pairs(same).collect()} == {1}
+    assert {r.doc_id for r in repeated_blocks(same).collect()} == {1}
     assert without_repeated_blocks(frame(spark, [])).count() == 0
 
 
