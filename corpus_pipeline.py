@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Scratch, table
+from graphloom.llm.common import Scratch, packed, table
 from graphloom.llm.op01_near_dedup import one_of_each
 from graphloom.llm.op02_toxicity import ToxicConfig, toxicity
 from graphloom.llm.op03_decontaminate import contaminated
@@ -16,9 +16,8 @@ from graphloom.llm.op07_mixing import mixed
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     c = ToxicConfig()
-    rest = tuple(x for x in docs.columns if x not in ("doc_id", "text"))
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), c, extra=rest)
-    return scored.where(F.col("score") < c.threshold).select(*docs.columns)
+    rows, unpacked = packed(docs)
+    return unpacked(toxicity(rows, table(spark, sf_dir, "labels"), c, extra=("rest",)).where(F.col("score") < c.threshold))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +27,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return contaminated(docs, table(spark, sf_dir, "benchmark")).where(F.size("item_ids") == 0).select(*docs.columns)
+    rows, unpacked = packed(docs)
+    return unpacked(contaminated(rows, table(spark, sf_dir, "benchmark")).where(F.size("item_ids") == 0))
 
 
 def mix_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
