@@ -86,8 +86,8 @@ def priority(has_default: Column, has_exp: Column, has_calc: Column) -> Column:
 
 
 def bare_symbol(expr: Column) -> Column:
-    """X of an expression that is ``${X}`` alone, else null."""
-    found = F.regexp_extract(F.trim(expr), "^=?\\$\\{([^{}]+)\\}$", 1)
+    """X of an expression that is ``${X}`` alone, X being ASCII letters, digits and underscores; else null."""
+    found = F.regexp_extract(expr, "^\\s*\\$\\{\\s*([A-Za-z0-9_]+)\\s*\\}\\s*$", 1)
     return F.when(found != "", found)
 
 

@@ -22,9 +22,13 @@ def effect_type(kind: Column) -> Column:
     return _lookup(EFFECT_TYPE, kind)
 
 
-def condition_class(kind: Column, effect: Column) -> Column:
-    """blocking, data_empty or supporting."""
-    return F.when(kind.isin("VisibleCondition", "EnableCondition", "ActionCondition", "ActionConditionExp"), "blocking").when(effect == "Filter", "data_empty").otherwise("supporting")
+# Condition types that keep something from showing or running.
+BLOCKING = ("VisibleCondition", "DisableCondition", "EnableCondition", "ActionCondition", "ActionConditionExp")
+
+
+def condition_class(kind: Column, expr: Column) -> Column:
+    """blocking, data_empty (filters, and whatever asks for a number of rows) or supporting."""
+    return F.when(kind.isin(*BLOCKING), "blocking").when(kind.contains("Filter") | F.coalesce(expr.contains("totalRowCount__"), F.lit(False)), "data_empty").otherwise("supporting")
 
 
 def deduplicated(conditions: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def row_count_gates(expressions: DataFrame) -> DataFrame:
 
 def availability(conditions: DataFrame, edges: DataFrame) -> DataFrame:
     """(model, n_blocking, n_data_empty, n_components): what can keep a model's readers from showing rows."""
-    kind = condition_class(F.col("condition_type"), F.col("effect_type"))
+    kind = condition_class(F.col("condition_type"), F.col("raw_expr"))
     rows = edges.where("edge_type = 'Reads' AND dst LIKE 'model:%'").select(F.col("src").alias("owner_id"), F.col("dst").alias("model")).join(conditions.select("owner_id", "id", kind.alias("class")), "owner_id")
     return rows.groupBy("model").agg(F.count_distinct(F.when(F.col("class") == "blocking", F.col("id"))).alias("n_blocking"), F.count_distinct(F.when(F.col("class") == "data_empty", F.col("id"))).alias("n_data_empty"), F.count_distinct("owner_id").alias("n_components"))
 
@@ -63,6 +67,8 @@ def index(conditions: DataFrame) -> DataFrame:
 
 
 def impact(conditions: DataFrame) -> DataFrame:
-    """(id, score): one point for each model and each component that a condition refers to, under either spelling."""
-    refs = lambda *p: F.size(F.filter("referenced_symbols", lambda x: x.startswith(p[0]) | x.startswith(p[-1])))
-    return conditions.select("id", (refs("model:") + refs("comp:", "component:") + F.when(F.col("condition_type") == "VisibleCondition", 1).otherwise(0)).alias("score"))
+    """(id, score): a point for each model and each component that a condition refers to, and 3 where it lets something run, else 2 at a component, else 1."""
+    refs = lambda start: F.size(F.filter("referenced_symbols", lambda x: x.startswith(start)))
+    runs = F.col("owner_id").startswith("action:") | (F.lower("effect_type") == "execute")
+    part = F.when(runs, 3).when(F.col("owner_id").startswith("comp:"), 2).otherwise(1)
+    return conditions.select("id", (refs("model:") + refs("comp:") + part).alias("score"))

@@ -56,19 +56,19 @@ def field_origins(edges: DataFrame) -> DataFrame:
     return ends.select("field", F.when(status == "proven", F.col("at")).alias("origin"), status.alias("status"), F.when(status == "proven", F.col("hops")).alias("hops"))
 
 
-def field_trace(fields: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
+def field_trace(fields: DataFrame, start: DataFrame) -> DataFrame:
     """(model, field, path, stop): the chain of nodes that an output field goes back through inside its dataflow.
 
     fields has (model, node, name, dbfield, original_field, original_node), start (model, node, field). A field matches
     a record by its name, else by its dbfield. It stops at an unknown node or field, at a record without an origin, or
-    at a repetition.
+    at a repetition, so every chain ends.
     """
     by_name = fields.select("model", "node", F.col("name").alias("field"), "original_field", "original_node", F.lit(0).alias("way"))
     by_db = fields.where("dbfield <> name").select("model", "node", F.col("dbfield").alias("field"), "original_field", "original_node", F.lit(1).alias("way"))
     record = by_name.unionByName(by_db).groupBy("model", "node", "field").agg(F.min(F.struct("way", "original_node", "original_field")).alias("r"))
     at = start.select("model", F.col("field").alias("wanted"), "node", "field", F.array(F.concat_ws(".", "node", "field")).alias("path"))
     out = None
-    for _ in range(most):
+    while True:
         step = settled(at.join(record, ["model", "node", "field"], "left"))
         to = F.concat_ws(".", "r.original_node", "r.original_field")
         stop = F.when(F.col("r").isNull(), "unknown").when(F.col("r.original_node").isNull() | F.col("r.original_field").isNull(), "origin").when(F.array_contains("path", to), "cycle")
@@ -77,8 +77,7 @@ def field_trace(fields: DataFrame, start: DataFrame, most: int = 50) -> DataFram
         out = ended if out is None else out.unionByName(ended)
         at = rows.where("stop IS NULL").select("model", "wanted", F.col("r.original_node").alias("node"), F.col("r.original_field").alias("field"), F.concat("path", F.array(to)).alias("path"))
         if at.isEmpty():
-            break
-    return out
+            return out
 
 
 def confidence(source: Column) -> Column:

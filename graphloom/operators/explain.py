@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 from .neighbours import parent_pages
 from .traversal import page_subtree
 
-# How much a diagnostic code takes from an answer's confidence.
-SEVERITY = {"PARSE_ERROR": 2, "UNRESOLVED_REFERENCE": 1, "TRUNCATED": 1}
+# Diagnostic codes that make an answer uncertain, and those that make it partial; others take nothing.
+UNCERTAIN = (
+    "UNKNOWN_ACTION_TYPE", "UNKNOWN_QUESTION_KIND", "EXPR_PARSE_ERROR", "EXPR_UNPARSED", "LINEAGE_EXPR_UNPARSED", "EXPR_UNRESOLVED_REF", "EXPR_UNSUPPORTED_FUNCTION",
+    "LINEAGE_SOURCE_MISSING", "UNRESOLVED_MODEL_WRITE", "UNRESOLVED_PAGE_NAVIGATION", "MODEL_UNRESOLVED", "VISIBILITY_RULE_UNRESOLVED", "ACTION_FLOW_INCOMPLETE",
+    "CYCLE_DEPENDENCY", "EMPTY_CONDITION", "PARSE_ERROR", "METADATA_PARSE_ERROR", "EVIDENCE_INCOMPLETE", "EVIDENCE_LOCATION_MISSING", "EDGE_EVIDENCE_UNAVAILABLE", "AMBIGUOUS_RESOLUTION",
+)
+PARTIAL = (
+    "OUTPUT_TRUNCATED", "PRIMARY_PATHS_TRUNCATED", "EVIDENCE_SAMPLED", "PAGE_INPUTS_DEFERRED", "AMBIGUOUS_TARGET_ANSWERED", "GRAPH_DB_PARTIAL_HYDRATE", "GRAPH_DB_NODE_DECODE_FAILED",
+    "GRAPH_DB_EDGE_DECODE_FAILED", "GRAPH_DB_EDGE_DANGLING_ENDPOINT", "PAGE_SCOPED_TARGET_FALLBACK", "TRACE_INCOMPLETE", "DIAGNOSTIC_SERIALIZE_FAILED", "SUPPLEMENT_UNAVAILABLE",
+)
 # Items of a list at each budget; full has no limit.
 BUDGETS = {"compact": 5, "normal": 20}
 # Edge types that fit a question about writers, values or display.
@@ -22,10 +30,12 @@ INTENT_EDGES = {
 
 
 def confidence_rollup(diagnostics: DataFrame, key: str) -> DataFrame:
-    """(key, confidence): reduced, partial or full, by the gravest code of each key."""
-    rank = F.coalesce(F.create_map(*[F.lit(x) for p in SEVERITY.items() for x in p])[F.col("code")], F.lit(0))
-    worst = F.max(rank)
-    return diagnostics.groupBy(key).agg(F.when(worst == 2, "reduced").when(worst == 1, "partial").otherwise("full").alias("confidence"))
+    """(key, confidence, reasons): reduced where a code is uncertain, else partial where one is, else full; reasons are those codes, sorted."""
+    level = F.when(F.col("code").isin(*UNCERTAIN), 2).when(F.col("code").isin(*PARTIAL), 1).otherwise(0)
+    rows = diagnostics.select(key, "code", level.alias("level"))
+    worst = F.max("level")
+    reasons = F.array_join(F.array_sort(F.collect_set(F.when(F.col("level") > 0, F.col("code")))), ",")
+    return rows.groupBy(key).agg(F.when(worst == 2, "reduced").when(worst == 1, "partial").otherwise("full").alias("confidence"), reasons.alias("reasons"))
 
 
 def budgeted(items: Column, budget: str) -> Column:
@@ -163,18 +173,28 @@ def advice(target: str, known: bool) -> list[str]:
     return [f"explain {target}", f"{more.get(kind, 'context')} {target}"]
 
 
-def shrunk(answer: dict, peripheral: list[str], most: int) -> dict:
-    """An answer whose JSON text has at most so many bytes, as far as cutting its peripheral lists to 8, 5, 3, 2 and 1 items can make it so."""
+# Bytes of an answer and least items of a cut list at each budget; full has no limit.
+BYTE_BUDGETS = {"compact": (8_000, 1), "normal": (40_000, 2)}
+
+
+def shrunk(answer: dict, peripheral: list[str], most: int, floor: int = 1) -> dict:
+    """An answer whose JSON text has at most so many bytes, as far as cutting its peripheral lists to 8, 5, 3, 2 and 1 items, no fewer than floor, can make it so.
+
+    The names of the lists that were cut are put under ``truncated`` after the last cut, so the note is not counted.
+    """
     import json
 
-    out = dict(answer)
+    out, gone = dict(answer), []
     for n in (8, 5, 3, 2, 1):
-        if len(json.dumps(out, ensure_ascii=False).encode()) <= most:
+        if n < floor or len(json.dumps(out, ensure_ascii=False, separators=(",", ":")).encode()) <= most:
             break
         for key in peripheral:
             if isinstance(out.get(key), list) and len(out[key]) > n:
                 out[key] = out[key][:n]
-                out.setdefault("truncated", [])
-                if key not in out["truncated"]:
-                    out["truncated"] = [*out["truncated"], key]
-    return out
+                gone += [] if key in gone else [key]
+    return out | {"truncated": gone} if gone else out
+
+
+def fitted(answer: dict, peripheral: list[str], budget: str) -> dict:
+    """An answer cut to its budget's bytes."""
+    return shrunk(answer, peripheral, *BYTE_BUDGETS[budget]) if budget in BYTE_BUDGETS else answer

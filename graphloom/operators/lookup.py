@@ -77,33 +77,73 @@ def resolve_bare(nodes: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     return found.select("name", status.alias("status"), F.array_join("ids", ",").alias("ids"))
 
 
+# Beginnings of a target, and how many candidates an ambiguous one gets.
+TARGET_PREFIXES = ("comp:", "action:", "field:", "model:", "page:", "dataflow:")
+MOST_CANDIDATES = 12
+
+
+def _split(id_: Column) -> Column:
+    """(kind, content, parts in lower case, forms): forms are what the first part may be called, without its file suffix: itself and every path end."""
+    kind = F.substring_index(id_, ":", 1)
+    content = F.substring(id_, F.instr(id_, ":") + 1, F.length(id_))
+    parts = F.split(F.lower(content), "\\|")
+    return F.struct(kind.alias("kind"), content.alias("content"), parts.alias("parts"))
+
+
+def _forms(part: Column) -> Column:
+    """A path without its file suffix, and all its ends behind a slash."""
+    plain = F.regexp_replace(part, "\\.(spg|tbl)$", "")
+    steps = F.split(plain, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, k, F.size(steps)), "/"))
+
+
+def _rest(parts: Column, upto: Column) -> Column:
+    return F.array_join(F.slice(parts, F.lit(2), upto - 1), "|")
+
+
 def normalise_targets(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, tier, ids): ids that a prefixed target means, by the first tier that has any.
+    """(target, tier, status, ids): ids that a prefixed target means, by the first tier that has any.
 
-    1 the id itself, 2 the same without case, 3 a missing file suffix, 4 ids that the target goes beyond, 5 the right name
-    under another kind, 6 the bare name alone. Several ids in one tier are all returned, sorted.
+    -1 none; 0 the id itself; 1 the file by the end of its path, all other parts equal; 2 another kind, the same content; 3 the
+    parts that are written, of an id with more; 4 an id whose parts end a longer target; 5 the node's own name alone;
+    6 another file, all other parts equal. One id in the tier resolves the target, several make it ambiguous (the first
+    ones, sorted, are given). Case and file suffixes do not matter but in tier 0. Every tier is an equi-join: names that
+    a node may go by are exploded from its own path.
     """
-    plain = lambda x: F.regexp_replace(F.lower(x), "\\.(spg|tbl)$", "")
-    t = targets.select("target")
-    n = nodes.select("id")
-    tail = lambda x: F.substring(x, F.instr(x, ":") + 1, F.length(x))
-    # beginnings of a target that end before a dot or a bar; they meet ids by equality
-    stops = F.filter(F.sequence(F.lit(1), F.length("target")), lambda i: F.substring("target", i, F.lit(1)).isin(".", "|"))
-    heads = t.select("target", F.explode(F.transform(stops, lambda i: F.substring("target", F.lit(1), i - 1))).alias("head"))
+    starts = lambda c: F.array_contains(F.array(*[F.lit(x) for x in TARGET_PREFIXES]), F.concat(F.substring_index(c, ":", 1), F.lit(":")))
+    t = targets.select("target").distinct().where(starts(F.col("target"))).withColumn("w", _split(F.col("target")))
+    n = nodes.select("id").where(starts(F.col("id"))).withColumn("h", _split(F.col("id")))
+    size = lambda x: F.size(f"{x}.parts")
+    first = lambda x: F.get(f"{x}.parts", F.lit(0))
+    last = lambda x: F.element_at(f"{x}.parts", -1)
+    joined = lambda x: F.array_join(f"{x}.parts", "|")
+    plain = lambda c: F.regexp_replace(c, "\\.(spg|tbl)$", "")
+    whole = t.select("target", "w.kind", size("w").alias("size"), plain(first("w")).alias("file"), _rest(F.col("w.parts"), size("w")).alias("rest"))
+    every = n.select("id", "h.kind", "h.parts", size("h").alias("size"), F.explode(_forms(first("h"))).alias("file"))
+    same = every.select("id", "kind", "size", "file", _rest(F.col("parts"), F.col("size")).alias("rest"))
+    heads = every.where("size > 1").select("id", "kind", "file", "parts", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("size")).select("id", "kind", "size", "file", _rest(F.col("parts"), F.col("size")).alias("rest"))
+    ends = t.where(size("w") > 1).select("target", "w.kind", F.explode(F.transform(F.sequence(F.lit(2), size("w")), lambda k: F.array_join(F.slice("w.parts", k, size("w")), "|"))).alias("end"))
+    parts_of = lambda df, cols: df.select(*cols)
     tiers = [
-        (1, t, F.col("target") == F.col("id")),
-        (2, t, F.lower("target") == F.lower("id")),
-        (3, t, plain(F.col("target")) == plain(F.col("id"))),
-        (4, heads, F.col("head") == F.col("id")),
-        (5, t, F.lower(tail(F.col("target"))) == F.lower(tail(F.col("id")))),
-        (6, t, F.lower(bare(F.col("target"))) == F.lower(bare(F.col("id")))),
+        (0, t.join(n, F.col("target") == F.col("id"))),
+        (1, whole.join(same, ["kind", "size", "file", "rest"])),
+        (2, parts_of(t, ["target", F.col("w.kind").alias("k"), F.lower("w.content").alias("c")]).join(n.select("id", F.col("h.kind").alias("kind"), F.lower("h.content").alias("c")), "c").where("k <> kind")),
+        (3, whole.join(heads, ["kind", "size", "file", "rest"])),
+        (4, ends.join(n.select("id", "h.kind", joined("h").alias("end")), ["kind", "end"])),
+        (5, whole.where("size = 1").select("target", "kind", "file").join(n.where(size("h") > 1).select("id", "h.kind", F.explode(_forms(last("h"))).alias("file")), ["kind", "file"])),
+        (6, whole.where("size > 1").select("target", "kind", "size", "rest").join(n.select("id", "h.kind", size("h").alias("size"), _rest(F.col("h.parts"), size("h")).alias("rest")), ["kind", "size", "rest"])),
     ]
-    joined = None
-    for tier, rows, on in tiers:  # one equi-join for each tier
-        part = rows.join(n, on).select("target", F.lit(tier).alias("tier"), "id")
-        joined = part if joined is None else joined.unionByName(part)
-    first = joined.groupBy("target").agg(F.min("tier").alias("tier"))
-    return joined.join(first, ["target", "tier"]).groupBy("target", "tier").agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("ids"))
+    found = None
+    for tier, rows in tiers:
+        rows = rows.select("target", F.lit(tier).alias("tier"), "id").distinct()
+        found = rows if found is None else found.unionByName(rows)
+    best = found.groupBy("target").agg(F.min("tier").alias("tier"))
+    ranked = found.join(best, ["target", "tier"]).withColumn("k", F.row_number().over(W.partitionBy("target").orderBy("id")))
+    kept = ranked.where(F.col("k") <= MOST_CANDIDATES).groupBy("target", "tier").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    status = F.when(F.col("tier") == 0, "exact").when(F.size("ids") == 1, "resolved").otherwise("ambiguous")
+    known = kept.select("target", "tier", status.alias("status"), F.array_join("ids", ",").alias("ids"))
+    lost = targets.select("target").distinct().join(known, "target", "left_anti").select("target", F.lit(-1).alias("tier"), F.lit("not_found").alias("status"), F.lit("").alias("ids"))
+    return known.unionByName(lost)
 
 
 def with_prefix(nodes: DataFrame, start: str, limit: int | None = None) -> DataFrame:

@@ -101,16 +101,14 @@ def page_targets(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) ->
     return edges.where(F.col("edge_type").isin(*kinds)).join(pages, F.col("src") == F.col("id")).select("page", "dst").distinct()
 
 
-def cross_pages(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("Reads", "Writes")) -> DataFrame:
-    """(page_a, page_b, n_shared, first_shared): pairs of pages with shared targets.
+def cross_relations(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, target, kind_a, kind_b): direct targets that both ids of a pair (a, b) have, with one edge type of each side, the first by name.
 
-    Each target gives the pairs of its pages: as many rows as page pairs, which the number of pages bounds, not the
-    number of edges; targets of one page give none.
+    Only the pairs' own edges are joined: two frontiers meet, no pair of nodes is formed.
     """
-    touched = page_targets(nodes, edges, kinds)
-    by_target = touched.groupBy("dst").agg(F.sort_array(F.collect_set("page")).alias("pages")).where(F.size("pages") > 1)
-    pairs = by_target.select("dst", F.explode("pages").alias("page_a"), "pages").select("dst", "page_a", F.explode(F.filter("pages", lambda p: p > F.col("page_a"))).alias("page_b"))
-    return pairs.groupBy("page_a", "page_b").agg(F.count("*").alias("n_shared"), F.min("dst").alias("first_shared"))
+    out = edges.groupBy("src", "dst").agg(F.min("edge_type").alias("kind"))
+    left = pairs.distinct().join(out.toDF("a", "target", "kind_a"), "a")
+    return left.join(out.toDF("b", "target", "kind_b"), ["b", "target"]).select("a", "b", "target", "kind_a", "kind_b")
 
 
 def conditions_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:

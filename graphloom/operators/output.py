@@ -48,15 +48,15 @@ def _page_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     counts = rows.groupBy("page").agg(
         F.count_distinct(F.when(F.col("edge_type") == "Triggers", F.col("src"))).alias("n_entry"),
         F.count_if(F.col("edge_type").isin("Writes", "ActionWrites")).alias("n_write"),
-        F.count_if(F.col("edge_type") == "ActionNavigates").alias("n_jump"),
+        F.count_if(F.col("edge_type").isin("OpensPage", "ActionNavigates")).alias("n_jump"),
         F.count_if((F.col("edge_type") == "ActionNavigates") & (F.col("dst") == F.col("page"))).alias("n_self"),
     )
     return pages.join(counts, "page", "left").na.fill(0)
 
 
 def page_roles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(page, n_entry, n_write, n_jump, role); a page without entry points is static whatever else it holds."""
-    role = F.when(F.col("n_entry") == 0, "static_page").when((F.col("n_write") > 0) & (F.col("n_jump") > 0), "workflow_page").when(F.col("n_write") > 0, "edit_page").when(F.col("n_jump") > 0, "navigation_page").otherwise("view_page")
+    """(page, n_entry, n_write, n_jump, role); a page without entry points only shows, whatever else it holds."""
+    role = F.when(F.col("n_entry") == 0, "readonly_dashboard").when((F.col("n_write") > 0) & (F.col("n_jump") > 0), "mixed_interaction_page").when(F.col("n_write") > 0, "data_maintenance_page").when(F.col("n_jump") > 0, "navigation_page").otherwise("unknown")
     return _page_counts(nodes, edges).select("page", "n_entry", "n_write", "n_jump", role.alias("role"))
 
 

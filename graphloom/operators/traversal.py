@@ -16,37 +16,47 @@ def settled(df: DataFrame) -> DataFrame:
     if not at:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/hops/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
-def reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(target, node, depth): nodes within depth hops of each target along links (src, dst), each at its smallest depth.
 
-    seeds has target and node. A hop is a join on the frontier alone and an anti-join against what is known.
+def reach(seeds: DataFrame, links: DataFrame, depth: int | None) -> DataFrame:
+    """(target, node, depth): nodes within depth hops of each target along links (src, dst), each at its smallest depth; None: all hops.
+
+    seeds has target and node. links are written once, whatever builds them. A hop is a join on the frontier alone and
+    one anti-join against all that is known.
     """
+    links = settled(links.select("src", "dst"))
     frontier = settled(seeds.select("target", "node").distinct().withColumn("depth", F.lit(0)))
-    known = [frontier]
-    for hop in range(1, depth + 1):
+    known, hop = frontier, 0
+    while depth is None or hop < depth:
+        hop += 1
         step = frontier.join(links, F.col("node") == F.col("src")).select("target", F.col("dst").alias("node")).distinct()
-        for seen in known:
-            step = step.join(seen.select("target", "node"), ["target", "node"], "left_anti")
-        frontier = settled(step.withColumn("depth", F.lit(hop)))
+        frontier = settled(step.join(known.select("target", "node"), ["target", "node"], "left_anti").withColumn("depth", F.lit(hop)))
         if frontier.isEmpty():
             break
-        known.append(frontier)
-    out = known[0]
-    for more in known[1:]:
-        out = out.unionByName(more)
-    return out
+        known = known.unionByName(frontier)
+    dropped(links)
+    return known
 
 
-def closure(seeds: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
+def closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(target, node, depth) without a limit of hops: runs until nothing new is found."""
-    return reach(seeds, links, most)
+    return reach(seeds, links, None)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -91,16 +101,15 @@ def affected_pages(index: DataFrame, dirty: DataFrame) -> DataFrame:
 
 
 def parents(edges: DataFrame) -> DataFrame:
-    """(id, parent): one parent of each node; a component goes before a page, then the smaller id."""
-    rows = edges.where("edge_type IN ('Contains', 'Triggers') AND src NOT LIKE 'model:%'")
-    rank = F.struct(F.col("src").startswith("page:").alias("page"), F.col("src").alias("id"))
-    return rows.groupBy(F.col("dst").alias("id")).agg(F.min(rank).alias("p")).select("id", F.col("p.id").alias("parent"))
+    """(id, parent): the component that holds a node; of several the smallest id. What a page alone holds has none."""
+    rows = edges.where("edge_type = 'Contains' AND src LIKE 'comp:%'")
+    return rows.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
 
 
-def ancestors(edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(id, ancestor, distance), nearest first; a cycle ends where it would repeat."""
-    up = parents(edges)
-    found = reach(up.select(F.col("id").alias("target"), F.col("id").alias("node")), up.select(F.col("id").alias("src"), F.col("parent").alias("dst")), depth)
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(id, ancestor, distance): components around a node, nearest first; the chain stops before the page, and where a cycle would repeat."""
+    up = settled(parents(edges))
+    found = reach(up.select(F.col("id").alias("target"), F.col("id").alias("node")), up.select(F.col("id").alias("src"), F.col("parent").alias("dst")), None)
     return found.where("depth > 0").select(F.col("target").alias("id"), F.col("node").alias("ancestor"), F.col("depth").alias("distance"))
 
 
@@ -126,9 +135,10 @@ def levels(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     refs has (page, component, ref), nodes (page, component). One job for each round, whatever the number of pages.
     """
     left = settled(nodes.select("page", "component").distinct())
-    links = refs.select("page", "component", "ref").distinct()
-    done = []
-    for level in range(10_000):
+    links = settled(refs.select("page", "component", "ref").distinct())
+    done, level = [], -1
+    while True:
+        level += 1
         inner = links.join(left.withColumnRenamed("component", "ref"), ["page", "ref"], "left_semi")
         ready = settled(left.join(inner, ["page", "component"], "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():

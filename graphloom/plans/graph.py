@@ -79,9 +79,12 @@ def page_query(t):
     return neighbours.page_edges(p.edges(t))
 
 
-@query("j09_cross_pages", p.sql("SELECT a.page AS page_a, b.page AS page_b, count(*) AS n_shared, min(a.dst) AS first_shared FROM touched a JOIN touched b ON a.dst = b.dst AND a.page < b.page GROUP BY 1, 2", _PAGES.lstrip(", "), "touched AS (SELECT DISTINCT page, dst FROM edges JOIN pages ON id = src WHERE edge_type IN ('Reads', 'Writes'))"))
-def cross_pages(t):
-    return neighbours.cross_pages(p.nodes(t), p.edges(t))
+# the reference rule: direct targets of two given nodes, one edge of each side
+@query("j09_cross_relations", p.sql("SELECT a.src AS a, b.src AS b, a.dst AS target, min(a.edge_type) AS kind_a, min(b.edge_type) AS kind_b FROM asked JOIN edges a ON a.src = asked.a JOIN edges b ON b.src = asked.b AND b.dst = a.dst GROUP BY 1, 2, 3", "asked AS (SELECT concat('comp:app/n', x.c_nationkey, '.spg|c', x.c_custkey) AS a, concat('comp:app/n', y.c_nationkey, '.spg|c', y.c_custkey) AS b FROM customer x JOIN customer y ON y.c_custkey IN (x.c_custkey + 1, x.c_custkey + 2, x.c_custkey + 3))"))
+def cross_relations(t):
+    c = t.customer.select("c_custkey", p.component_id("c_nationkey", "c", "c_custkey").alias("a"))
+    asked = c.withColumn("other", F.explode(F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + 3))).join(c.select(F.col("c_custkey").alias("other"), F.col("a").alias("b")), "other").select("a", "b")
+    return neighbours.cross_relations(p.edges(t), asked)
 
 
 @query("j12_conditions_of_node", p.sql("SELECT dst AS id, src AS condition FROM edges WHERE edge_type = 'DependsOn' AND src LIKE 'cond:%'"))
@@ -135,12 +138,18 @@ def resolve(t):
     return lookup.resolve_bare(p.nodes(t), t.spark.createDataFrame([(x,) for x in _NAMED], "name string"), "comp")
 
 
-_LOOSE = ["model:PART5", "page:app/n3", "comp:part9", "field:x|part2.qty", "model:part8", "page:nowhere", "model:part8.qty.sum", "comp:app/n3.spg|zz"]
+_LOOSE = ["model:PART5", "page:n3", "page:app/n3", "page:APP/n3.SPG", "comp:part9", "dataflow:part7", "field:x|part2.qty", "model:part8", "page:nowhere", "model:shop|part8", "model:part8.qty.sum", "comp:app/n3.spg|zz", "comp:n4", "comp:c7", "comp:gone/p.spg|c9", "action:o33", "action:n5", "widget:part1", "part1"]
 
 
-@query("p06_normalise_targets", p.sql(f"""SELECT target, tier, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT target, tier, id, min(tier) OVER (PARTITION BY target) AS best FROM (
- SELECT target, id, unnest(list_filter([CASE WHEN target = id THEN 1 END, CASE WHEN lower(target) = lower(id) THEN 2 END, CASE WHEN regexp_replace(lower(target), '\\.(spg|tbl)$', '') = regexp_replace(lower(id), '\\.(spg|tbl)$', '') THEN 3 END, CASE WHEN starts_with(target, concat(id, '.')) OR starts_with(target, concat(id, '|')) THEN 4 END, CASE WHEN lower(substr(target, strpos(target, ':') + 1)) = lower(substr(id, strpos(id, ':') + 1)) THEN 5 END,
- CASE WHEN lower(split_part(substr(target, strpos(target, ':') + 1), '|', -1)) = lower(split_part(substr(id, strpos(id, ':') + 1), '|', -1)) THEN 6 END], lambda x: x IS NOT NULL)) AS tier FROM nodes CROSS JOIN (VALUES {_values(_LOOSE)}) k(target))) WHERE tier = best GROUP BY target, tier"""))
+# the reference rule: target normalisation by six tiers, one id resolves, several are ambiguous
+@query("p06_normalise_targets", p.sql(f"""SELECT target, coalesce(tier, -1) AS tier, CASE WHEN tier IS NULL THEN 'not_found' WHEN tier = 0 THEN 'exact' WHEN len(every) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(array_to_string(every[1:12], ','), '') AS ids
+FROM (SELECT target, min(best) AS tier, list(DISTINCT id ORDER BY id) FILTER (tier = best) AS every FROM (SELECT *, min(tier) OVER (PARTITION BY target) AS best FROM (SELECT target, id,
+ CASE WHEN id = target THEN 0 WHEN hk <> wk THEN CASE WHEN lower(hc) = lower(wc) THEN 2 END WHEN len(h) = len(w) AND h[2:] = w[2:] AND fits THEN 1 WHEN len(h) > len(w) AND fits AND h[2:len(w)] = w[2:] THEN 3
+ WHEN len(h) < len(w) AND w[len(w) - len(h) + 1:] = h THEN 4 WHEN len(w) = 1 AND (n = f OR ends_with(n, concat('/', f))) THEN 5 WHEN len(w) >= 2 AND len(h) = len(w) AND h[2:] = w[2:] THEN 6 END AS tier
+ FROM (SELECT *, regexp_replace(h[1], '\\.(spg|tbl)$', '') = f OR ends_with(regexp_replace(h[1], '\\.(spg|tbl)$', ''), concat('/', f)) AS fits, regexp_replace(h[-1], '\\.(spg|tbl)$', '') AS n FROM (SELECT target, id, split_part(target, ':', 1) AS wk, split_part(id, ':', 1) AS hk,
+ substr(target, strpos(target, ':') + 1) AS wc, substr(id, strpos(id, ':') + 1) AS hc, string_split(lower(substr(target, strpos(target, ':') + 1)), '|') AS w, string_split(lower(substr(id, strpos(id, ':') + 1)), '|') AS h,
+ regexp_replace(string_split(lower(substr(target, strpos(target, ':') + 1)), '|')[1], '\\.(spg|tbl)$', '') AS f
+ FROM (VALUES {_values(_LOOSE)}) k(target) LEFT JOIN nodes ON regexp_matches(target, '^(comp|action|field|model|page|dataflow):') AND regexp_matches(id, '^(comp|action|field|model|page|dataflow):')))) ) GROUP BY target)"""))
 def normalise(t):
     return lookup.normalise_targets(p.nodes(t), t.spark.createDataFrame([(x,) for x in _LOOSE], "target string"))
 
@@ -225,9 +234,21 @@ def condition_index(t):
     return cond.index(p.conditions(t))
 
 
-@query("g31_condition_classes", p.sql("SELECT id, CASE WHEN condition_type IN ('VisibleCondition', 'EnableCondition', 'ActionCondition', 'ActionConditionExp') THEN 'blocking' WHEN effect_type = 'Filter' THEN 'data_empty' ELSE 'supporting' END AS class FROM conditions"))
+# some conditions that ask for a number of rows and some that disable
+_VARIED = "varied AS (SELECT id, owner_id, CASE WHEN length(id) % 4 = 0 THEN 'DisableCondition' WHEN length(id) % 4 = 1 THEN 'CalcCondition' ELSE condition_type END AS condition_type, CASE WHEN length(owner_id) % 3 = 0 THEN concat(raw_expr, ' + model1.totalRowCount__') ELSE raw_expr END AS raw_expr FROM conditions)"
+
+
+def _varied(t):
+    n = F.length("id")
+    kind = F.when(n % 4 == 0, "DisableCondition").when(n % 4 == 1, "CalcCondition").otherwise(F.col("condition_type"))
+    expr = F.when(F.length("owner_id") % 3 == 0, F.concat("raw_expr", F.lit(" + model1.totalRowCount__"))).otherwise(F.col("raw_expr"))
+    return p.conditions(t).withColumn("condition_type", kind).withColumn("raw_expr", expr)
+
+
+# the reference rule: five blocking types, then filters and totalRowCount__
+@query("g31_condition_classes", p.sql("SELECT id, CASE WHEN condition_type IN ('VisibleCondition', 'DisableCondition', 'EnableCondition', 'ActionCondition', 'ActionConditionExp') THEN 'blocking' WHEN strpos(condition_type, 'Filter') > 0 OR strpos(raw_expr, 'totalRowCount__') > 0 THEN 'data_empty' ELSE 'supporting' END AS class FROM varied", _VARIED))
 def condition_classes(t):
-    return p.conditions(t).select("id", cond.condition_class(F.col("condition_type"), F.col("effect_type")).alias("class"))
+    return _varied(t).select("id", cond.condition_class(F.col("condition_type"), F.col("raw_expr")).alias("class"))
 
 
 @query("g38_availability", p.sql("SELECT e.dst AS model, count(DISTINCT c.id) FILTER (effect_type = 'Show') AS n_blocking, count(DISTINCT c.id) FILTER (effect_type = 'Filter') AS n_data_empty, count(DISTINCT c.owner_id) AS n_components FROM edges e JOIN conditions c ON c.owner_id = e.src WHERE e.edge_type = 'Reads' AND e.dst LIKE 'model:%' GROUP BY 1"))
@@ -235,12 +256,16 @@ def availability(t):
     return cond.availability(p.conditions(t), p.edges(t))
 
 
-@query("k10_impact", p.sql("SELECT id, 1 + CASE condition_type WHEN 'VisibleCondition' THEN 1 ELSE 0 END AS score FROM conditions"))
+# the reference rule: referenced models and components, and 3 for an entry point, 2 for a main panel, else 1
+@query("k10_impact", p.sql("SELECT id, CASE WHEN length(id) % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN length(id) % 4 = 0 OR length(id) % 5 = 0 THEN 3 WHEN length(id) % 7 = 0 THEN 1 ELSE 2 END AS score FROM conditions"))
 def impact(t):
-    return cond.impact(p.conditions(t))
+    n = F.length("id")
+    rows = p.conditions(t).withColumn("referenced_symbols", F.when(n % 3 == 0, F.concat("referenced_symbols", F.array(F.lit("model:a"), F.lit("comp:b")))).otherwise(F.col("referenced_symbols")))
+    rows = rows.withColumn("owner_id", F.when(n % 4 == 0, "action:x").when(n % 7 == 0, "page:x").otherwise(F.col("owner_id"))).withColumn("effect_type", F.when(n % 5 == 0, "Execute").otherwise(F.col("effect_type")))
+    return cond.impact(rows)
 
 
-@query("a12_page_roles", p.sql("""SELECT page, n_entry, n_write, n_jump, CASE WHEN n_entry = 0 THEN 'static_page' WHEN n_write > 0 AND n_jump > 0 THEN 'workflow_page' WHEN n_write > 0 THEN 'edit_page' WHEN n_jump > 0 THEN 'navigation_page' ELSE 'view_page' END AS role
+@query("a12_page_roles", p.sql("""SELECT page, n_entry, n_write, n_jump, CASE WHEN n_entry = 0 THEN 'readonly_dashboard' WHEN n_write > 0 AND n_jump > 0 THEN 'mixed_interaction_page' WHEN n_write > 0 THEN 'data_maintenance_page' WHEN n_jump > 0 THEN 'navigation_page' ELSE 'unknown' END AS role
 FROM (SELECT n.id AS page, count(DISTINCT e.src) FILTER (e.edge_type = 'Triggers') AS n_entry, count(*) FILTER (e.edge_type IN ('Writes', 'ActionWrites')) AS n_write, count(*) FILTER (e.edge_type = 'ActionNavigates') AS n_jump FROM nodes n LEFT JOIN pages p ON p.page = n.id LEFT JOIN edges e ON e.src = p.id WHERE n.node_type = 'Page' GROUP BY 1)""", _PAGES.lstrip(", ")))
 def page_roles(t):
     return output.page_roles(p.nodes(t), p.edges(t))
@@ -273,12 +298,26 @@ def visual_cut(t):
     return output.visual_cut(p.nodes(t), p.edges(t), 20000, 500)
 
 
-@query("g28_importance", "SELECT o_orderkey, CASE WHEN k IN ('input') THEN 'form_input' WHEN k = 'button' THEN 'trigger' WHEN k IN ('list') THEN 'data_view' WHEN k = 'panel' THEN 'container' ELSE 'decoration' END AS importance FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'input' WHEN 1 THEN 'button' WHEN 2 THEN 'list' WHEN 3 THEN 'panel' ELSE 'label' END AS k FROM orders)")
-def importance_classes(t):
+_KINDS = ("dialog", "input", "text", "button", "datePicker", "list", "panel")
+
+
+# the reference rule: node type, component type, and what a node's edges do
+@query("g28_importance", p.sql(f"""SELECT id, CASE node_type WHEN 'Page' THEN CASE WHEN nav OR wr THEN 'entrypoint' ELSE 'container' END WHEN 'Component' THEN CASE WHEN kind IN ('dialog', 'panel', 'embedsuperpage', 'form') THEN 'container' WHEN kind IN ('input', 'textarea', 'select', 'radio', 'checkbox', 'datePicker', 'number', 'search') THEN 'form_input'
+ WHEN kind = 'text' AND rd THEN 'data_source_display' WHEN act THEN 'entrypoint' WHEN wr THEN 'action_target' WHEN rd THEN 'data_source_display' ELSE 'static_display' END WHEN 'Action' THEN CASE WHEN nav THEN 'entrypoint' WHEN wr THEN 'action_target' WHEN rd THEN 'data_source_display' ELSE 'static_display' END
+ WHEN 'Condition' THEN 'condition' ELSE CASE WHEN wr THEN 'action_target' WHEN rd THEN 'data_source_display' ELSE 'unknown' END END AS importance
+FROM (SELECT n.id, node_type, list_value({", ".join(f"'{k}'" for k in _KINDS)})[length(n.id) % {len(_KINDS)} + 1] AS kind, coalesce(bool_or(e.edge_type IN ('ActionNavigates', 'OpensPage')), false) AS nav, coalesce(bool_or(e.edge_type IN ('Writes', 'ActionWrites', 'FieldWrite')), false) AS wr, coalesce(bool_or(e.edge_type IN ('Reads', 'ActionReads')), false) AS rd, coalesce(bool_or(e.edge_type = 'Triggers'), false) AS act
+ FROM nodes n LEFT JOIN (SELECT src AS id, edge_type FROM edges WHERE NOT regexp_matches(src, '^(model|field):') UNION ALL SELECT dst, edge_type FROM edges WHERE regexp_matches(dst, '^(model|field):')) e ON e.id = n.id GROUP BY n.id, node_type)"""))
+def importances(t):
     from ..functions.actions import importance
 
-    kinds = F.array(*[F.lit(x) for x in ("input", "button", "list", "panel", "label")])
-    return t.orders.select("o_orderkey", importance(F.get(kinds, (F.col("o_orderkey") % 5).cast("int"))).alias("importance"))
+    e = p.edges(t)
+    data = lambda c: F.col(c).startswith("model:") | F.col(c).startswith("field:")
+    ends = e.where(~data("src")).select(F.col("src").alias("id"), "edge_type").unionByName(e.where(data("dst")).select(F.col("dst").alias("id"), "edge_type"))
+    any_ = lambda *kinds: F.coalesce(F.bool_or(F.col("edge_type").isin(*kinds)), F.lit(False))
+    does = ends.groupBy("id").agg(any_("ActionNavigates", "OpensPage").alias("nav"), any_("Writes", "ActionWrites", "FieldWrite").alias("wr"), any_("Reads", "ActionReads").alias("rd"), any_("Triggers").alias("act"))
+    rows = p.nodes(t).select("id", "node_type").join(does, "id", "left").na.fill(False)
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), F.length("id") % len(_KINDS))
+    return rows.select("id", importance(F.col("node_type"), kind, F.col("nav"), F.col("wr"), F.col("rd"), F.col("act")).alias("importance"))
 
 
 GQL = {

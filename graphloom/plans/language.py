@@ -96,21 +96,39 @@ def condition_types(t):
     return rows.groupBy("prop", "kind", cond.effect_type(F.col("kind")).alias("effect")).agg(F.count("*").alias("n"))
 
 
-@query("e14_bare_symbols", f"SELECT o_orderkey, regexp_extract(trim(token), '^=?\\$\\{{([^{{}}]+)\\}}$', 1) AS symbol FROM (SELECT o_orderkey, {_TOKENS} AS token FROM orders) WHERE regexp_matches(trim(token), '^=?\\$\\{{([^{{}}]+)\\}}$')")
+# the reference rule: ${X} alone, X of ASCII letters, digits and underscores
+@query("e14_bare_symbols", f"SELECT o_orderkey, regexp_extract(token, '^\\s*\\$\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\s*$', 1) AS symbol FROM (SELECT o_orderkey, {_TOKENS} AS token FROM orders) WHERE regexp_matches(token, '^\\s*\\$\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\s*$')")
 def bare_symbols(t):
     return _tokens(t).select("o_orderkey", ex.bare_symbol(F.col("token")).alias("symbol")).where("symbol IS NOT NULL")
 
 
-@query("e12_wait_previous", "SELECT o_orderkey, array_to_string([concat('a', o_orderkey % 3), concat('b', o_orderkey % 4)][1:CAST(o_orderkey % 3 AS INTEGER)], '+') AS waits FROM orders")
+_WAITS = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat('button', o_custkey, '.action', o_orderkey % 4) WHEN 2 THEN concat('input', o_custkey, '.', list_value('value', 'text', 'checked', 'visible', 'values')[o_orderkey % 4 + 1]) WHEN 3 THEN 'a.b.c' ELSE concat('button', o_custkey) END"
+
+
+# the reference rule: component.action, unless the second part is one of eight properties
+@query("e12_wait_previous", f"SELECT o_orderkey, raw, CASE WHEN len(p) = 2 THEN p[1] END AS component_id, CASE WHEN len(p) = 2 AND NOT prop THEN p[2] END AS action_id, coalesce(len(p) = 2 AND NOT prop, false) AS resolved, CASE WHEN prop THEN 'second part looks like a component property, not an action id' END AS reason FROM (SELECT *, len(p) = 2 AND p[2] IN ('value', 'text', 'checked', 'selected', 'visible', 'disabled', 'readonly', 'hidden') AS prop FROM (SELECT *, string_split(raw, '.') AS p FROM (SELECT o_orderkey, {_WAITS} AS raw FROM orders)))")
 def wait_previous(t):
-    raw = F.expr("CASE o_orderkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN concat('a', o_orderkey % 3) ELSE concat('a', o_orderkey % 3, ' ; b', o_orderkey % 4, ',') END")
-    return t.orders.select("o_orderkey", F.array_join(act.wait_previous(raw), "+").alias("waits"))
+    k = F.col("o_orderkey") % 5
+    prop = F.get(F.array(*[F.lit(x) for x in ("value", "text", "checked", "visible", "values")]), (F.col("o_orderkey") % 4).cast("int"))
+    raw = F.when(k == 1, F.concat(F.lit("button"), "o_custkey", F.lit(".action"), F.col("o_orderkey") % 4)).when(k == 2, F.concat(F.lit("input"), "o_custkey", F.lit("."), prop)).when(k == 3, "a.b.c").when(k == 4, F.concat(F.lit("button"), "o_custkey"))
+    return t.orders.select("o_orderkey", act.wait_previous(raw).alias("w")).select("o_orderkey", "w.*")
+
+
+_TYPES = [*act.SENTENCES, "ownAction"]
+
+
+def _sentence_sql() -> str:
+    of = lambda form: "concat(" + ", ".join({"c": "comp", "t": "array_to_string(targets, ', ')", "a": "kind"}[x] if k % 2 else f"'{x}'" for k, x in enumerate(form.replace("}", "{").split("{")) if x) + ")"
+    rows = [f"WHEN kind = '{k}' AND len(targets) = 0 THEN {of(f[1])} WHEN kind = '{k}' THEN {of(f[0])}" if len(f) == 2 else f"WHEN kind = '{k}' THEN {of(f[0])}" for k, f in act.SENTENCES.items()]
+    return f"CASE {' '.join(rows)} ELSE {of(act.OTHER_SENTENCE)} END"
 
 
-@query("e11_action_sentences", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('submitData writes data to m', o_custkey) WHEN 1 THEN 'link goes to ?' ELSE concat('script runs m', o_custkey) END AS sentence FROM orders")
+# the reference rule: one sentence for each action type, with its targets or saying that none is known
+@query("e11_action_sentences", f"SELECT o_orderkey, {_sentence_sql()} AS sentence FROM (SELECT o_orderkey, list_value({', '.join(repr(x) for x in _TYPES)})[o_orderkey % {len(_TYPES)} + 1] AS kind, concat('button', o_custkey) AS comp, list_value(concat('m', o_custkey), 'n')[1:CAST(o_custkey % 3 AS INTEGER)] AS targets FROM orders)")
 def action_sentences(t):
-    kind = F.get(F.array(F.lit("submitData"), F.lit("link"), F.lit("script")), (F.col("o_orderkey") % 3).cast("int"))
-    return t.orders.select("o_orderkey", act.sentence(kind, F.when(F.col("o_orderkey") % 3 != 1, F.concat(F.lit("m"), "o_custkey"))).alias("sentence"))
+    kind = F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("o_orderkey") % len(_TYPES)).cast("int"))
+    targets = F.slice(F.array(F.concat(F.lit("m"), "o_custkey"), F.lit("n")), F.lit(1), (F.col("o_custkey") % 3).cast("int"))
+    return t.orders.select("o_orderkey", act.sentence(kind, F.concat(F.lit("button"), "o_custkey"), targets).alias("sentence"))
 
 
 _FILTERS = ["[n#].[f#] = $user.dept and [g#] > param#", "[a] = [a] or [b#] in (1)", "$param.x# = xparam1 and param#", "1 = 1"]

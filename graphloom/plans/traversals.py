@@ -51,7 +51,8 @@ def affected_pages(t):
     return tr.affected_pages(tr.page_index(p.edges(t)), dirty)
 
 
-_UP = "up AS (SELECT dst AS id, coalesce(min(src) FILTER (src NOT LIKE 'page:%'), min(src)) AS parent FROM edges WHERE edge_type IN ('Contains', 'Triggers') AND src NOT LIKE 'model:%' GROUP BY dst)"
+# the reference rule: Contains from components alone, a component before a page, stop before the page
+_UP = "up AS (SELECT dst AS id, min(src) AS parent FROM edges WHERE edge_type = 'Contains' AND starts_with(src, 'comp:') GROUP BY dst)"
 _ANCESTORS = "ancestors AS (SELECT id, parent AS ancestor, 1 AS distance FROM up UNION ALL SELECT a.id, u.parent, a.distance + 1 FROM ancestors a JOIN up u ON u.id = a.ancestor)"
 
 

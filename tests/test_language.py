@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import actions as act
+from graphloom.functions import expressions as ex
 from graphloom.functions.expressions import Parser, expand, parse, ref_kind, references, tokens
 from graphloom.operators import output, pattern
 
@@ -100,5 +101,22 @@ def test_output(spark):
 
 
 def test_action_words(spark):
-    row = spark.range(1).select(act.category(F.lit("link")).alias("a"), act.category(F.lit("x")).alias("b"), act.wait_previous(F.lit(None).cast("string")).alias("c"), act.importance(F.lit("ComboBox")).alias("d")).first()
-    assert tuple(row) == ("navigation", "unknown", [], "form_input")
+    lit = F.lit
+    none = lit(None).cast("string")
+    row = spark.range(1).select(act.category(lit("link")).alias("a"), act.category(lit("x")).alias("b"), act.wait_previous(none).alias("c"), act.wait_previous(lit("b1.visible")).alias("d"), act.wait_previous(lit("b1.go")).alias("e")).first()
+    assert (row.a, row.b, tuple(row.c)) == ("navigation", "unknown", (None, None, None, False, None))
+    assert (row.d.component_id, row.d.action_id, row.d.resolved) == ("b1", None, False) and row.d.reason and (row.e.action_id, row.e.resolved) == ("go", True)
+    said = spark.range(1).select(act.sentence(lit("link"), lit("b"), F.array(lit("P"), lit("Q"))).alias("a"), act.sentence(lit("submitData"), lit("b"), F.array().cast("array<string>")).alias("b"), act.sentence(lit("own"), lit("b"), F.array(lit("x"))).alias("c")).first()
+    assert tuple(said) == ("点击 b 后跳转到 P, Q", "点击 b 后提交数据（未识别目标字段）", "点击 b 后执行 own 动作")
+    flags = lambda *x: [lit(v) for v in x]
+    part = spark.range(1).select(*[act.importance(lit(n), lit(k), *flags(*x)).alias(f"c{i}") for i, (n, k, x) in enumerate([
+        ("Page", "", (False, True, False, False)), ("Page", "", (False, False, True, True)), ("Component", "panel", (False, True, True, True)), ("Component", "text", (False, False, True, True)),
+        ("Component", "button", (False, True, True, True)), ("Component", "button", (False, False, False, False)), ("Action", "", (True, True, True, False)), ("Model", "", (True, False, False, True)), ("Condition", "", (True, True, True, True)),
+    ])]).first()
+    assert tuple(part) == ("entrypoint", "container", "container", "data_source_display", "entrypoint", "static_display", "entrypoint", "unknown", "condition")
+
+
+def test_bare_symbols(spark):
+    rows = spark.createDataFrame([("${X}",), (" ${ a_1 } ",), ("=${X}",), ("${a.b}",), ("${é}",), ("${}",), ("${a}b",), (None,)], "e string")
+    assert [r.s for r in rows.select(ex.bare_symbol(F.col("e")).alias("s")).collect()] == ["X", "a_1", None, None, None, None, None, None]
+
