@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a single longer document is one step.
 STEP_BYTES = 1 << 19
+#: Bytes of written tables behind one partition of a table that is made of them.
+PART_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +44,22 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """df, written and reread; the shuffle files behind it go as soon as it is written."""
+    def bytes(self, *tables: DataFrame) -> int:
+        """Size of written tables on disk."""
+        jvm, conf, total = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), 0
+        for t in tables:
+            at = jvm.org.apache.hadoop.fs.Path(t._scratch_at)
+            total += at.getFileSystem(conf).getContentSummary(at).getLength()
+        return total
+
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", of: tuple[DataFrame, ...] = ()) -> DataFrame:
+        """df, written and reread; the shuffle files behind it go as soon as it is written.
+
+        of: written tables that df is made of; where they are small, df is written in fewer, larger files.
+        """
         at = self.path(name)
+        if of:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-self.bytes(*of) // PART_BYTES)))
         df.write.option("compression", codec).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch_at = at

@@ -46,18 +46,18 @@ def _stars(links: DataFrame) -> DataFrame:
     return small.where("v <> m").select(F.col("v").alias("node"), F.col("m").alias("component")).union(low.select("u", "m")).distinct()
 
 
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+def components(scratch: Scratch, links: DataFrame, of: tuple[DataFrame, ...] = ()) -> DataFrame:
     """(node, component) for each node of links (two long columns) but the smallest of each component.
 
     Partitions contract their own links first; alternating stars then join what lies in several partitions, until no
-    node has two parents and no parent is a child. Each step is a written table.
+    node has two parents and no parent is a child. Each step is a written table; of names the written tables behind links.
     """
-    stars = scratch.keep(links.toDF("a", "b").where("a <> b").distinct().mapInArrow(_contract, "node long, component long"), "stars")
+    stars = scratch.keep(links.toDF("a", "b").where("a <> b").distinct().mapInArrow(_contract, "node long, component long"), "stars", of=of)
     while True:
         twice = stars.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
         chained = stars.select(F.col("component").alias("node")).distinct().join(stars.select("node"), "node", "left_semi")
         if twice.unionAll(chained).isEmpty():
             return stars
-        after = scratch.keep(_stars(stars), "stars")
+        after = scratch.keep(_stars(stars), "stars", of=(stars, stars))
         scratch.drop(stars)
         stars = after

@@ -264,33 +264,33 @@ def near_units(scratch: Scratch, docs: DataFrame, rows: DataFrame, c: ParagraphC
     """(d1, d2, c1, c2): digests of units that are near-duplicates of others, each with its component's digest, but the component's own."""
     keys = rows.where("bands is not null").select(F.explode("bands").alias("key"), F.col("d1").alias("unit"))
     n = keys.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    members = scratch.keep(keys.repartition(int(n), "key").sortWithinPartitions("key", "unit").mapInArrow(_shared, "key long, unit long"), "members")
+    members = scratch.keep(keys.repartition(int(n), "key").sortWithinPartitions("key", "unit").mapInArrow(_shared, "key long, unit long"), "members", of=(rows,))
     some = rows.where("bands is not null").join(members.select(F.col("unit").alias("d1")).distinct(), "d1", "left_semi")
-    some = scratch.keep(some.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "doc_id", "version", "begin", "stop"), "candidates")
-    classes = scratch.keep(some.groupBy("d1", "d2").agg(F.min("node").alias("node")), "classes")
+    some = scratch.keep(some.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "doc_id", "version", "begin", "stop"), "candidates", of=(rows,))
+    classes = scratch.keep(some.groupBy("d1", "d2").agg(F.min("node").alias("node")), "classes", of=(some,))
     wanted = some.join(classes.select("node"), "node", "left_semi").groupBy("doc_id", "version").agg(F.collect_list(F.struct("node", "begin", "stop")).alias("wanted"))
     texts_ = docs.join(wanted.withColumnsRenamed({"doc_id": "d", "version": "v"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")))
     # rows that repeat a document give a set again, which only joins a node with itself
     sets = scratch.keep(texts_.select("text", "wanted").mapInArrow(_sets(c), "node long, shingles binary"), "sets", "none")
-    members_ = scratch.keep(members.join(classes.select(F.col("d1").alias("unit"), "node"), "unit").select("key", "node"), "nodes")
+    members_ = scratch.keep(members.join(classes.select(F.col("d1").alias("unit"), "node"), "unit").select("key", "node"), "nodes", of=(members, classes))
     scratch.drop(members, some)
 
     # buckets of the same units, which near copies share, are looked at once
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
     buckets = members_.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), *marks)
-    buckets = scratch.keep(buckets.where("n > 1").groupBy("n", "a", "b", "m1", "m2").agg(F.min("key").alias("key")), "buckets")
+    buckets = scratch.keep(buckets.where("n > 1").groupBy("n", "a", "b", "m1", "m2").agg(F.min("key").alias("key")), "buckets", of=(members_,))
     pairs = buckets.where("n = 2").select("a", "b")
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    twos = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(c), "a long, b long"), "twos")
-    large = scratch.keep(members_.join(buckets.where("n > 2").select("key", "n"), "key"), "large")
+    twos = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(c), "a long, b long"), "twos", of=(sets, sets, buckets))
+    large = scratch.keep(members_.join(buckets.where("n > 2").select("key", "n"), "key"), "large", of=(members_,))
 
     def compared(tiles: DataFrame) -> DataFrame:
         full = tiles.join(sets, "node").select("key", "block", "side", "node", "component", "shingles")
         return full.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_links(c), "a long, b long")
 
     dealt = large.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / c.block)).cast("long"))
-    likely = scratch.keep(compared(dealt.withColumn("side", F.lit(0)).withColumn("component", F.col("node"))), "likely")
-    first = components(scratch, twos.unionByName(likely))
+    likely = scratch.keep(compared(dealt.withColumn("side", F.lit(0)).withColumn("component", F.col("node"))), "likely", of=(sets, sets, large))
+    first = components(scratch, twos.unionByName(likely), of=(twos, likely))
     # buckets of several blocks: the rest's blocks meet each other and those of the largest component
     open_ = large.where(F.col("n") > c.block).join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = open_.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -303,14 +303,14 @@ def near_units(scratch: Scratch, docs: DataFrame, rows: DataFrame, c: ParagraphC
     outer = F.transform(F.sequence(zero, F.col("big") - 1), lambda k: rest * rest + k * rest + F.col("own"))
     larger = F.transform(F.sequence(zero, rest - 1), lambda k: rest * rest + F.col("own") * rest + k)
     tiles = at.withColumn("block", F.explode(F.when(F.col("side") == 1, larger).otherwise(F.concat(inner, outer))))
-    more = scratch.keep(compared(tiles), "more")
+    more = scratch.keep(compared(tiles), "more", of=(sets, sets, large))
     scratch.drop(sets, members_, buckets, large, likely, twos)
     linked = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
-    second = components(scratch, linked.select(F.coalesce("ca", "a"), F.coalesce("cb", "b"))).toDF("c1", "c2")
+    second = components(scratch, linked.select(F.coalesce("ca", "a"), F.coalesce("cb", "b")), of=(more, first)).toDF("c1", "c2")
     nodes = first.select("node").union(second.select("c1")).distinct().join(first, "node", "left").withColumn("c1", F.coalesce("component", "node")).drop("component")
     found = nodes.join(second, "c1", "left").select("node", F.coalesce("c2", "c1").alias("component")).where("node <> component")
     heads = classes.select(F.col("node").alias("component"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
-    return scratch.keep(found.join(classes, "node").join(heads, "component").select("d1", "d2", "c1", "c2"), "near")
+    return scratch.keep(found.join(classes, "node").join(heads, "component").select("d1", "d2", "c1", "c2"), "near", of=(classes,))
 
 
 def repeated_paragraphs(docs: DataFrame, config: ParagraphConfig | None = None) -> DataFrame:
@@ -334,18 +334,18 @@ def repeated_paragraphs(docs: DataFrame, config: ParagraphConfig | None = None)
     # a unit that occurs once and is nobody's near-duplicate is done; a component's own digest is in near's c1 and c2
     heads = near.select(F.col("c1").alias("d1"), F.col("c2").alias("d2")).distinct().withColumn("head", F.lit(True))
     named = named.join(heads, ["d1", "d2"], "left").where((F.col("n") > 1) | (F.col("d1") != F.col("c1")) | (F.col("d2") != F.col("c2")) | F.col("head"))
-    named = scratch.keep(named.select("d1", "d2", "c1", "c2"), "repeated")
+    named = scratch.keep(named.select("d1", "d2", "c1", "c2"), "repeated", of=(rows,))
     salts = F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))).alias("salt")
     salt = F.pmod(F.xxhash64("doc_id", "version", "begin"), F.lit(c.salts)).cast("int")
     place = rows.select("d1", "d2", "doc_id", "version", "begin", "stop", salt.alias("salt"))
-    again = scratch.keep(place.join(named.select("*", salts), ["d1", "d2", "salt"]).drop("d1", "d2"), "occurrences")
+    again = scratch.keep(place.join(named.select("*", salts), ["d1", "d2", "salt"]).drop("d1", "d2"), "occurrences", of=(rows, named))
     scratch.drop(rows, near, named)
     first = F.min(F.struct("doc_id", "version", "stop")).alias("first")
-    firsts = scratch.keep(again.groupBy("c1", "c2").agg(first), "firsts").select("*", salts)
+    firsts = scratch.keep(again.groupBy("c1", "c2").agg(first), "firsts", of=(again,)).select("*", salts)
     # a paragraph and a passage of its own may be alike: neither repeats the other
     apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("version") != F.col("first.version")) | (F.col("begin") >= F.col("first.stop"))
     spans = again.join(firsts, ["c1", "c2", "salt"]).where(apart).groupBy("doc_id", "version").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
-    found = scratch.keep(spans, "spans").withColumnsRenamed({"doc_id": "d", "version": "v"})
+    found = scratch.keep(spans, "spans", of=(again,)).withColumnsRenamed({"doc_id": "d", "version": "v"})
     scratch.drop(again)
     both = versioned.join(found, (F.coalesce("doc_id", F.lit(_NONE)) == F.col("d")) & (F.col("version") == F.col("v")), "left")
     return both.select("doc_id", "text", "spans")
