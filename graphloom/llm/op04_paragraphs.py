@@ -358,16 +358,13 @@ def without_repeated_paragraphs(docs: DataFrame, config: ParagraphConfig | None
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column, n = texts(batch.column(1)), []
-        for lo, hi in steps(column):
-            buf, begin, _ = joined(column, lo, hi)
+        for cut, (lo, hi) in zip(_cut(iter([batch])), steps(texts(batch.column(1))), strict=True):
+            buf, begin, _ = joined(texts(batch.column(1)), lo, hi)
             starts, _, _ = word_hashes(buf)
             line = np.cumsum(buf == 10)[starts]
             first = starts[np.append(True, line[1:] != line[:-1])] if len(starts) else starts
-            n.append(np.bincount(np.searchsorted(begin, first, "right") - 1, minlength=hi - lo))
-        counts = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
-        for cut in _cut(iter([batch])):
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *cut.columns[1:]], ["doc_id", "n_paragraphs", "n_bytes", "n_removed", "n_spans", "kept"])
+            n = np.bincount(np.searchsorted(begin, first, "right") - 1, minlength=hi - lo)
+            yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(n, pa.int64()), *cut.columns[1:]], ["doc_id", "n_paragraphs", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

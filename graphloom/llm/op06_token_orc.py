@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _SPACE, Scratch, joined, mix, powers, steps, table, texts
+from .common import _BYTE, _LOWER, _SPACE, Scratch, input_bytes, joined, mix, powers, steps, table, texts
 
 
 @dataclass(frozen=True)
@@ -267,15 +267,6 @@ def _encode(c: TokenConfig):
     return run
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind a DataFrame, by their metadata; sources that do not tell count nothing."""
-    leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
-    for k in range(leaves.size()):
-        size = int(leaves.apply(k).stats().sizeInBytes())
-        total += size if size < 1 << 60 else 0
-    return total
-
-
 def write_tokens(docs: DataFrame, path: str, config: TokenConfig | None = None) -> None:
     """Writes docs (doc_id long, text string) as ORC rows (doc_id, place, n_tokens, ids), ascending by doc_id over the files.
 

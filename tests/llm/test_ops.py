@@ -255,11 +255,35 @@ def test_suffix_dedup_equals_brute_force(spark):
     got = {r.doc_id: tuple(r)[1:4] for r in without_repeats(frame(spark, rows)).collect()}
     expected = brute.suffix_dedup(rows)
     assert got == {i: x[:3] for i, x in expected.items()}
-    tight = {r.doc_id: tuple(r)[1:4] for r in without_repeats(frame(spark, rows), SuffixConfig(run_bytes=2000, block=10)).collect()}
-    assert tight == got
+    for config in (SuffixConfig(run_bytes=2000, block=10), SuffixConfig(hot=3, block=10, part_bytes=500)):
+        assert {r.doc_id: tuple(r)[1:4] for r in without_repeats(frame(spark, rows), config).collect()} == got
     assert without_repeats(frame(spark, [])).count() == 0
 
 
+def test_windows_of_long_texts_and_zero_bytes(spark, monkeypatch):
+    from graphloom.llm import op05_suffix_dedup as op
+
+    rng = random.Random(15)
+    zero = "\0" * 40 + passage(rng, 20) + "\0" * 45
+    long = passage(rng, 400)
+    rows = [(1, long + zero), (2, passage(rng, 3) + zero + long[100:900]), (3, "\0" * 250), (4, zero[20:] + "\0\0" + zero), (5, long[::-1] + long)]
+    expected = {i: x[:3] for i, x in brute.suffix_dedup(rows).items()}
+    assert {r.doc_id: tuple(r)[1:4] for r in without_repeats(frame(spark, rows)).collect()} == expected
+    c = SuffixConfig()
+    buf = np.frombuffer("\n".join([long, zero, long, ""]).encode(), np.uint8)
+    ends = np.flatnonzero(buf == 10)
+    ends = ends[[len(long) == e or len(long) + 1 + len(zero) == e or e == len(buf) - 1 for e in ends.tolist()]]
+    begins = np.append(0, ends[:-1] + 1)
+    whole = op.anchors(buf, begins, ends, c)
+    monkeypatch.setattr(op, "_PIECE", 137)
+    parts = op.anchors(buf, begins, ends, c)
+
+    def windows(found):
+        return {w: (x, d, h) for a, b, x, d, h in zip(*(z.tolist() for z in found)) for w in range(a, b + 1)}
+
+    assert windows(parts) == windows(whole) and len(parts[0]) > len(whole[0])
+
+
 def test_suffix_dedup_of_repeated_ids(spark):
     text = passage(random.Random(1), 60)
     rows = without_repeats(frame(spark, [(1, text), (1, text), (None, text), (2, None)])).collect()
