@@ -1,4 +1,10 @@
-"""Operator 7: document rates that bring expected domain totals to target weights, in DataFrame functions only."""
+"""Operator 7: document rates that bring expected domain totals to target weights, in DataFrame functions only.
+
+1. Half of the labelled rows (a bounded sample of them) gives each hashed word its log odds by domain.
+2. Every text is measured once: the mean log odds of its words, and shares of kinds of characters and lines, as bins.
+3. The other half's bins make a naive Bayes classifier, so words that were learnt by heart do not count as evidence.
+4. Projected gradient steps fit nonnegative document rates whose expected domain totals match the targets.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, let, packed, table
 
 _GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -19,50 +25,73 @@ class MixConfig:
     domain: str = "quality"  #: column of labels whose values are the domains
     targets: dict = field(default_factory=lambda: {0: 0.05, 1: 0.95})  #: share of the expected tokens of each domain
     tokens: float | None = None  #: tokens to reach; None: the most that need no domain's documents twice on average
-    bins: int = 12  #: of each measure of a text
-    rounds: int = 25
+    bins: int = 24  #: of each measure of a text
+    buckets: int = 4096  #: hashed words
+    max_labelled: int = 8000  #: labelled rows that words are learnt from, by hash of doc_id
+    smoothing: float = 20.0  #: words that a bucket's share over all domains counts for
+    rounds: int = 60
     tolerance: float = 1e-6  #: largest miss of a target, against all tokens
     seed: int = 7
 
 
-def measures(text: Column) -> Column:
-    """What the classifier sees of a text: shares in thousandths and logarithms, as bins from 0."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), _GAP), lambda w: w != "")
+
+
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+
+
+def measures(text: Column, weights: list[np.ndarray]) -> Column:
+    """What the classifier sees of a text: numbers of words and characters, and the sum of its words' weights for each table of weights."""
     text = F.coalesce(text, F.lit(""))
 
-    def without(chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, chars, ""))
+    def count(chars: str) -> Column:
+        return F.size(F.split(text, chars)) - 1
+
+    def weight(w: np.ndarray, words: Column) -> Column:
+        values = F.split(F.lit(",".join(f"{x:.5f}" for x in w)), ",").cast("array<double>")  # a constant of the plan
+        return F.aggregate(words, F.lit(0.0), lambda total, x: total + F.get(values, _bucket(x, len(w))))
+
+    def of_words(words: Column) -> Column:
+        return F.struct(F.size(words).alias("words"), F.array(*[weight(w, words) for w in weights]).alias("sums"))
 
     return F.struct(
         F.length(text).alias("chars"),
-        F.size(F.filter(F.split(text, _GAP), lambda w: w != "")).alias("words"),
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"),
-        without("#*$%&|<>!").alias("symbols"),
-        without("0123456789").alias("digits"),
-        without(".,;:?").alias("stops"),
-        F.size(F.split(text, "\n")).alias("lines"),
-        F.size(F.array_distinct(F.split(text, "\n"))).alias("distinct_lines"),
+        let(_words(text), of_words).alias("of"),
+        count("[A-Z]").alias("upper"),
+        count("[#*$%&|<>!]").alias("symbols"),
+        count("[0-9]").alias("digits"),
+        count("[.,;:?]").alias("stops"),
+        let(F.split(text, "\n"), lambda x: F.struct(F.size(x).alias("lines"), F.size(F.array_distinct(x)).alias("distinct"))).alias("line"),
     )
 
 
-def _bins(m: Column, bins: int) -> Column:
+def _bins(m: Column, bins: int, contrasts: int) -> Column:
     """One bin for each feature, an array of ints below bins."""
+    words = m["of"]["words"].cast("double")
 
     def share(part: Column, whole: Column, scale: float) -> Column:
         x = part.cast("double") / F.greatest(whole.cast("double"), F.lit(1.0))
         return F.least(F.floor(F.sqrt(x * scale) * 3), F.lit(bins - 1)).cast("int")
 
+    def mean(k: int) -> Column:
+        x = F.get(m["of"]["sums"], F.lit(k)) / F.greatest(words, F.lit(1.0))
+        return F.greatest(F.lit(0), F.least(F.floor((x + 1.5) * (bins / 3)), F.lit(bins - 1))).cast("int")
+
     return F.array(
-        F.least(F.floor(F.log2(m["words"].cast("double") + 1)), F.lit(bins - 1)).cast("int"),
+        F.least(F.floor(F.log2(words + 1)), F.lit(bins - 1)).cast("int"),
         share(m["upper"], m["chars"], 10),
-        share(m["symbols"], m["words"], 2),
+        share(m["symbols"], words, 2),
         share(m["digits"], m["chars"], 50),
-        share(m["stops"], m["words"], 5),
-        share(m["lines"] - m["distinct_lines"], m["lines"], 10),
-        F.greatest(F.lit(0), F.least(F.floor(m["chars"].cast("double") / F.greatest(m["words"].cast("double"), F.lit(1.0))) - 2, F.lit(bins - 1))).cast("int"),
+        share(m["stops"], words, 5),
+        share(m["line"]["lines"] - m["line"]["distinct"], m["line"]["lines"], 10),
+        F.greatest(F.lit(0), F.least(F.floor(m["chars"].cast("double") / F.greatest(words, F.lit(1.0))) - 2, F.lit(bins - 1))).cast("int"),
+        *[mean(k) for k in range(contrasts)],
     )
 
 
-FEATURES = 7
+SHAPES = 7
 
 
 class Mix:
@@ -75,13 +104,13 @@ class Mix:
 
     def posterior(self, bins: Column) -> list[Column]:
         """One column for each domain: naive Bayes over the bins."""
-        scores = [sum((F.get(F.array(*[F.lit(float(x)) for x in self.logs[k, f]]), F.get(bins, F.lit(f))) for f in range(FEATURES)), F.lit(float(self.prior[k]))) for k in range(len(self.domains))]
+        scores = [sum((F.get(F.array(*[F.lit(float(x)) for x in self.logs[k, f]]), F.get(bins, F.lit(f))) for f in range(self.logs.shape[1])), F.lit(float(self.prior[k]))) for k in range(len(self.domains))]
         return [1 / sum((F.exp(F.greatest(F.least(other - own, F.lit(700.0)), F.lit(-700.0))) for other in scores), F.lit(0.0)) for own in scores]
 
-    def rate(self, p: list[Column]) -> Column:
-        """The rate after all moves: each is a step along the gradient, cut at zero."""
+    def rate(self, p: list[Column], more: np.ndarray | None = None) -> Column:
+        """The rate after all moves, and one more if given: each is a step along the gradient, cut at zero."""
         r = F.lit(1.0)
-        for move in self.moves:
+        for move in [*self.moves, *([] if more is None else [more])]:
             r = F.greatest(F.lit(0.0), r - sum((p[k] * float(move[k]) for k in range(len(p))), F.lit(0.0)))
         return r
 
@@ -91,20 +120,39 @@ class Mix:
         return F.floor(rate + chance).cast("int")
 
 
+def word_weights(docs: DataFrame, known: DataFrame, domains: list, c: MixConfig) -> list[np.ndarray]:
+    """Log odds of hashed words, each domain against the first one, from a bounded sample of labelled rows (d, domain)."""
+    sample = F.broadcast(known.orderBy(F.xxhash64("d"), "d", "domain").limit(c.max_labelled))  # at most max_labelled rows
+    words = docs.join(sample, F.col("doc_id") == F.col("d")).select("domain", F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
+    rows = words.groupBy("domain", _bucket(F.col("w"), c.buckets).alias("b")).agg(F.count("*").alias("n")).collect()  # domains x buckets rows at most
+    n = np.zeros((len(domains), c.buckets))
+    for r in rows:
+        n[domains.index(r["domain"]), r["b"]] = r["n"]
+    share = (n.sum(0) + 1) / (n.sum() + c.buckets)
+    logs = np.log((n + c.smoothing * share) / (n.sum(1, keepdims=True) + c.smoothing))
+    return [logs[k] - logs[0] for k in range(1, len(domains))]
+
+
 def fit(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) -> tuple[Mix, DataFrame]:
-    """The mixture for docs (doc_id, text) and its table (doc_id, n_tokens, bins, p), where p is the array of posteriors.
+    """The mixture for docs (doc_id, text) and its table: all columns of docs, n_tokens, bins and p, the array of posteriors.
 
     labels has doc_id and the domain column; rows with nulls or values without a target are not learnt from. Without
     labelled rows posteriors are the targets themselves. Null texts have no tokens. A target without any expected
-    token can't be met; the other ones are fitted as near as least squares allow.
+    token can't be met; the other ones are fitted as near as least squares allow. A text is measured once; a very long
+    one is one row's array of words in memory. docs' other columns must not be called n_tokens, bins or p.
     """
     c = config or MixConfig()
     scratch = Scratch(docs.sparkSession, "mix")
-    base = scratch.keep(docs.select("doc_id", measures(F.col("text")).alias("m")).select("doc_id", F.col("m.words").cast("long").alias("n_tokens"), _bins(F.col("m"), c.bins).alias("bins")), "measures")
     domains = sorted(c.targets, key=str)
-    known = labels.where(F.col(c.domain).isin(domains)).select(F.col("doc_id").alias("d"), F.col(c.domain).alias("domain")).distinct()
-    rows = base.join(known, F.col("doc_id") == F.col("d")).select("domain", F.posexplode("bins").alias("feature", "bin")).groupBy("domain", "feature", "bin").agg(F.count("*").alias("n")).collect()
-    n = np.zeros((len(domains), FEATURES, c.bins))  # domains x features x bins rows at most
+    known = labels.where(F.col(c.domain).isin(domains) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("d"), F.col(c.domain).alias("domain")).distinct()
+    known = known.withColumn("half", F.pmod(F.xxhash64("d", F.lit(c.seed)), F.lit(2)))
+    weights = word_weights(docs, known.where("half = 0"), domains, c)
+    names = [F.col(f"`{x}`") for x in docs.columns]
+    measured = docs.select(*names, measures(F.col("text"), weights).alias("m"))
+    base = scratch.keep(measured.select(*names, F.col("m.of.words").cast("long").alias("n_tokens"), _bins(F.col("m"), c.bins, len(weights)).alias("bins")), "measures")
+    features = SHAPES + len(weights)
+    rows = base.join(known.where("half = 1"), F.col("doc_id") == F.col("d")).select("domain", F.posexplode("bins").alias("feature", "bin")).groupBy("domain", "feature", "bin").agg(F.count("*").alias("n")).collect()
+    n = np.zeros((len(domains), features, c.bins))  # domains x features x bins rows at most
     for r in rows:
         n[domains.index(r["domain"]), r["feature"], r["bin"]] = r["n"]
     size = n[:, 0].sum(1)
@@ -112,60 +160,75 @@ def fit(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) ->
     share /= share.sum()
     prior = np.log((size + 1) / (size.sum() + len(domains))) if size.sum() else np.log(np.maximum(share, 1e-9))
     mix = Mix(c, domains, np.log((n + 0.5) / (n.sum(2, keepdims=True) + 0.5 * c.bins)), prior)
-    compact = scratch.keep(base.select("doc_id", "n_tokens", "bins", F.array(*mix.posterior(F.col("bins"))).alias("p")), "posteriors")
-    _solve(mix, compact, share)
-    return mix, compact
+    # rates depend on bins alone, and there are few different ones: steps go over bins with their tokens
+    kinds = base.groupBy("bins").agg(F.sum("n_tokens").alias("n_tokens")).select("n_tokens", F.array(*mix.posterior(F.col("bins"))).alias("p"))
+    _solve(mix, scratch.keep(kinds, "kinds", of=(base,)), share)
+    return mix, base.withColumn("p", F.array(*mix.posterior(F.col("bins"))))
 
 
 def _solve(mix: Mix, rows: DataFrame, share: np.ndarray) -> None:
     """Projected gradient steps, each one aggregation over all documents of a sum for each domain (and pair of domains).
 
     Scaled by the inverse second moments of the documents that are still above zero, a step reaches the least-squares
-    solution at once unless it cuts rates at zero; then further rounds follow.
+    solution at once unless it cuts rates at zero; so shorter steps and plain gradient steps are tried beside it, all in
+    one aggregation, and the one that comes nearest to the targets is taken, as long as any comes nearer than before.
     """
     c, k = mix.config, len(share)
     p = [F.get("p", F.lit(i)) for i in range(k)]
+    n = F.col("n_tokens").cast("double")
 
-    def sums() -> tuple[np.ndarray, np.ndarray]:
-        r, n = mix.rate(p), F.col("n_tokens").cast("double")
-        on = F.when(r > 0, n).otherwise(0.0)
-        row = rows.agg(*[F.sum(r * n * p[i]).alias(f"e{i}") for i in range(k)], *[F.sum(on * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        return np.array([row[f"e{i}"] or 0.0 for i in range(k)]), g
+    def expected_at(moves: list[np.ndarray | None]) -> np.ndarray:
+        """Expected totals after each of the moves."""
+        cells = [F.sum(mix.rate(p, m) * n * p[i]).alias(f"e{j}_{i}") for j, m in enumerate(moves) for i in range(k)]
+        row = rows.agg(*cells).first()
+        return np.array([[row[f"e{j}_{i}"] or 0.0 for i in range(k)] for j in range(len(moves))])
 
-    expected, moment = sums()
+    def moment() -> np.ndarray:
+        on = F.when(mix.rate(p) > 0, n).otherwise(0.0)
+        row = rows.agg(*[F.sum(on * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+    expected = expected_at([None])[0]
     if expected.sum() <= 0:
         return
     total = c.tokens if c.tokens is not None else float(np.min(np.where(share > 0, np.where(expected > 0, expected, np.inf) / np.maximum(share, 1e-12), np.inf)))
     total = total if math.isfinite(total) else float(expected.sum())
     target = share * total
+    largest = max(float(np.linalg.eigvalsh(moment())[-1]), 1e-12)  # a gradient step of one over it never overshoots
     for _ in range(c.rounds):
         if np.abs(expected - target).max() <= c.tolerance * total:
             break
-        ridge = 1e-9 * max(np.trace(moment), 1.0) * np.eye(k)
-        mix.moves.append(np.linalg.solve(moment + ridge, expected - target))
-        expected, moment = sums()
+        g = moment()
+        step = np.linalg.pinv(g, rcond=1e-6) @ (expected - target)  # nothing along what the remaining documents do not tell apart
+        moves = [step / 2**j for j in range(6)] + [(expected - target) / largest * 4**j for j in range(6)]
+        tried = expected_at(moves)
+        best = int(np.square(tried - target).sum(1).argmin())
+        if np.square(tried[best] - target).sum() >= np.square(expected - target).sum() * (1 - 1e-4):
+            break
+        mix.moves.append(moves[best])
+        expected = tried[best]
     mix.totals = {"target": dict(zip(mix.domains, target.tolist(), strict=True)), "expected": dict(zip(mix.domains, expected.tolist(), strict=True))}
 
 
 def mixed(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) -> DataFrame:
-    """docs with each row as often as its rate asks for (0, 1 or more times); all columns as they were.
+    """docs with each row as often as its rate asks for (0, 1 or more times); all columns as they were, whatever their names.
 
-    Repeated rows are decided alike; a null doc_id is an id like others; an empty table gives no rows.
+    Copies are decided by a hash of doc_id: rows that repeat an id are decided alike, all kept or all dropped, so a
+    domain's total misses its target by up to such a group's tokens; a null doc_id is an id like others; an empty table
+    gives no rows.
     """
-    mix, _ = fit(docs.select("doc_id", "text"), labels, config)
-    bins = _bins(F.col("__m"), mix.config.bins)
-    p = mix.posterior(F.col("__bins"))
-    staged = docs.withColumn("__m", measures(F.col("text"))).withColumn("__bins", bins)
-    staged = staged.withColumn("__n", mix.copies(mix.rate(p), F.col("doc_id")))
-    return staged.where("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    rows, unpacked = packed(docs)
+    mix, base = fit(rows, labels, config)
+    rate = mix.rate([F.get("p", F.lit(i)) for i in range(len(mix.domains))])
+    kept = base.withColumn("copies", mix.copies(rate, F.col("doc_id"))).where("copies > 0")
+    return unpacked(kept.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def rates(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) -> DataFrame:
     """(doc_id, n_tokens, p, rate, copies) for each row of docs."""
     mix, rows = fit(docs.select("doc_id", "text"), labels, config)
     rate = mix.rate([F.get("p", F.lit(i)) for i in range(len(mix.domains))])
-    return rows.withColumn("rate", rate).withColumn("copies", mix.copies(F.col("rate"), F.col("doc_id"))).drop("bins")
+    return rows.withColumn("rate", rate).withColumn("copies", mix.copies(F.col("rate"), F.col("doc_id"))).drop("bins", "text")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

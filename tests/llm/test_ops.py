@@ -402,8 +402,8 @@ def test_mixing(spark):
     assert abs(expected / expected.sum() - [0.1, 0.9]).max() < 1e-3 and (got.rate >= 0).all()
     low = got[got.doc_id.isin([i for i in range(600) if i % 4 == 0])]
     assert low.rate.mean() < 0.6 and got[~got.doc_id.isin(low.doc_id)].rate.mean() > 0.9
-    out = mixed(docs.withColumn("__extra", F.lit(1)), known, config)
-    assert out.columns == [*docs.columns, "__extra"]
+    out = mixed(docs.withColumn("copies", F.lit(1)).withColumn("p", F.lit(2)), known, config)
+    assert out.columns == [*docs.columns, "copies", "p"] and out.where("copies <> 1 or p <> 2").count() == 0
     assert out.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict() == {r.doc_id: r.copies for r in got.itertuples() if r.copies}
     assert rates(frame(spark, []), known, config).count() == 0
     assert rates(docs, known.limit(0), config).count() == len(rows + ODD)
@@ -411,6 +411,32 @@ def test_mixing(spark):
     assert starved.moves and abs(sum(starved.totals["expected"].values()) - 5000) < 500
 
 
+def test_mixing_posteriors_are_calibrated_on_rows_not_learnt(spark):
+    rng = random.Random(21)
+    own = {0: VOCABULARY[:20], 1: VOCABULARY[20:40], 2: VOCABULARY[10:30]}
+    rows, labels = [], []
+    for i in range(1500):
+        k = rng.choice([0, 0, 0, 1, 1, 2])
+        rows.append((i, " ".join(rng.choice(own[k] if rng.random() < 0.3 else VOCABULARY) for _ in range(25))))
+        labels.append((i, k))
+    docs = frame(spark, rows)
+    learnt = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int")
+    c = MixConfig(targets={0: 0.4, 1: 0.4, 2: 0.2})
+    got = rates(docs, learnt, c).toPandas().set_index("doc_id")
+    p = np.array(got.p.tolist())
+    held = np.array([i % 3 == 0 for i in got.index])
+    truth = np.array([dict(labels)[i] for i in got.index])
+    assert (p.argmax(1) == truth)[held].mean() > 0.75
+    for k in range(3):  # of those given a probability, so many are of the domain
+        for lo, hi in ((0.0, 0.3), (0.3, 0.7), (0.7, 1.01)):
+            some = held & (p[:, k] >= lo) & (p[:, k] < hi)
+            assert some.sum() < 30 or abs((truth[some] == k).mean() - p[some, k].mean()) < 0.2
+    expected = (got.rate.to_numpy()[:, None] * got.n_tokens.to_numpy()[:, None] * p).sum(0)
+    assert abs(expected / expected.sum() - [0.4, 0.4, 0.2]).max() < 0.01 and (got.rate >= 0).all()
+    beyond = rates(docs, learnt, MixConfig(targets={0: 0.2, 1: 0.3, 2: 0.5})).toPandas()  # no document is so surely of domain 2
+    assert (beyond.rate >= 0).all() and beyond.rate.max() < 1000
+
+
 def test_mixing_is_native(spark):
     for name in ("op7_mixing", "op8_quality_rules"):
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
