@@ -175,7 +175,8 @@ def without_repeated_blocks(docs: DataFrame, config: ChunkConfig | None = None)
     ranges = repeated_blocks(docs, config).groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "lines")).alias("ranges"))
     ranges = scratch.keep(ranges, "ranges").withColumnsRenamed({"doc_id": "d", "version": "v"})
     versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    both = versioned.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    # ranges grow with the input: the same plan at every size, never a broadcast
+    both = versioned.join(ranges.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     return both.select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed_lines long, n_removed_blocks long")
 
 
