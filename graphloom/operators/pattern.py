@@ -1,7 +1,9 @@
 """Read-only graph patterns compiled to joins.
 
 ``MATCH (p:Page)-[:Contains]->(c:Component)-[:Reads|Writes]->(m) WHERE m.name CONTAINS 'x' RETURN p.id, count(*) ORDER BY p.id LIMIT 5``
-A chain of nodes and edges becomes equi-joins over the node and edge tables; Catalyst orders and prunes them.
+A chain of nodes and edges becomes equi-joins over the node and edge tables; Catalyst orders and prunes them. A WHERE
+behind OPTIONAL MATCH belongs to the optional part: rows without a match stay, with nulls. ``UNWIND [1, 2] AS x`` and
+``FOR x IN [1, 2]`` give a row for each value, before a MATCH or alone; RETURN alone gives one row.
 """
 
 from __future__ import annotations
@@ -13,7 +15,13 @@ from pyspark.sql import functions as F
 
 _NODE = r"\(\s*(\w*)\s*(?::\s*(\w+))?\s*\)"
 _EDGE = r"(<?)-\[\s*(\w*)\s*(?::\s*([\w|]+))?\s*\]-(>?)"
-_SHAPE = re.compile(r"^\s*MATCH\s+(?P<match>.+?)(?:\s+OPTIONAL\s+MATCH\s+(?P<optional>.+?))?(?:\s+WHERE\s+(?P<where>.+?))?\s+RETURN\s+(?P<distinct>DISTINCT\s+)?(?P<items>.+?)(?:\s+ORDER\s+BY\s+(?P<order>.+?))?(?:\s+LIMIT\s+(?P<limit>\d+))?\s*$", re.I | re.S)
+_SHAPE = re.compile(
+    r"^\s*(?:UNWIND\s+\[(?P<list>.*?)\]\s+AS\s+(?P<var>\w+)\s+|FOR\s+(?P<forvar>\w+)\s+IN\s+\[(?P<forlist>.*?)\]\s+)?"
+    r"(?:MATCH\s+(?P<match>.+?)(?:\s+WHERE\s+(?P<first>.+?))?)?(?:\s+OPTIONAL\s+MATCH\s+(?P<optional>.+?)(?:\s+WHERE\s+(?P<where>.+?))?)?"
+    r"\s*\bRETURN\s+(?P<distinct>DISTINCT\s+)?(?P<items>.+?)(?:\s+ORDER\s+BY\s+(?P<order>.+?))?(?:\s+LIMIT\s+(?P<limit>\d+))?\s*$",
+    re.I | re.S,
+)
+_QUOTED = re.compile(r"'((?:[^'\\]|\\.)*)'", re.S)
 LONGEST = 16 * 1024
 
 
@@ -64,42 +72,72 @@ def _joined(nodes: DataFrame, edges: DataFrame, chain: list) -> DataFrame:
     return out
 
 
-def _value(text: str) -> Column:
+def _value(text: str, quoted: list[str]) -> Column:
+    """A column or a literal; quoted holds the texts of the query's quotes, which stand as numbers in it."""
     text = text.strip()
-    if re.fullmatch(r"\w+\.\w+", text):
-        return F.col(f"`{text}`")
-    if m := re.fullmatch(r"'((?:[^'\\]|\\.)*)'", text):
-        return F.lit(re.sub(r"\\(.)", r"\1", m[1]))
+    if m := re.fullmatch(r"'(\d+)'", text):
+        return F.lit(quoted[int(m[1])])
     if re.fullmatch(r"-?\d+", text):
         return F.lit(int(text))
+    if text.lower() in ("true", "false"):
+        return F.lit(text.lower() == "true")
+    if re.fullmatch(r"\w+(\.\w+)?", text):
+        return F.col(f"`{text}`")
     raise ValueError(f"not a value: {text!r}")
 
 
-def _condition(text: str) -> Column:
+def _condition(text: str, quoted: list[str]) -> Column:
     for word, join in ((r"\s+OR\s+", lambda a, b: a | b), (r"\s+AND\s+", lambda a, b: a & b)):
         parts = re.split(word, text, flags=re.I)
         if len(parts) > 1:
-            out = _condition(parts[0])
+            out = _condition(parts[0], quoted)
             for x in parts[1:]:
-                out = join(out, _condition(x))
+                out = join(out, _condition(x, quoted))
             return out
     if m := re.fullmatch(r"\s*NOT\s+(.+)", text, re.I | re.S):
-        return ~_condition(m[1])
+        return ~_condition(m[1], quoted)
     m = re.fullmatch(r"\s*(.+?)\s*(STARTS\s+WITH|ENDS\s+WITH|CONTAINS|<>|<=|>=|=|<|>)\s*(.+?)\s*", text, re.I | re.S)
     if not m:
         raise ValueError(f"can't read the condition: {text!r}")
-    a, b, op = _value(m[1]), _value(m[3]), re.sub(r"\s+", " ", m[2].upper())
+    a, b, op = _value(m[1], quoted), _value(m[3], quoted), re.sub(r"\s+", " ", m[2].upper())
     return {"STARTS WITH": a.startswith(b), "ENDS WITH": a.endswith(b), "CONTAINS": a.contains(b), "=": a == b, "<>": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
 
+def _unwound(nodes: DataFrame, text: str, var: str, quoted: list[str]) -> DataFrame:
+    """A row for each value of a list; a query of 16 KiB bounds their number."""
+    values = [_value(x, quoted) for x in text.split(",")] if text.strip() else []
+    spark = nodes.sparkSession
+    return spark.range(1).select(F.explode(F.array(*values)).alias(var)) if values else spark.createDataFrame([], f"{var} string")
+
+
 def run(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     """The query's rows; columns are named after what RETURN lists, dots as underscores."""
     check(query)
-    m = _SHAPE.match(query)
+    quoted: list[str] = []
+
+    def masked(m: re.Match) -> str:
+        quoted.append(re.sub(r"\\(.)", r"\1", m[1]))
+        return f"'{len(quoted) - 1}'"
+
+    m = _SHAPE.match(_QUOTED.sub(masked, query))
     if not m:
         raise ValueError("can't read the query")
-    chain = _chain(m["match"])
-    rows = _joined(nodes, edges, chain)
+    var = m["var"] or m["forvar"]
+    values = _unwound(nodes, m["list"] if m["var"] else m["forlist"], var, quoted) if var else None
+    first = _condition(m["first"], quoted) if m["first"] else None
+    if m["match"]:
+        chain = _chain(m["match"])
+        rows = _joined(nodes, edges, chain)
+        if values is not None:
+            if first is None:
+                raise ValueError("a MATCH behind UNWIND needs a WHERE that names the value")
+            rows = rows.join(F.broadcast(values), first)  # values of one query of 16 KiB
+        elif first is not None:
+            rows = rows.where(first)
+    else:
+        chain, rows = [], values if values is not None else nodes.sparkSession.range(1).select(F.lit(1).alias("_one"))
+        if m["optional"]:
+            raise ValueError("OPTIONAL MATCH needs a MATCH before it")
     if m["optional"]:
         more = _chain(m["optional"])
         known = {x[0] for x in chain[::2]}
@@ -108,9 +146,8 @@ def run(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
         extra = _joined(nodes, edges, more)
         keep = [c for c in extra.columns if not c.startswith(f"{more[0][0]}.")]
         extra = extra.select(F.col(f"`{more[0][0]}.id`").alias("__key"), *[F.col(f"`{c}`") for c in keep])
-        rows = rows.join(extra, F.col(f"`{more[0][0]}.id`") == F.col("__key"), "left").drop("__key")
-    if m["where"]:
-        rows = rows.where(_condition(m["where"]))
+        on = F.col(f"`{more[0][0]}.id`") == F.col("__key")
+        rows = rows.join(extra, on & _condition(m["where"], quoted) if m["where"] else on, "left").drop("__key")
     plain, sums, order = [], [], []
     for item in re.split(r"\s*,\s*(?![^(]*\))", m["items"]):
         body, name = (*re.split(r"\s+AS\s+", item, flags=re.I), "")[:2]
@@ -119,8 +156,11 @@ def run(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
             column = F.count("*") if of == "*" else F.count_distinct(F.col(f"`{of}`")) if c[1] else F.count(F.col(f"`{of}`"))
             sums.append(column.alias(name.strip() or "count"))
             order.append(name.strip() or "count")
+        elif re.fullmatch(r"'\d+'|-?\d+", body.strip()):
+            order.append(name.strip() or f"column{len(order) + 1}")
+            plain.append(_value(body, quoted).alias(order[-1]))
         else:
-            of = body.strip() if "." in body else f"{body.strip()}.id"
+            of = body.strip() if "." in body or body.strip() == var else f"{body.strip()}.id"
             order.append(name.strip() or of.replace(".", "_"))
             plain.append(F.col(f"`{of}`").alias(order[-1]))
     rows = rows.groupBy(*plain).agg(*sums) if sums else rows.select(*plain)
@@ -134,3 +174,11 @@ def run(nodes: DataFrame, edges: DataFrame, query: str) -> DataFrame:
             keys.append(F.desc(name.replace(".", "_")) if way and way[0].upper() == "DESC" else F.asc(name.replace(".", "_")))
         rows = rows.orderBy(*keys)
     return rows.limit(int(m["limit"])) if m["limit"] else rows
+
+
+def answer(nodes: DataFrame, edges: DataFrame, query: str, most: int = 1000) -> dict:
+    """columns, the first rows, total_rows and whether rows were cut; only as many rows as asked for reach the driver."""
+    found = run(nodes, edges, query)
+    rows = [list(r) for r in found.limit(most + 1).collect()]
+    total = len(rows) if len(rows) <= most else found.count()
+    return {"columns": found.columns, "rows": rows[:most], "total_rows": total, "truncated": total > most}

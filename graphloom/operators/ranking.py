@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import INTENT_WEIGHTS
-from .traversal import settled
+from .traversal import dropped, settled
 
 
 def arcs(edges: DataFrame, intent: str) -> DataFrame:
@@ -31,20 +31,24 @@ def page_rank(edges: DataFrame, seeds: DataFrame, intent: str = "context", resta
     if not total:
         raise ValueError("no seed has a positive score")
     base = settled(seeds.where("score > 0").groupBy("node").agg((F.sum("score") / F.lit(total)).alias("seed")))
-    has_arcs = links.select(F.col("src").alias("node")).distinct()
-    rank = base.select("node", F.col("seed").alias("score"))
+    # a node without arcs of its own flows back to the seeds: the mass that a round's flows do not hold
+    rank = settled(base.select("node", F.col("seed").alias("score")))
     for _ in range(iterations):
-        moved = rank.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("flow"))
-        lost = rank.join(has_arcs, "node", "left_anti").agg(F.sum("score").alias("lost")).first()["lost"] or 0.0
+        moved = settled(rank.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("flow")))
+        sum_of = lambda df, c: df.agg(F.sum(c)).first()[0] or 0.0
+        lost = max(0.0, sum_of(rank, "score") - sum_of(moved, "flow"))
         after = moved.join(base, "node", "full_outer")
         follow = 1 - restart
         after = settled(after.select("node", (F.coalesce("flow", F.lit(0.0)) * follow + F.coalesce("seed", F.lit(0.0)) * F.lit(restart + lost * follow)).alias("score")))
         if tolerance > 0:
             gap = after.join(rank.withColumnRenamed("score", "old"), "node", "full_outer").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("gap")).first()["gap"]
             if gap is not None and gap <= tolerance:
+                dropped(moved, rank)
                 rank = after
                 break
+        dropped(moved, rank)
         rank = after
+    dropped(links, base)
     return rank.where(F.col("score") > 2.220446049250313e-16)
 
 

@@ -100,6 +100,22 @@ def test_output(spark):
     assert output.mermaid(n, e).splitlines() == ["graph LR", '  n0["a"]', '  n1["b"]', "  n0 -->|Reads| n1"]
 
 
+def test_optional_where_quotes_and_lists(spark):
+    n = spark.createDataFrame([("page:a", "Page", "A"), ("page:b", "Page", "B AND C"), ("comp:x", "Component", "it's"), ("comp:y", "Component", "or")], "id string, node_type string, name string")
+    e = spark.createDataFrame([("page:a", "comp:x", "Contains"), ("page:a", "comp:y", "Contains")], "src string, dst string, edge_type string")
+    run = lambda q: [tuple(r) for r in pattern.run(n, e, q).collect()]
+    assert run("MATCH (p:Page) OPTIONAL MATCH (p)-[:Contains]->(c) WHERE c.name = 'or' RETURN p.id, c.id ORDER BY p.id") == [("page:a", "comp:y"), ("page:b", None)]
+    assert run("MATCH (p:Page) WHERE p.name = 'B AND C' OR p.name = 'x OR y' RETURN p.id") == [("page:b",)]
+    assert run("MATCH (c:Component) WHERE c.name = 'it\\'s' RETURN c.id") == [("comp:x",)]
+    assert run("MATCH (p:Page) WHERE p.id = 'page:b' OPTIONAL MATCH (p)-[:Contains]->(c) RETURN p.id, count(c) AS n") == [("page:b", 0)]
+    assert run("UNWIND ['a', 'b'] AS x RETURN x ORDER BY x DESC") == [("b",), ("a",)] and run("FOR x IN [3, 4] RETURN x") == [(3,), (4,)]
+    assert run("RETURN 1 AS one, 'q' AS two") == [(1, "q")]
+    assert run("UNWIND ['page:a', 'page:z'] AS x MATCH (p:Page) WHERE p.id = x RETURN p.name, x") == [("A", "page:a")]
+    cut = pattern.answer(n, e, "MATCH (n) RETURN n.id ORDER BY n.id", most=3)
+    assert cut["total_rows"] == 4 and cut["truncated"] and cut["columns"] == ["n_id"] and cut["rows"][0] == ["comp:x"]
+    assert not pattern.answer(n, e, "MATCH (n:Page) RETURN n.id", most=2)["truncated"]
+
+
 def test_action_words(spark):
     lit = F.lit
     none = lit(None).cast("string")
