@@ -114,7 +114,7 @@ def wait_previous(t):
     return t.orders.select("o_orderkey", act.wait_previous(raw).alias("w")).select("o_orderkey", "w.*")
 
 
-_TYPES = [*act.SENTENCES, "ownAction"]
+_SAID = [*act.SENTENCES, "ownAction"]
 
 
 def _sentence_sql() -> str:
@@ -124,9 +124,9 @@ def _sentence_sql() -> str:
 
 
 # the reference rule: one sentence for each action type, with its targets or saying that none is known
-@query("e11_action_sentences", f"SELECT o_orderkey, {_sentence_sql()} AS sentence FROM (SELECT o_orderkey, list_value({', '.join(repr(x) for x in _TYPES)})[o_orderkey % {len(_TYPES)} + 1] AS kind, concat('button', o_custkey) AS comp, list_value(concat('m', o_custkey), 'n')[1:CAST(o_custkey % 3 AS INTEGER)] AS targets FROM orders)")
+@query("e11_action_sentences", f"SELECT o_orderkey, {_sentence_sql()} AS sentence FROM (SELECT o_orderkey, list_value({', '.join(repr(x) for x in _SAID)})[o_orderkey % {len(_SAID)} + 1] AS kind, concat('button', o_custkey) AS comp, list_value(concat('m', o_custkey), 'n')[1:CAST(o_custkey % 3 AS INTEGER)] AS targets FROM orders)")
 def action_sentences(t):
-    kind = F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("o_orderkey") % len(_TYPES)).cast("int"))
+    kind = F.get(F.array(*[F.lit(x) for x in _SAID]), (F.col("o_orderkey") % len(_SAID)).cast("int"))
     targets = F.slice(F.array(F.concat(F.lit("m"), "o_custkey"), F.lit("n")), F.lit(1), (F.col("o_custkey") % 3).cast("int"))
     return t.orders.select("o_orderkey", act.sentence(kind, F.concat(F.lit("button"), "o_custkey"), targets).alias("sentence"))
 
