@@ -592,6 +592,21 @@ def test_pipeline(spark):
     assert out.count() == docs.count()
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as p
+
+    names = ["score", "item_ids", "distances", "copies", "k", "p", "bins", "n_tokens", "version", "kept", "rest", "__id", "__m", "features"]
+    docs = table(spark, SF, "documents").where("doc_id < 60")
+    odd = frame(spark, [(100000 + i if i is not None else None, t) for i, t in [*ODD, (None, "a b"), (7, "x " * 30000)]]).select(*docs.columns)
+    wide = docs.unionByName(odd).select("*", *[F.concat(F.lit(x), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(x) for x in names])
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, wide, SF)
+        assert after.dtypes == wide.dtypes, name
+        rows = after.collect()
+        assert rows and all(r[x] == f"{x}{-1 if r.doc_id is None else r.doc_id}" for r in rows for x in names), name
+        assert stage(spark, wide.limit(0), SF).count() == 0, name
+
+
 def test_character_model_rows_sum_to_one(spark):
     costs = character_model(table(spark, SF, "documents"))
     assert abs(np.exp(-costs).sum(2) - 1).max() < 1e-9
