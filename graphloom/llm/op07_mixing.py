@@ -29,7 +29,7 @@ class MixConfig:
     buckets: int = 4096  #: hashed words
     max_labelled: int = 8000  #: labelled rows that words are learnt from, by hash of doc_id
     smoothing: float = 20.0  #: words that a bucket's share over all domains counts for
-    rounds: int = 60
+    rounds: int = 10
     tolerance: float = 1e-6  #: largest miss of a target, against all tokens
     seed: int = 7
 
