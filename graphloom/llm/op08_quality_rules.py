@@ -87,7 +87,7 @@ def _judged(docs: DataFrame, config: LineConfig | None, host: str) -> tuple[Data
     failed = (n < c.min_words) | (100 * repeat > c.max_repeat_percent * n)
     verdicts = base.join(gone, "row", "left").select(
         "doc_id", n.alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"), lost.alias("n_removed_words"), (~failed & (100 * (n - lost) >= c.min_left_percent * n)).alias("kept"),
+        failed.alias("base_failed"), (~failed & (100 * (n - lost) >= c.min_left_percent * n)).alias("kept"), lost.alias("n_removed_words"),
         "version", "place", "gone_at",
     )
     return verdicts, often
@@ -96,7 +96,7 @@ def _judged(docs: DataFrame, config: LineConfig | None, host: str) -> tuple[Data
 def quality_lines(docs: DataFrame, config: LineConfig | None = None, host: str = "source") -> tuple[DataFrame, DataFrame]:
     """Verdicts and the boilerplate lines behind them; docs has doc_id, text and a host column.
 
-    Verdicts: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
+    Verdicts: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
     Lines: (host's hash, normalised line's hash, documents).
     A null text has no words and fails; a null host is a host of its own; rows that repeat a doc_id are judged each but
     count once for a line, as do all rows without a doc_id; a very long text is one row's arrays in memory; an empty
@@ -107,14 +107,21 @@ def quality_lines(docs: DataFrame, config: LineConfig | None = None, host: str =
 
 
 def cleaned_lines(docs: DataFrame, config: LineConfig | None = None, host: str = "source") -> DataFrame:
-    """quality_lines' verdicts and the row's text without its boilerplate lines, whose words n_removed_words counts; a null text stays null."""
+    """quality_lines' verdicts and the row's text without its boilerplate lines, whose words n_removed_words counts.
+
+    A null text stays null, and one whose lines all go becomes empty; rows that repeat a doc_id are cleaned each; a very
+    long text is one row's arrays in memory, with work in proportion to its lines; an empty table gives no rows; other
+    columns are ignored, whatever their names.
+    """
     verdicts, _ = _judged(docs, config, host)
     # rows that agree in doc_id, text and host have one verdict
     verdicts = verdicts.dropDuplicates(["doc_id", "version", "place"]).withColumnsRenamed({"doc_id": "d", "version": "v", "place": "p"})
     place = F.coalesce(F.col(host).cast("string"), F.lit("\0"))
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), place.alias("place"))
     both = rows.join(verdicts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")) & (F.col("place") == F.col("p")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone_at", i)), "\n")
+    # the numbers of the lines that stay are one set difference, so the work grows with a text's lines and not their square
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_at"))
+    left = let(F.split("text", "\n"), lambda lines: F.array_join(let(stay(lines), lambda at: F.transform(at, lambda i: F.get(lines, i))), "\n"))
     return both.withColumn("text", F.when(F.col("gone_at").isNull(), F.col("text")).otherwise(left)).drop("version", "place", "d", "v", "p", "gone_at")
 
 
@@ -128,14 +135,16 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source, regexp_extract_all
 win AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 dup AS (SELECT doc_id, unnest(ii) AS i FROM (SELECT doc_id, g, list(i) AS ii FROM win GROUP BY doc_id, g HAVING count(*) > 1)),
 rep AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM dup) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM d)),
+ln AS (SELECT doc_id, source, i, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, source, i, l[i] AS x FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM d)))),
 lw AS (SELECT *, translate(array_to_string(w, ' '), '{_UPPER}', '{_LOWER}') AS norm FROM ln WHERE len(w) > 0),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lw GROUP BY doc_id),
 often AS (SELECT source, norm FROM lw JOIN (SELECT source, count(DISTINCT doc_id) AS n_of FROM documents GROUP BY source) USING (source) GROUP BY source, norm, n_of HAVING count(DISTINCT doc_id) > {LineConfig.max_docs} AND 1000 * count(DISTINCT doc_id) > {LineConfig.max_per_mille} * n_of),
-gone AS (SELECT doc_id, sum(len(w)) AS n FROM lw JOIN often USING (source, norm) GROUP BY doc_id),
+hit AS (SELECT doc_id, i, len(w) AS n FROM lw JOIN often USING (source, norm)),
+gone AS (SELECT doc_id, sum(n) AS n FROM hit GROUP BY doc_id),
+clean AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS left_text FROM ln WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = ln.doc_id AND hit.i = ln.i) GROUP BY doc_id),
 b AS (SELECT d.doc_id, len(d.w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
-  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
-  FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words, sha256(coalesce(left_text, '')) AS kept_sha256
+  FROM d LEFT JOIN dl USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN clean USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
-SELECT *, NOT base_failed AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept, n_removed_words, kept_sha256 FROM f
 """
