@@ -3,7 +3,8 @@
 1. Half of the labelled rows (a bounded sample of them) gives each hashed word its log odds by domain.
 2. Every text is measured once: the mean log odds of its words, and shares of kinds of characters and lines, as bins.
 3. The other half's bins make a naive Bayes classifier, so words that were learnt by heart do not count as evidence.
-4. Projected gradient steps fit nonnegative document rates whose expected domain totals match the targets.
+4. A projected gradient step fits nonnegative document rates whose expected domain totals match the targets, or come as
+   near to them as any rates can.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ class MixConfig:
     buckets: int = 4096  #: hashed words
     max_labelled: int = 8000  #: labelled rows that words are learnt from, by hash of doc_id
     smoothing: float = 20.0  #: words that a bucket's share over all domains counts for
-    rounds: int = 10
-    tolerance: float = 1e-6  #: largest miss of a target, against all tokens
+    tolerance: float = 1e-6  #: how much farther from the targets than the best rates, as a part of the target total
     seed: int = 7
 
 
@@ -108,9 +108,9 @@ class Mix:
         return [1 / sum((F.exp(F.greatest(F.least(other - own, F.lit(700.0)), F.lit(-700.0))) for other in scores), F.lit(0.0)) for own in scores]
 
     def rate(self, p: list[Column], more: np.ndarray | None = None) -> Column:
-        """The rate after all moves, and one more if given: each is a step along the gradient, cut at zero."""
+        """The rate after the move found, or the one given: a step along the gradient, cut at zero."""
         r = F.lit(1.0)
-        for move in [*self.moves, *([] if more is None else [more])]:
+        for move in self.moves if more is None else [more]:
             r = F.greatest(F.lit(0.0), r - sum((p[k] * float(move[k]) for k in range(len(p))), F.lit(0.0)))
         return r
 
@@ -137,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) ->
     """The mixture for docs (doc_id, text) and its table: all columns of docs, n_tokens, bins and p, the array of posteriors.
 
     labels has doc_id and the domain column; rows with nulls or values without a target are not learnt from. Without
-    labelled rows posteriors are the targets themselves. Null texts have no tokens. A target without any expected
-    token can't be met; the other ones are fitted as near as least squares allow. A text is measured once; a very long
+    labelled rows posteriors are the targets themselves. Null texts have no tokens. Targets that no rates meet are
+    fitted as near as least squares allow, which the mixture's totals show. A text is measured once; a very long
     one is one row's array of words in memory. docs' other columns must not be called n_tokens, bins or p.
     """
     c = config or MixConfig()
@@ -167,47 +167,68 @@ def fit(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) ->
 
 
 def _solve(mix: Mix, rows: DataFrame, share: np.ndarray) -> None:
-    """Projected gradient steps, each one aggregation over all documents of a sum for each domain (and pair of domains).
-
-    Scaled by the inverse second moments of the documents that are still above zero, a step reaches the least-squares
-    solution at once unless it cuts rates at zero; so shorter steps and plain gradient steps are tried beside it, all in
-    one aggregation, and the one that comes nearest to the targets is taken, as long as any comes nearer than before.
+    """The least-squares rates of rows (n_tokens, p), as one projected gradient step from equal rates.
+
+    Rates r minimise |e - t|^2 / 2 + d / 2 * sum(n * (r - 1)^2) for expected totals e, targets t and n tokens, all as
+    parts of all tokens. Their optimum is its own projected gradient step of length 1 / d, r = max(0, 1 - p . m) with
+    m = (e - t) / d: the gradient is that of the place where the step ends, so the step may be as long as it likes. The
+    few numbers m are found by Newton's method; an iteration is one aggregation over all documents, which tries several
+    step lengths at once. d shrinks until e is proved to be as near to t as any nonnegative rates can bring it: for any y
+    with p . y >= 0 in every row, no rates come nearer than sqrt(-|y|^2 - 2 t . y), and y is e - t, lifted until that holds.
     """
     c, k = mix.config, len(share)
     p = [F.get("p", F.lit(i)) for i in range(k)]
     n = F.col("n_tokens").cast("double")
-
-    def expected_at(moves: list[np.ndarray | None]) -> np.ndarray:
-        """Expected totals after each of the moves."""
-        cells = [F.sum(mix.rate(p, m) * n * p[i]).alias(f"e{j}_{i}") for j, m in enumerate(moves) for i in range(k)]
-        row = rows.agg(*cells).first()
-        return np.array([[row[f"e{j}_{i}"] or 0.0 for i in range(k)] for j in range(len(moves))])
-
-    def moment() -> np.ndarray:
-        on = F.when(mix.rate(p) > 0, n).otherwise(0.0)
-        row = rows.agg(*[F.sum(on * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-
-    expected = expected_at([None])[0]
-    if expected.sum() <= 0:
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    first = rows.agg(*[F.sum(n * x).alias(f"e{i}") for i, x in enumerate(p)]).first()
+    equal = np.array([first[f"e{i}"] or 0.0 for i in range(k)])
+    if equal.sum() <= 0:
         return
-    total = c.tokens if c.tokens is not None else float(np.min(np.where(share > 0, np.where(expected > 0, expected, np.inf) / np.maximum(share, 1e-12), np.inf)))
-    total = total if math.isfinite(total) else float(expected.sum())
-    target = share * total
-    largest = max(float(np.linalg.eigvalsh(moment())[-1]), 1e-12)  # a gradient step of one over it never overshoots
-    for _ in range(c.rounds):
-        if np.abs(expected - target).max() <= c.tolerance * total:
-            break
-        g = moment()
-        step = np.linalg.pinv(g, rcond=1e-6) @ (expected - target)  # nothing along what the remaining documents do not tell apart
-        moves = [step / 2**j for j in range(6)] + [(expected - target) / largest * 4**j for j in range(6)]
-        tried = expected_at(moves)
-        best = int(np.square(tried - target).sum(1).argmin())
-        if np.square(tried[best] - target).sum() >= np.square(expected - target).sum() * (1 - 1e-4):
+    total = c.tokens if c.tokens is not None else float(np.min(np.where(share > 0, np.where(equal > 0, equal, np.inf) / np.maximum(share, 1e-12), np.inf)))
+    total = total if math.isfinite(total) else float(equal.sum())
+    every = float(equal.sum())
+    target, near = share * total / every, c.tolerance * total / every
+    n = n / every
+
+    def tried(moves: list[np.ndarray], d: float) -> tuple:
+        """Of the moves the one with the least dual value: it, its value, gradient, second derivatives and expected totals."""
+        cells = []
+        for x, m in enumerate(moves):
+            r = mix.rate(p, m)
+            cells += [F.sum(n * r * r).alias(f"v{x}"), *[F.sum(n * r * p[i]).alias(f"e{x}_{i}") for i in range(k)]]
+            cells += [F.sum(F.when(r > 0, n * p[i] * p[j]).otherwise(0.0)).alias(f"g{x}_{i}_{j}") for i, j in pairs]
+        row, out = rows.agg(*cells).first(), []
+        for x, m in enumerate(moves):
+            e = np.array([row[f"e{x}_{i}"] for i in range(k)])
+            moment = np.array([[row[f"g{x}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+            out.append((row[f"v{x}"] / 2 + target @ m + d / 2 * (m @ m), m, target - e + d * m, moment + d * np.eye(k), e))
+        return min(out, key=lambda o: o[0])
+
+    def proved(e: np.ndarray) -> bool:
+        """Whether no rates come nearer to the targets by more than the tolerance."""
+        miss = e - target
+        if np.linalg.norm(miss) <= near:
+            return True
+        least = rows.agg(F.min(sum((p[i] * float(miss[i]) for i in range(k)), F.lit(0.0))).alias("x")).first()["x"]
+        y = miss + max(0.0, -least)
+        return np.linalg.norm(miss) - math.sqrt(max(0.0, -(y @ y) - 2 * (target @ y))) <= near
+
+    d, shrink, starts = 1e-2, 1e-2, [np.zeros(k)]
+    while True:
+        value, m, gradient, second, e = tried(starts, d)
+        while np.abs(gradient).max() > near / 1000:
+            step = np.linalg.solve(second, gradient)
+            better = tried([m - step / 2**j for j in range(12)], d)
+            if not better[0] < value:
+                break  # as near as double precision comes
+            value, m, gradient, second, e = better
+        if proved(e):
             break
-        mix.moves.append(moves[best])
-        expected = tried[best]
-    mix.totals = {"target": dict(zip(mix.domains, target.tolist(), strict=True)), "expected": dict(zip(mix.domains, expected.tolist(), strict=True))}
+        if d < 1e-15:
+            raise RuntimeError(f"rates did not converge: expected shares {e.tolist()} for targets {target.tolist()}")
+        starts, d = [m, m / shrink], d * shrink
+    mix.moves = [m] if m.any() else []
+    mix.totals = {"target": dict(zip(mix.domains, (target * every).tolist(), strict=True)), "expected": dict(zip(mix.domains, (e * every).tolist(), strict=True))}
 
 
 def mixed(docs: DataFrame, labels: DataFrame, config: MixConfig | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import duckdb
@@ -433,6 +434,40 @@ def test_mixing_posteriors_are_calibrated_on_rows_not_learnt(spark):
             assert some.sum() < 30 or abs((truth[some] == k).mean() - p[some, k].mean()) < 0.2
     expected = (got.rate.to_numpy()[:, None] * got.n_tokens.to_numpy()[:, None] * p).sum(0)
     assert abs(expected / expected.sum() - [0.4, 0.4, 0.2]).max() < 0.01 and (got.rate >= 0).all()
+    beyond = rates(docs, learnt, MixConfig(targets={0: 0.2, 1: 0.3, 2: 0.5})).toPandas()  # no document is so surely of domain 2
+    assert (beyond.rate >= 0).all() and beyond.rate.max() < 1000
+
+
+def plain_least_squares(a, b):
+    """Nonnegative x with the least |a x - b|, by active sets."""
+    n = a.shape[1]
+    on, x, w = np.zeros(n, bool), np.zeros(n), a.T @ b
+    while (~on).any() and w[~on].max() > 1e-13 * np.abs(b).max():
+        on[np.argmax(np.where(on, -np.inf, w))] = True
+        while True:
+            s = np.zeros(n)
+            s[on] = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            if s[on].min() > 0:
+                break
+            cut = on & (s <= 0)
+            x = x + (x[cut] / np.maximum(x[cut] - s[cut], 1e-300)).min() * (s - x)
+            on &= x > 1e-12
+        x, w = s, a.T @ (b - a @ s)
+    return x
+
+
+@pytest.mark.parametrize("targets", [{0: 0.05, 1: 0.95}, {0: 0.5, 1: 0.5}, {0: 0.999, 1: 0.001}, {0: 1.0, 1: 0.0}, {0: 0.0, 1: 1.0}])
+@pytest.mark.parametrize("tokens", [None, 5e5])
+def test_mixing_rates_are_the_least_squares_ones(spark, targets, tokens):
+    docs, labels = table(spark, SF, "documents").select("doc_id", "text"), table(spark, SF, "labels")
+    mix, base = fit(docs, labels, MixConfig(targets=targets, tokens=tokens))
+    got = base.select("n_tokens", "p", mix.rate([F.get("p", F.lit(i)) for i in range(2)]).alias("rate")).toPandas()
+    a = (got.n_tokens.to_numpy()[:, None] * np.array(got.p.tolist())).T
+    target, found = np.array(list(mix.totals["target"].values())), a @ got.rate.to_numpy()
+    assert (got.rate >= 0).all() and abs(found - list(mix.totals["expected"].values())).max() < 1e-6 * a.sum()
+    assert np.allclose(target, np.array(list(targets.values())) * target.sum())
+    best = np.linalg.norm(a @ plain_least_squares(a / a.sum(), target) / a.sum() - target)
+    assert abs(np.linalg.norm(found - target) - best) < 2e-6 * target.sum()
 
 
 def test_mixing_is_native(spark):
@@ -475,6 +510,18 @@ def test_cleaned_lines_equal_brute_force(spark):
     assert cleaned_lines(docs.limit(0)).count() == 0
 
 
+def test_cleaning_of_a_text_of_very_many_lines(spark):
+    rng = random.Random(3)
+    often = [f"often {i}" for i in range(5)]
+    long = [rng.choice(often) if rng.random() < 0.2 else f"line {i}" for i in range(200_000)]
+    rows = [(1, "\n".join(long))] + [(10 + i, "\n".join([*often, passage(rng, 30)])) for i in range(12)]
+    began = time.time()
+    got = {r.doc_id: r for r in cleaned_lines(frame(spark, rows).withColumn("source", F.lit("a")), LineConfig(max_docs=10)).collect()}
+    assert got[1].text == "\n".join(x for x in long if x not in often) and got[1].n_removed_words == 2 * sum(x in often for x in long)
+    assert got[11].text == rows[2][1].split("\n")[-1]
+    assert time.time() - began < 60  # a step of a square of the lines takes an hour
+
+
 def test_quality_query_returns_cleaned_texts(spark):
     import hashlib
 
@@ -558,12 +605,13 @@ def test_url_rules(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected = con.sql(registry.oracle_sql()[name]).df()
-    got = registry.queries()[name](spark, SF).toPandas()[list(expected.columns)]
-    key = expected.columns[0]
-    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), expected.sort_values(key).reset_index(drop=True), check_dtype=False)
+    got = registry.queries()[name](spark, SF).toPandas()
+    assert list(got.columns) == list(expected.columns) and len(expected) > 0
+    by = list(expected.columns)
+    pd.testing.assert_frame_equal(got.sort_values(by).reset_index(drop=True), expected.sort_values(by).reset_index(drop=True), check_dtype=False)
 
 
 def test_pipeline(spark):
