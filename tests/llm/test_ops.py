@@ -21,7 +21,7 @@ from graphloom.llm.op05_suffix_dedup import SuffixConfig, without_repeats
 from graphloom.llm.op06_token_orc import TokenConfig, Words, read_tokens, token_digest, write_tokens
 from graphloom.llm.op07_mixing import MixConfig, fit, mixed, rates
 from graphloom.llm.op08_quality_rules import LineConfig, cleaned_lines, quality_lines
-from graphloom.llm.op09_line_chunks import ChunkConfig, chunk_ends, parting_hash, repeated_blocks, without_repeated_blocks
+from graphloom.llm.op09_line_chunks import ChunkConfig, _with_ranges, chunk_ends, collisions, line_hash, repeated_blocks, without_repeated_blocks
 from graphloom.llm.op10_url_rules import split_url, url_rules
 from graphloom.llm.suffixes import Run, front_code, merge
 
@@ -567,13 +567,20 @@ def test_line_blocks_equal_brute_force(spark):
     assert without_repeated_blocks(frame(spark, [])).count() == 0
 
 
-def test_line_hashes_that_collide_are_not_used(spark, monkeypatch):
-    from graphloom.llm import op09_line_chunks as op
+def test_line_hashes_that_collide_are_not_used(spark):
+    rows = [(1, "alpha one\nbeta\ngamma"), (2, "alpha two\nbeta\ngamma"), (3, "x\nalpha one\nbeta"), (4, "y\nalpha two\nbeta"), (5, "z\nalpha six\nbeta"), (6, "alpha ten\nbeta")]
 
-    docs = frame(spark, [(1, "a\nb"), (2, "c\nb")])
-    assert parting_hash(docs) == 0
-    monkeypatch.setattr(op, "_lines", lambda k, real=op._lines: (lambda batches: (b.set_column(0, "hash", pa.array([0] * b.num_rows, pa.int64())) if k == 0 else b for b in real(k)(batches))))
-    assert parting_hash(docs) == 1
+    def weak(line, parted):
+        """All lines that begin with alpha share a hash at first, all but one of them in the second round."""
+        if line.startswith(b"alpha") and len(parted) < 2:
+            return 8 if len(parted) == 1 and line == b"alpha ten" else 7
+        return line_hash(line, ())
+
+    c, docs = ChunkConfig(hash=weak), frame(spark, rows)
+    assert collisions(_with_ranges(docs, (), Scratch(spark, "t"), c), (), c) == frozenset({7})
+    assert {r.doc_id: r.text for r in without_repeated_blocks(docs, c).collect()} == brute.line_blocks(rows)
+    met = (frozenset({line_hash(b"a", ())}),)
+    assert line_hash(b"a", ()) != line_hash(b"a", met) and line_hash(b"b", ()) == line_hash(b"b", met)
 
 
 def test_line_chunk_query_equals_brute_force(spark):
