@@ -87,16 +87,6 @@ def fits_intent(kinds: Column, intent: str) -> Column:
     return F.forall(kinds, lambda k: k.isin(*INTENT_EDGES[intent]))
 
 
-def guaranteed(paths: DataFrame, guarantees: dict[str, Column], order: list) -> DataFrame:
-    """Of each start the first path that meets each guarantee, each path once with all that it was taken for."""
-    rows = None
-    for name, holds in guarantees.items():
-        first = paths.where(holds).withColumn("k", F.row_number().over(W.partitionBy("start").orderBy(*order))).where("k = 1").drop("k").withColumn("guarantee", F.lit(name))
-        rows = first if rows is None else rows.unionByName(first)
-    keys = [c for c in paths.columns]
-    return rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("guarantee")), ",").alias("guarantees"))
-
-
 def navigation(edges: DataFrame) -> DataFrame:
     """(page, jumps, embeds, params, absent): counts of the ways out of a page; only true zeros are listed as absent."""
     tree = page_subtree(edges)

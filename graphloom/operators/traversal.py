@@ -234,40 +234,3 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int, per_start: int
         paths = settled(grown)
         out = paths if out is None else out.unionByName(paths)
     return out.withColumn("length", F.size("kinds"))
-
-
-def path_features(paths: DataFrame) -> DataFrame:
-    """paths with what their edges say: writes, reads, aliases, conditions, structure alone."""
-    has = lambda *kinds: F.exists("kinds", lambda k: k.isin(*kinds))
-    return paths.withColumns({
-        "has_write": has("Writes", "ActionWrites"),
-        "has_read": has("Reads", "ActionReads"),
-        "has_field_write": has("FieldWrite"),
-        "has_alias": has("FieldAlias"),
-        "has_condition": F.exists("nodes", lambda n: n.startswith("cond:")),
-        "only_structure": F.forall("kinds", lambda k: k.isin("Contains", "Triggers")),
-        "n_pages": F.size(F.array_distinct(F.filter(F.transform("nodes", lambda n: F.regexp_extract(n, "(app/[^|]*)", 1)), lambda p: p != ""))),
-    })
-
-
-def path_class() -> Column:
-    """Primary, candidate, supporting, related or rejected, by the first rule that holds."""
-    data = F.col("has_read") | F.col("has_write") | F.col("has_field_write")
-    return (
-        F.when(F.col("only_structure") | (F.col("length") > 6), "rejected")
-        .when((F.col("n_pages") > 1) & ~F.col("has_write") & ~F.col("has_field_write"), "related")
-        .when(F.col("has_field_write") & F.col("has_alias"), "primary")
-        .when(data & (F.col("n_pages") == 1), "primary")
-        .when(F.col("has_condition") & (F.col("n_pages") == 1), "supporting")
-        .when(data, "candidate")
-        .otherwise("related")
-    )
-
-
-def ranked_paths(paths: DataFrame, per_start: int = 3, most: int = 100) -> DataFrame:
-    """Classified paths in order of their score, then length, then nodes; at most so many of each start and in all."""
-    score = 4 * F.col("has_field_write").cast("int") + 3 * F.col("has_write").cast("int") + 2 * F.col("has_read").cast("int") + F.col("has_alias").cast("int") - F.col("length")
-    rows = path_features(paths).withColumn("class", path_class()).withColumn("score", score).where("class = 'primary'")
-    key = [F.desc("score"), F.asc("length"), F.asc("nodes"), F.asc("kinds")]
-    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("start").orderBy(*key))).where(F.col("k") <= per_start)
-    return rows.orderBy(*key).limit(most)

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import explain, feed, graph, language, traversals  # noqa: F401
+    from . import explain, feed, graph, language, paths, traversals  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

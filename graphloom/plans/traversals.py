@@ -140,21 +140,6 @@ def field_trace(t):
     return dataflow.field_trace(fields, start)
 
 
-_WALK = """walk AS (SELECT id AS start, [id] AS nodes, CAST([] AS VARCHAR[]) AS kinds FROM nodes WHERE node_type = 'Component' AND name LIKE 'Supplier%' OR (node_type = 'Model' AND id LIKE 'model:part1%')
- UNION ALL SELECT start, list_append(nodes, dst), list_append(kinds, edge_type) FROM walk JOIN (SELECT DISTINCT src, dst, edge_type FROM edges) e ON e.src = nodes[-1] WHERE len(kinds) < 3 AND NOT list_contains(nodes, dst) AND edge_type IN ('Contains', 'Triggers', 'DataflowInput', 'FieldAlias', 'OutputsTo'))"""
-
-
-def _starts(t):
-    return p.nodes(t).where("node_type = 'Component' AND name LIKE 'Supplier%' OR (node_type = 'Model' AND id LIKE 'model:part1%')").select(F.col("id").alias("start"))
-
-
-@query("g18_causal_paths", p.sql("SELECT start, len(kinds) AS length, count(*) AS n, min(array_to_string(nodes, '>')) AS first_path, max(array_to_string(kinds, '>')) AS last_kinds FROM walk WHERE len(kinds) > 0 GROUP BY 1, 2", _WALK).replace("len(kinds) AS length", "CAST(len(kinds) AS INTEGER) AS length"))
-def causal_paths(t):
-    e = p.edges(t).where("edge_type IN ('Contains', 'Triggers', 'DataflowInput', 'FieldAlias', 'OutputsTo')")
-    paths = tr.simple_paths(e, _starts(t), 3)
-    return paths.groupBy("start", "length").agg(F.count("*").alias("n"), F.min(F.array_join("nodes", ">")).alias("first_path"), F.max(F.array_join("kinds", ">")).alias("last_kinds"))
-
-
 def _component_paths(t):
     e = p.edges(t).where("edge_type IN ('Triggers', 'ActionWrites', 'FieldWrite', 'FieldAlias', 'Reads', 'DataflowInput')")
     starts = p.nodes(t).where("node_type = 'Component'").select(F.col("id").alias("start"))
@@ -168,17 +153,6 @@ facts AS (SELECT *, len(kinds) AS length, list_has_any(kinds, ['Writes', 'Action
 classed AS (SELECT *, CASE WHEN s OR length > 6 THEN 'rejected' WHEN n_pages > 1 AND NOT w AND NOT f THEN 'related' WHEN f AND a THEN 'primary' WHEN (r OR w OR f) AND n_pages = 1 THEN 'primary' WHEN r OR w OR f THEN 'candidate' ELSE 'related' END AS class FROM facts)"""
 
 
-@query("g20_path_classes", p.sql("SELECT class, length, count(*) AS n, count(DISTINCT start) AS n_starts FROM classed GROUP BY 1, 2", _TWO).replace("SELECT class, length,", "SELECT class, CAST(length AS INTEGER) AS length,"))
-def path_classes(t):
-    rows = tr.path_features(_component_paths(t)).withColumn("class", tr.path_class())
-    return rows.groupBy("class", "length").agg(F.count("*").alias("n"), F.count_distinct("start").alias("n_starts"))
-
-
-@query("k03_ranked_paths", p.sql("""SELECT start, array_to_string(nodes, '>') AS path, score, length FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, length, nodes, kinds) AS k FROM (SELECT *, CAST(4 * f::INT + 3 * w::INT + 2 * r::INT + a::INT - length AS INTEGER) AS score FROM classed WHERE class = 'primary')) WHERE k <= 3 ORDER BY score DESC, length, nodes, kinds LIMIT 100""", _TWO).replace("score, length FROM", "score, CAST(length AS INTEGER) AS length FROM"))
-def ranked_paths(t):
-    return tr.ranked_paths(_component_paths(t)).select("start", F.array_join("nodes", ">").alias("path"), "score", "length")
-
-
 @query("g25_visual_depth", p.sql("SELECT target, depth, depth >= 3 AS collapsed, count(*) AS n FROM (SELECT target, node, min(depth) AS depth FROM walk GROUP BY 1, 2) GROUP BY 1, 2", "links AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('Contains', 'Triggers', 'OutputsTo', 'DataflowInput'))", "walk AS (SELECT id AS target, id AS node, 0 AS depth FROM nodes WHERE node_type IN ('Page', 'Model') UNION SELECT target, dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 4)"))
 def visual_depth(t):
     e = p.edges(t).where("edge_type IN ('Contains', 'Triggers', 'OutputsTo', 'DataflowInput')")
