@@ -45,30 +45,6 @@ def bare(id_: Column) -> Column:
     return F.element_at(F.split(F.substring(id_, F.instr(id_, ":") + 1, F.length(id_)), "\\|"), -1)
 
 
-def _numbered(a: Column, b: Column) -> Column:
-    """Names that differ in a number at their end only."""
-    cut = lambda x: F.regexp_replace(x, "[0-9]+$", "")
-    return (cut(a) == cut(b)) & (a != b) & (cut(a) != "")
-
-
-def candidates(nodes: DataFrame, targets: list[str], limit: int = 5) -> DataFrame:
-    """(target, rank, id, score): near misses of prefixed targets by one ladder of rules; ties by id.
-
-    Of equal kind: 100 the same bare name, 80 a part of it, 60 a part of the id, 55 and 45 one and two edits, 40 another
-    number at the end, 5 any component. Of another kind: 70 the same bare name. Edits are only counted where lengths
-    allow two, and by the bounded form of the distance.
-    """
-    rows = nodes.where("trim(id) <> '' AND trim(name) <> ''").select("id", F.explode(F.array(*[F.lit(x) for x in targets])).alias("target"))
-    id_, target = F.lower("id"), F.lower("target")
-    a, b = F.lower(bare(F.col("id"))), F.lower(bare(F.col("target")))
-    edits = lambda n: (F.greatest(*[F.when(F.abs(F.length(x) - F.length(y)) <= 2, (F.levenshtein(x, y, 2) == n).cast("int")).otherwise(0) for x, y in ((id_, target), (a, b))]) == 1)
-    same = F.when(a == b, 100).when(a.contains(b) | b.contains(a), 80).when(id_.contains(target) | target.contains(id_), 60).when(edits(1), 55).when(edits(2), 45).when(_numbered(a, b), 40).when(prefix(F.col("target")) == "comp", 5)
-    score = F.when(prefix(F.col("id")) == prefix(F.col("target")), same).when((b != "") & (a == b), 70)
-    scored = rows.where("id <> target").withColumn("score", score).where("score IS NOT NULL")
-    order = W.partitionBy("target").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("target", "rank", "id", "score")
-
-
 def resolve_bare(nodes: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     """(name, status, ids): unique, ambiguous (all ids, sorted) or missing; never the first match."""
     local = nodes.where(F.col("id").startswith(f"{kind}:")).select(bare(F.col("id")).alias("local"), "id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import ENDPOINTS
 from ..operators import conditions as cond
-from ..operators import lookup, neighbours, output, pattern, rules
+from ..operators import lookup, neighbours, output, pattern, rules, search
 from ..sources import projection as p
 from .registry import query
 
@@ -122,12 +122,47 @@ def find_models(t):
     return lookup.find(p.nodes(t), ["part1", "green"], node_type="model")
 
 
+# every supplier and part, misspelt in one way or another, or without a kind
+_TARGETS = """targets AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN concat('comp:app/n', s_nationkey, '.spg|S', s_suppkey) WHEN 1 THEN concat('comp:ap/n', s_nationkey, '.spg|s', s_suppkey, '0') WHEN 2 THEN concat('Supplier#', s_suppkey) ELSE concat('s', s_suppkey) END AS target FROM supplier
+ UNION ALL SELECT CASE p_partkey % 5 WHEN 0 THEN concat('model:part', p_partkey) WHEN 1 THEN concat('model:prat', p_partkey) WHEN 2 THEN concat('field:part', p_partkey, '.pric') WHEN 3 THEN concat('page:part', p_partkey) ELSE concat('model:xpart', p_partkey, 'x') END FROM part)"""
+
+
+def _targets(t):
+    s, k = F.col("s_suppkey").cast("string"), F.col("p_partkey").cast("string")
+    page = F.concat(F.lit("/n"), "s_nationkey", F.lit(".spg|"))
+    way = F.col("s_suppkey") % 4
+    suppliers = F.when(way == 0, F.concat(F.lit("comp:app"), page, F.lit("S"), s)).when(way == 1, F.concat(F.lit("comp:ap"), page, F.lit("s"), s, F.lit("0"))).when(way == 2, F.concat(F.lit("Supplier#"), s)).otherwise(F.concat(F.lit("s"), s))
+    way = F.col("p_partkey") % 5
+    parts = F.when(way == 0, F.concat(F.lit("model:part"), k)).when(way == 1, F.concat(F.lit("model:prat"), k)).when(way == 2, F.concat(F.lit("field:part"), k, F.lit(".pric"))).when(way == 3, F.concat(F.lit("page:part"), k)).otherwise(F.concat(F.lit("model:xpart"), k, F.lit("x")))
+    return t.supplier.select(suppliers.alias("target")).unionByName(t.part.select(parts.alias("target")))
+
+
+_KIND = "CASE WHEN regexp_matches({0}, '^(model|page|comp|action|field):') THEN split_part({0}, ':', 1) END"
+_BARE = "CASE WHEN regexp_matches({0}, '^(model|page|comp|action|field):') THEN substr({0}, strpos({0}, ':') + 1) ELSE {0} END"
+
+
 @query("p05_candidates", p.sql(f"""SELECT target, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT target, id,
- CASE WHEN split_part(id, ':', 1) = split_part(target, ':', 1) THEN CASE WHEN a = b THEN 100 WHEN contains(a, b) OR contains(b, a) THEN 80 WHEN contains(lower(id), lower(target)) OR contains(lower(target), lower(id)) THEN 60 WHEN levenshtein(lower(id), lower(target)) = 1 OR levenshtein(a, b) = 1 THEN 55 WHEN levenshtein(lower(id), lower(target)) = 2 OR levenshtein(a, b) = 2 THEN 45
-  WHEN regexp_replace(a, '[0-9]+$', '') = regexp_replace(b, '[0-9]+$', '') AND a <> b AND regexp_replace(a, '[0-9]+$', '') <> '' THEN 40 WHEN split_part(target, ':', 1) = 'comp' THEN 5 END WHEN b <> '' AND a = b THEN 70 END AS score
- FROM (SELECT id, target, lower(split_part(substr(id, strpos(id, ':') + 1), '|', -1)) AS a, lower(split_part(substr(target, strpos(target, ':') + 1), '|', -1)) AS b FROM nodes CROSS JOIN (VALUES {_values(TARGETS)}) k(target) WHERE id <> target AND trim(name) <> '')) WHERE score IS NOT NULL) WHERE rank <= 5"""))
+ CASE WHEN tk IS NULL THEN CASE WHEN lower(name) = lower(target) OR lower(id) = lower(target) OR a = b THEN 100 WHEN contains(lower(name), lower(target)) OR contains(lower(id), lower(target)) THEN 80 WHEN contains(lower(path), lower(target)) THEN 50 END
+ WHEN nk = tk THEN CASE WHEN a = b THEN 100 WHEN contains(a, b) OR contains(b, a) THEN 80 WHEN abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) = 1 THEN 55 WHEN abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) = 2 THEN 45 WHEN tk = 'comp' THEN 5 END
+ WHEN b <> '' AND a = b THEN 70 END AS score
+ FROM (SELECT id, name, path, {_KIND.format('id')} AS nk, lower({_BARE.format('id')}) AS a FROM nodes WHERE trim(name) <> '') CROSS JOIN (SELECT DISTINCT target, {_KIND.format('target')} AS tk, lower({_BARE.format('target')}) AS b FROM targets) WHERE id <> target) WHERE score IS NOT NULL) WHERE rank <= 5""", _TARGETS))
 def candidates(t):
-    return lookup.candidates(p.nodes(t), TARGETS)
+    return search.candidates(search.text_index(p.nodes(t)), _targets(t)).select("target", "rank", "id", "score")
+
+
+@query("p04_find_many", p.sql("""SELECT keyword, rank, id, node_type, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT keyword, id, node_type, CASE WHEN lower(id) = lower(keyword) OR lower(name) = lower(keyword) THEN 100 WHEN contains(lower(id), lower(keyword)) OR contains(lower(name), lower(keyword)) THEN 80 WHEN contains(lower(path), lower(keyword)) THEN 50 END AS score FROM nodes CROSS JOIN keywords) WHERE score IS NOT NULL) WHERE rank <= 20""",
+ "keywords AS (SELECT DISTINCT n_name AS keyword FROM nation UNION SELECT concat('n', n_nationkey, '.SPG') FROM nation UNION SELECT DISTINCT p_type FROM part UNION SELECT concat('S', s_suppkey) FROM supplier)"))
+def find_many(t):
+    words = t.nation.select(F.col("n_name").alias("keyword")).union(t.nation.select(F.concat(F.lit("n"), "n_nationkey", F.lit(".SPG")))).union(t.part.select("p_type")).union(t.supplier.select(F.concat(F.lit("S"), "s_suppkey")))
+    return search.find(search.text_index(p.nodes(t)), words.distinct())
+
+
+@query("p07_bare_targets", p.sql("""SELECT name, CASE WHEN n = 0 THEN 'not_found' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(ids, '') AS ids FROM (SELECT k.name, count(id) AS n, string_agg(id, ',' ORDER BY id) FILTER (r <= 20) AS ids FROM keys k LEFT JOIN (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY id) AS r FROM (SELECT k.name AS key, n.id FROM keys k JOIN nodes n ON lower(n.name) = lower(k.name) UNION SELECT k.name, n.id FROM keys k JOIN nodes n ON lower(n.id) = lower(k.name))) m ON m.key = k.name GROUP BY k.name)""",
+ "keys AS (SELECT DISTINCT n_name AS name FROM nation UNION SELECT concat('o', o_orderkey) FROM orders UNION SELECT s_name FROM supplier UNION SELECT concat('page:app/n', n_nationkey, '.SPG') FROM nation UNION SELECT concat('nobody', n_nationkey) FROM nation UNION SELECT 'qty')"))
+def bare_targets(t):
+    page = F.concat(F.lit("page:app/n"), "n_nationkey", F.lit(".SPG"))
+    names = t.nation.select(F.col("n_name").alias("name")).union(t.orders.select(F.concat(F.lit("o"), "o_orderkey"))).union(t.supplier.select("s_name")).union(t.nation.select(page)).union(t.nation.select(F.concat(F.lit("nobody"), "n_nationkey"))).union(t.spark.createDataFrame([("qty",)], "name string"))
+    return search.resolve_exact(search.text_index(p.nodes(t)), names.distinct())
 
 
 _NAMED = [f"c{k}" for k in (1, 2, 999999)] + ["part3", "price", "s1"]

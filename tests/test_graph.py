@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import dataflow, lookup, neighbours, ranking, rules
+from graphloom.operators import dataflow, lookup, neighbours, ranking, rules, search
 from graphloom.operators import traversal as tr
 from graphloom.sources import documents as d
 
@@ -93,7 +93,8 @@ def test_missing_edges_and_lookup(spark):
     e = edges(spark, [("page:a", "model:b1", "Reads"), ("page:a", "model:zz", "Reads")])
     assert neighbours.existing(n, e).count() == 1
     assert [r.id for r in lookup.find(n, ["ALPHA"]).collect()] == ["page:a"]
-    got = {(r.target, r.id, r.score) for r in lookup.candidates(n, ["model:b2", "model:bb1", "page:b1"]).collect()}
+    targets = spark.createDataFrame([("model:b2",), ("model:bb1",), ("page:b1",)], "target string")
+    got = {(r.target, r.id, r.score) for r in search.candidates(search.text_index(n), targets).collect()}
     assert got == {("model:b2", "model:b1", 55), ("model:bb1", "model:b1", 80), ("page:b1", "model:b1", 70), ("page:b1", "page:a", 45)}
     assert lookup.by_id(n, spark.createDataFrame([("page:a",), ("x",)], "target string")).where("id IS NULL").count() == 1
 
