@@ -6,36 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .neighbours import parent_pages
 from .traversal import page_subtree
 
-# Diagnostic codes that make an answer uncertain, and those that make it partial; others take nothing.
+# Diagnostic codes by what they say of an answer: it is uncertain, it is partial, a thing surely is not there,
+# the target was not found, or how it was found. Other codes say nothing.
 UNCERTAIN = (
     "UNKNOWN_ACTION_TYPE", "UNKNOWN_QUESTION_KIND", "EXPR_PARSE_ERROR", "EXPR_UNPARSED", "LINEAGE_EXPR_UNPARSED", "EXPR_UNRESOLVED_REF", "EXPR_UNSUPPORTED_FUNCTION",
-    "LINEAGE_SOURCE_MISSING", "UNRESOLVED_MODEL_WRITE", "UNRESOLVED_PAGE_NAVIGATION", "MODEL_UNRESOLVED", "VISIBILITY_RULE_UNRESOLVED", "ACTION_FLOW_INCOMPLETE",
+    "LINEAGE_SOURCE_MISSING", "UNRESOLVED_MODEL_WRITE", "UNRESOLVED_PAGE_NAVIGATION", "MODEL_UNRESOLVED", "VISIBILITY_RULE_UNRESOLVED", "ACTION_FLOW_INCOMPLETE", "DATAFLOW_INPUT_PATH_UNRESOLVED",
     "CYCLE_DEPENDENCY", "EMPTY_CONDITION", "PARSE_ERROR", "METADATA_PARSE_ERROR", "EVIDENCE_INCOMPLETE", "EVIDENCE_LOCATION_MISSING", "EDGE_EVIDENCE_UNAVAILABLE", "AMBIGUOUS_RESOLUTION",
 )
 PARTIAL = (
     "OUTPUT_TRUNCATED", "PRIMARY_PATHS_TRUNCATED", "EVIDENCE_SAMPLED", "PAGE_INPUTS_DEFERRED", "AMBIGUOUS_TARGET_ANSWERED", "GRAPH_DB_PARTIAL_HYDRATE", "GRAPH_DB_NODE_DECODE_FAILED",
     "GRAPH_DB_EDGE_DECODE_FAILED", "GRAPH_DB_EDGE_DANGLING_ENDPOINT", "PAGE_SCOPED_TARGET_FALLBACK", "TRACE_INCOMPLETE", "DIAGNOSTIC_SERIALIZE_FAILED", "SUPPLEMENT_UNAVAILABLE",
 )
+DETERMINATE = ("NO_WRITE_TARGETS", "NO_ENTRYPOINTS", "DATAFLOW_NO_INPUTS", "DATAFLOW_NO_OUTPUT", "NO_MATCHES_FOUND")
+ADDRESSING = ("TARGET_NOT_FOUND", "COMPONENT_NOT_FOUND", "DOCUMENT_NOT_FOUND", "AMBIGUOUS_TARGET")
+ROUTING = ("RESOLVED_TARGET",)
 # Items of a list at each budget; full has no limit.
 BUDGETS = {"compact": 5, "normal": 20}
-# Edge types that fit a question about writers, values or display.
-INTENT_EDGES = {
-    "writer": ("Writes", "ActionWrites", "FieldWrite", "FieldAlias", "Triggers", "Contains"),
-    "value_source": ("Reads", "FieldAlias", "DataflowInput", "OutputsTo", "DependsOn", "Contains"),
-    "display": ("DependsOn", "ActionControlsComponent", "Triggers", "Contains"),
-}
+
+def impact(code: Column) -> Column:
+    """What a diagnostic code says of an answer; null for a code that says nothing."""
+    kinds = (("uncertain", UNCERTAIN), ("partial", PARTIAL), ("determinate", DETERMINATE), ("addressing", ADDRESSING), ("routing", ROUTING))
+    out = F.lit(None).cast("string")
+    for name, codes in reversed(kinds):
+        out = F.when(code.isin(*codes), name).otherwise(out)
+    return out
 
 
 def confidence_rollup(diagnostics: DataFrame, key: str) -> DataFrame:
-    """(key, confidence, reasons): reduced where a code is uncertain, else partial where one is, else full; reasons are those codes, sorted."""
-    level = F.when(F.col("code").isin(*UNCERTAIN), 2).when(F.col("code").isin(*PARTIAL), 1).otherwise(0)
-    rows = diagnostics.select(key, "code", level.alias("level"))
-    worst = F.max("level")
-    reasons = F.array_join(F.array_sort(F.collect_set(F.when(F.col("level") > 0, F.col("code")))), ",")
-    return rows.groupBy(key).agg(F.when(worst == 2, "reduced").when(worst == 1, "partial").otherwise("full").alias("confidence"), reasons.alias("reasons"))
+    """(key, confidence, reasons) of diagnostics (key, code, place): reduced where a code is uncertain, else partial where one is, else full.
+
+    reasons are the codes that say anything of the answer, in the order of their first places, each as code=impact.
+    """
+    first = diagnostics.groupBy(key, "code").agg(F.min("place").alias("place")).withColumn("impact", impact(F.col("code")))
+    has = lambda name: F.coalesce(F.max(F.col("impact") == name), F.lit(False))
+    said = F.array_sort(F.collect_list(F.when(F.col("impact").isNotNull(), F.struct("place", "code", "impact"))))
+    reasons = F.array_join(F.transform(said, lambda x: F.concat_ws("=", x["code"], x["impact"])), ",")
+    return first.groupBy(key).agg(F.when(has("uncertain"), "reduced").when(has("partial"), "partial").otherwise("full").alias("confidence"), reasons.alias("reasons"))
 
 
 def budgeted(items: Column, budget: str) -> Column:
@@ -60,33 +68,6 @@ def component_query(refs: DataFrame) -> DataFrame:
     return uses.join(used, ["page", "component"], "full_outer").na.fill("")
 
 
-def page_models(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
-    """(page, name, score, ids): what a bare model name means on a page: 100 a model that the page itself touches, else 60 any model of that name."""
-    bare = F.regexp_extract("dst", "^model:(.*)$", 1)
-    touched = edges.where("dst LIKE 'model:%'").join(parent_pages(nodes, edges), F.col("src") == F.col("id")).select("page", "dst", bare.alias("name")).distinct()
-    own = touched.join(names, ["page", "name"]).select("page", "name", F.lit(100).alias("score"), F.col("dst").alias("model"))
-    every = nodes.where("node_type = 'Model'").select(F.col("id").alias("model"), F.regexp_extract("id", "^model:(.*)$", 1).alias("name"))
-    other = names.join(own.select("page", "name").distinct(), ["page", "name"], "left_anti").join(every, "name").select("page", "name", F.lit(60).alias("score"), "model")
-    return own.unionByName(other).groupBy("page", "name", "score").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("ids"))
-
-
-def anchors(edges: DataFrame) -> DataFrame:
-    """(page, anchor, n): how many targets, sources, sinks and bridges (writers of its sources on other pages) the paths of a page start from."""
-    tree = page_subtree(edges)
-    out = edges.join(tree, F.col("src") == F.col("node")).select("page", "src", "dst", "edge_type")
-    kinds = F.when(F.col("edge_type").isin("Reads", "ActionReads"), "source").when(F.col("edge_type").isin("Writes", "ActionWrites"), "sink")
-    models = out.where("dst LIKE 'model:%'").select("page", kinds.alias("anchor"), F.col("dst").alias("id")).where("anchor IS NOT NULL").distinct()
-    targets = tree.select("page", F.lit("target").alias("anchor"), F.col("node").alias("id"))
-    writers = out.where("edge_type = 'Writes'").select(F.col("page").alias("other"), F.col("src").alias("id"), "dst").distinct()
-    bridges = models.where("anchor = 'source'").select("page", F.col("id").alias("dst")).join(writers, "dst").where("page <> other").select("page", F.lit("bridge").alias("anchor"), "id").distinct()
-    return targets.unionByName(models).unionByName(bridges).groupBy("page", "anchor").agg(F.count("*").alias("n"))
-
-
-def fits_intent(kinds: Column, intent: str) -> Column:
-    """Whether every edge of a path fits the question."""
-    return F.forall(kinds, lambda k: k.isin(*INTENT_EDGES[intent]))
-
-
 def navigation(edges: DataFrame) -> DataFrame:
     """(page, jumps, embeds, params, absent): counts of the ways out of a page; only true zeros are listed as absent."""
     tree = page_subtree(edges)
@@ -121,16 +102,6 @@ def echarts(nodes: DataFrame, edges: DataFrame, most_nodes: int = 200, most_edge
     return {"type": "graph", "data": [{"id": x, "category": x.split(":", 1)[0]} for x in ids], "links": [{"source": r.src, "target": r.dst, "value": r.edge_type} for r in links]}
 
 
-def page_scoped_models(edges: DataFrame, hops: int = 2) -> DataFrame:
-    """(page, model, score): models that a page means by its own data: 100 one that it touches, 20 less for each step along dataflow inputs."""
-    from .traversal import reach
-
-    tree = page_subtree(edges)
-    own = edges.where("dst LIKE 'model:%'").join(tree, F.col("src") == F.col("node")).select(F.col("page").alias("target"), F.col("dst").alias("node")).distinct()
-    inputs = edges.where("edge_type = 'DataflowInput'").select("src", "dst").distinct()
-    return reach(own, inputs, hops).select(F.col("target").alias("page"), F.col("node").alias("model"), (100 - 20 * F.col("depth")).alias("score"))
-
-
 def answer_facts(nodes: DataFrame, edges: DataFrame, conditions: DataFrame, shown: int = 3) -> DataFrame:
     """(id, display, value_source, writer, action): the first facts of each block about every component that has any."""
     facts = conditions.where("effect_type = 'Show'").select(F.col("owner_id").alias("id"), F.lit("display").alias("block"), F.col("id").alias("fact"))

@@ -24,6 +24,15 @@ MAX_DEPTH, PER_ANCHOR, PER_PAGE, PRIMARY_PER_ANCHOR, PRIMARY_PER_PAGE, MAX_EDGES
 # The order in which guarantees are met.
 GUARANTEES = ("action_write", "cross_page_writer", "data_prerequisite", "display_gate", "target_component", "value_source")
 
+# Edges that a path may have to answer a question; a question about writers needs a writing edge, too.
+INTENT_EDGES = {
+    "display": ("DependsOn", "Contains"),
+    "value_source": ("Reads", "ActionReads", "FieldAlias", "DataflowOutput", "DataflowInput"),
+    "writer": ("Reads", "Contains", "FieldAlias", "Writes", "ActionWrites", "FieldWrite"),
+    "availability": ("DependsOn", "DataflowInput"),
+    "action": ("Triggers", "ActionWrites", "DependsOn"),
+}
+
 _ROLES = ("target", "source", "sink", "bridge")
 
 
@@ -242,14 +251,21 @@ def path_score() -> Column:
     return 3 * c("has_physical") + 2 * c("has_target") + 2 * c("has_cross_writer") + short + c("has_filter") + 5 * c("has_preferred") + 4 * c("has_alias")
 
 
-def selected(paths: DataFrame) -> DataFrame:
+def selected(paths: DataFrame, selector: str = "rules") -> DataFrame:
     """Classified paths with promoted (the guarantee that a path was promoted for), score, and order among the primary ones.
 
     Guarantees are met in their order. Of a page whose primary paths don't meet one, the first candidate path that does,
     else the first supporting one, becomes primary, unless it was taken for a guarantee before. Primary paths are ordered
     by score, length and place, promoted ones behind the others; those beyond three of an anchor or a hundred of a page
-    become candidates (demoted).
+    become candidates (demoted). The selector "none" makes every path primary, "classes" leaves classes as they are; both
+    promote and demote nothing and order primary paths by place.
     """
+    if selector != "rules":
+        if selector not in ("none", "classes"):
+            raise ValueError(f"selector must be rules, none or classes, not {selector}")
+        rows = paths.withColumn("class", F.lit("primary")) if selector == "none" else paths
+        order = F.row_number().over(W.partitionBy("page", "class").orderBy("place"))
+        return rows.withColumns({"promoted": F.lit(None).cast("string"), "score": path_score(), "order": F.when(F.col("class") == "primary", order), "demoted": F.lit(False)})
     page = W.partitionBy("page")
     pool = F.when(F.col("class") == "candidate", 0).when(F.col("class") == "supporting", 1)
     rows = paths.withColumn("was", F.col("class")).withColumn("promoted", F.lit(None).cast("int"))
@@ -277,3 +293,18 @@ def unmet_guarantees(paths: DataFrame) -> DataFrame:
     met = paths.groupBy("page").agg(*[F.max((F.col("class") == "primary") & guarantee(x)).alias(x) for x in GUARANTEES])
     missing = F.array_compact(F.array(*[F.when(~F.col(x), x) for x in GUARANTEES]))
     return met.select("page", F.explode(missing).alias("guarantee"))
+
+
+def partitioned(paths: DataFrame, intent: str | Column) -> DataFrame:
+    """Selected paths with status and reject_reason for a question: proven (a primary path that fits it), candidate (another that fits) or rejected.
+
+    Any path fits the questions "context" and "auto".
+    """
+    asked = F.lit(intent) if isinstance(intent, str) else intent
+    only = lambda kinds: F.forall("kinds", lambda k: k.isin(*kinds))
+    fits, writes = F.lit(True), F.exists("kinds", lambda k: k.isin(*WRITER_EDGES))
+    for name, kinds in INTENT_EDGES.items():
+        fits = F.when(asked == name, only(kinds)).otherwise(fits)
+    wrong = F.when(F.col("class") == "rejected", "path_selector_rejected").when((asked == "writer") & ~writes, "writer_intent_requires_write_edge").when(~fits, F.concat(F.lit("edge_type_not_allowed_for_"), asked, F.lit("_intent")))
+    rows = paths.withColumn("reject_reason", wrong)
+    return rows.withColumn("status", F.when(F.col("reject_reason").isNotNull(), "rejected").when(F.col("class") == "primary", "proven").otherwise("candidate"))

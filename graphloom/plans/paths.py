@@ -105,3 +105,19 @@ def guaranteed_paths(t):
     rows = op.classified(_paths(t))
     promoted = op.selected(rows).where("promoted IS NOT NULL").select("page", F.col("promoted").alias("guarantee"), _PATH, F.when(F.col("reason") == "data_alone", "candidate").otherwise("supporting").alias("was"))
     return op.unmet_guarantees(rows).join(promoted, ["page", "guarantee"], "left")
+
+
+@query("g17_anchors", p.sql("""SELECT page, 'target' AS anchor, count(*) AS n, min(id) AS first_id FROM targets GROUP BY 1 UNION ALL SELECT page, 'source', count(*), min(id) FROM roles WHERE is_source GROUP BY 1 UNION ALL SELECT page, 'sink', count(*), min(id) FROM roles WHERE is_sink GROUP BY 1 UNION ALL SELECT page, 'bridge', count(*), min(id) FROM bridges GROUP BY 1
+ UNION ALL SELECT page, 'excluded', count(*), min(id) FROM (SELECT DISTINCT h.page, e.src AS id FROM (SELECT DISTINCT page, dst FROM held WHERE rank = 0 AND (dst LIKE 'model:%' OR dst LIKE 'field:%')) h JOIN edges e ON e.dst = h.dst AND e.edge_type = 'DependsOn' AND e.src LIKE 'cond:%' JOIN nodes n ON n.id = e.src WHERE concat('page:', n.path) <> h.page) GROUP BY 1""", *_sql_base()))
+def anchors(t):
+    return op.page_anchors(p.nodes(t), p.edges(t)).groupBy("page", "anchor").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+_INTENTS = ["display", "value_source", "writer", "availability", "action", "context"]
+_FITS = "CASE intent " + " ".join(f"WHEN '{k}' THEN len(list_filter(kinds, lambda k: k NOT IN {_IN(v)})) = 0" for k, v in op.INTENT_EDGES.items()) + " ELSE true END"
+
+
+@query("g22_intent_paths", p.sql(f"""SELECT intent, page, array_to_string(nodes, '>') AS path, CASE WHEN why IS NOT NULL THEN 'rejected' WHEN kept AND n <= {op.PRIMARY_PER_PAGE} THEN 'proven' ELSE 'candidate' END AS status, why AS reject_reason FROM (SELECT *, CASE WHEN was = 'rejected' THEN 'path_selector_rejected' WHEN intent = 'writer' AND len(list_filter(kinds, lambda k: k IN {_IN(op.WRITER_EDGES)})) = 0 THEN 'writer_intent_requires_write_edge' WHEN NOT ({_FITS}) THEN concat('edge_type_not_allowed_for_', intent, '_intent') END AS why FROM selected CROSS JOIN (SELECT unnest({_INTENTS}) AS intent))""", *_SELECTED))
+def intent_paths(t):
+    rows = op.selected(op.classified(_paths(t))).withColumn("intent", F.explode(F.array(*[F.lit(x) for x in _INTENTS])))
+    return op.partitioned(rows, F.col("intent")).select("intent", "page", _PATH, "status", "reject_reason")

@@ -140,19 +140,6 @@ def field_trace(t):
     return dataflow.field_trace(fields, start)
 
 
-def _component_paths(t):
-    e = p.edges(t).where("edge_type IN ('Triggers', 'ActionWrites', 'FieldWrite', 'FieldAlias', 'Reads', 'DataflowInput')")
-    starts = p.nodes(t).where("node_type = 'Component'").select(F.col("id").alias("start"))
-    return tr.simple_paths(e, starts, 2)
-
-
-_TWO = """steps AS (SELECT DISTINCT src, dst, edge_type FROM edges WHERE edge_type IN ('Triggers', 'ActionWrites', 'FieldWrite', 'FieldAlias', 'Reads', 'DataflowInput')),
-found AS (SELECT src AS start, [src, dst] AS nodes, [edge_type] AS kinds FROM steps WHERE src LIKE 'comp:%' UNION ALL SELECT a.src, [a.src, a.dst, b.dst], [a.edge_type, b.edge_type] FROM steps a JOIN steps b ON b.src = a.dst WHERE a.src LIKE 'comp:%' AND b.dst <> a.src AND b.dst <> a.dst),
-facts AS (SELECT *, len(kinds) AS length, list_has_any(kinds, ['Writes', 'ActionWrites']) AS w, list_has_any(kinds, ['Reads', 'ActionReads']) AS r, list_contains(kinds, 'FieldWrite') AS f, list_contains(kinds, 'FieldAlias') AS a, len(list_filter(kinds, lambda k: k NOT IN ('Contains', 'Triggers'))) = 0 AS s,
- len(list_distinct(list_filter(list_transform(nodes, lambda n: regexp_extract(n, '(app/[^|]*)', 1)), lambda x: x <> ''))) AS n_pages FROM found),
-classed AS (SELECT *, CASE WHEN s OR length > 6 THEN 'rejected' WHEN n_pages > 1 AND NOT w AND NOT f THEN 'related' WHEN f AND a THEN 'primary' WHEN (r OR w OR f) AND n_pages = 1 THEN 'primary' WHEN r OR w OR f THEN 'candidate' ELSE 'related' END AS class FROM facts)"""
-
-
 @query("g25_visual_depth", p.sql("SELECT target, depth, depth >= 3 AS collapsed, count(*) AS n FROM (SELECT target, node, min(depth) AS depth FROM walk GROUP BY 1, 2) GROUP BY 1, 2", "links AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('Contains', 'Triggers', 'OutputsTo', 'DataflowInput'))", "walk AS (SELECT id AS target, id AS node, 0 AS depth FROM nodes WHERE node_type IN ('Page', 'Model') UNION SELECT target, dst, depth + 1 FROM walk JOIN links ON src = node WHERE depth < 4)"))
 def visual_depth(t):
     e = p.edges(t).where("edge_type IN ('Contains', 'Triggers', 'OutputsTo', 'DataflowInput')")
