@@ -241,42 +241,3 @@ def references(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row (keys, occurrence, kind, id, member) for each reference."""
     rows = parsed.select(*keys, F.posexplode("refs").alias("occurrence", "r"))
     return rows.withColumn("k", ref_kind(F.col("r.token"))).select(*keys, "occurrence", "k.kind", "k.id", "k.member")
-
-
-def expand(values: dict[str, str], component: str, depth: int = 10) -> tuple[str, str]:
-    """A component's expression with the values of the components that it names put in, and how it ended: ok, cycle or depth."""
-
-    def one(name: str, chain: tuple[str, ...]) -> tuple[str, str]:
-        text = values[name]
-        body, worst = text.removeprefix("="), "ok"
-        shift = len(text) - len(body)
-        for token, begin, end in reversed(Parser(text).run().refs):
-            target = token.removesuffix(".value")
-            if target not in values:
-                continue
-            if target in chain:
-                worst = "cycle"
-                continue
-            if len(chain) > depth:
-                worst = "depth" if worst == "ok" else worst
-                continue
-            inner, state = one(target, (*chain, target))
-            worst = state if worst == "ok" else worst
-            put = f"({inner})" if len(tokens(inner)[0]) > 1 else inner
-            body = body[: begin - shift] + put + body[end - shift :]
-        return body, worst
-
-    return one(component, (component,))
-
-
-def _expanded(key, rows):
-    import pandas as pd
-
-    values = dict(zip(rows["component_id"], rows["raw_expr"], strict=True))
-    out = [(key[0], c, *expand(values, c)) for c in values]
-    return pd.DataFrame(out, columns=["page", "component_id", "expanded", "state"])
-
-
-def value_traces(expressions: DataFrame) -> DataFrame:
-    """(page, component_id, expanded, state): string rewriting along references, page by page (a page is one document)."""
-    return expressions.select("page", "component_id", "raw_expr").groupBy("page").applyInPandas(_expanded, "page string, component_id string, expanded string, state string")

@@ -8,7 +8,7 @@ from ..functions import actions as act
 from ..functions import expressions as ex
 from ..model import ACTION_CATEGORY, ALWAYS_EXPRESSION, CONDITION_TYPE, EFFECT_TYPE, MAYBE_EXPRESSION
 from ..operators import conditions as cond
-from ..operators import dataflow
+from ..operators import dataflow, values
 from ..sources import projection as p
 from .registry import query
 
@@ -169,7 +169,18 @@ def row_count_gates(t):
     return cond.row_count_gates(t.orders.selectExpr("o_orderkey AS id", "concat('=model', o_orderkey % 3, '.totalRowCount__ > 0 and m_', o_custkey % 2, '.totalRowCount__ = model', o_orderkey % 3, '.totalRowCount__') AS raw_expr"))
 
 
-@query("g08_value_traces")
+# a component adds to the value of the one that it refers to, subtracts a parameter from it, or multiplies a field by it
+_VALUES = """form AS (SELECT page, component, ref, CAST(substr(component, 2) AS BIGINT) % 3 AS k FROM refs),
+exprs AS (SELECT page, component, ref, CASE k WHEN 0 THEN concat(ref, '.value + 1') WHEN 1 THEN concat('(', ref, ') - param1') ELSE concat('model1.A * ', ref, '.value') END AS clean, CASE k WHEN 0 THEN '(' WHEN 1 THEN '((' ELSE '(model1.A) * (' END AS pre, CASE k WHEN 0 THEN ') + 1' WHEN 1 THEN ')) - (param1)' ELSE ')' END AS suf FROM form),
+walk AS (SELECT page, component AS start, ref AS here, pre, suf, [component] AS seen FROM exprs UNION ALL SELECT w.page, w.start, e.ref, concat(w.pre, e.pre), concat(e.suf, w.suf), list_append(w.seen, w.here) FROM walk w JOIN exprs e ON e.page = w.page AND e.component = w.here WHERE len(w.seen) < 10 AND NOT list_contains(w.seen, w.here))"""
+
+
+@query("g08_value_traces", p.sql("""SELECT w.page, w.start AS component_id, concat('=', w.pre, e.clean, w.suf) AS expanded, CASE WHEN len(w.seen) = 10 THEN 'TRACE_DEPTH_LIMIT' ELSE 'TRACE_CYCLE' END AS code, w.here AS stopped_at, concat('=', e.clean) AS token, len(list_distinct(list_append(w.seen[2:], w.here))) AS n_chain FROM walk w JOIN exprs e ON e.page = w.page AND e.component = w.here WHERE len(w.seen) = 10 OR list_contains(w.seen, w.here)""", _VALUES))
 def value_traces(t):
-    refs = p.component_refs(t).select("page", F.col("component").alias("component_id"), F.when(F.substring("component", 2, 20).cast("long") % 3 == 0, "1").otherwise(F.concat(F.lit("="), "ref", F.lit(".value + 1"))).alias("raw_expr"))
-    return ex.value_traces(refs)
+    refs = p.component_refs(t)
+    k = F.substring("component", 2, 20).cast("long") % 3
+    raw = F.when(k == 0, F.concat("ref", F.lit(".value + 1"))).when(k == 1, F.concat(F.lit("("), "ref", F.lit(") - param1"))).otherwise(F.concat(F.lit("model1.A * "), "ref", F.lit(".value")))
+    exprs = refs.select("page", F.col("component").alias("component_id"), F.lit("value").alias("field"), F.concat(F.lit("="), raw).alias("raw_expr"))
+    page = exprs.select("page").distinct()
+    out = values.value_traces(exprs, exprs.select("page", F.col("component_id").alias("id")), page.withColumn("id", F.lit("model1")), page.withColumn("id", F.lit("param1")))
+    return out.select("page", "component_id", "expanded", F.col("issues")[0]["code"].alias("code"), F.col("issues")[0]["component_id"].alias("stopped_at"), F.col("issues")[0]["token"].alias("token"), F.size("chain").cast("long").alias("n_chain"))

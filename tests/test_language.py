@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import actions as act
 from graphloom.functions import expressions as ex
-from graphloom.functions.expressions import Parser, expand, parse, ref_kind, references, tokens
+from graphloom.functions.expressions import Parser, parse, ref_kind, references, tokens
 from graphloom.operators import output, pattern
 
 CASES = [
@@ -62,13 +62,6 @@ def test_parse_rows(spark):
     assert got == {("c", 0): ("component_value", "a"), ("c", 1): ("model_field", "model1")}
 
 
-def test_expansion():
-    values = {"a": "=b.value + 1", "b": "=c * 2", "c": "3", "x": "=y", "y": "=x + 1", "z": "plain.value"}
-    assert expand(values, "a") == ("(3 * 2) + 1", "ok")
-    assert expand(values, "x")[1] == "cycle"
-    assert expand(values, "z") == ("plain.value", "ok")
-
-
 @pytest.mark.parametrize("text", ["DELETE (n)", "CREATE (n)", "MATCH (n) RETURN n " + " " * 17000, "MATCH (n) LOAD CSV RETURN n", ""])
 def test_patterns_only_read(text):
     with pytest.raises(ValueError):

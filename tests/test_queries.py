@@ -28,9 +28,3 @@ def test_query(spark, con, name):
     got = registry.queries()[name](spark, SF).toPandas()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
-
-
-def test_value_traces(spark):
-    out = registry.queries()["g08_value_traces"](spark, SF)
-    assert out.count() == spark.read.parquet(f"{SF}/customer.parquet").count()
-    assert out.where("state = 'ok' AND expanded LIKE '%c%'").count() == 0
