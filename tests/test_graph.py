@@ -152,18 +152,6 @@ def test_prefix_ancestors(spark):
     assert {tuple(r) for r in tr.prefix_ancestors(rows).collect()} == {("b", "a"), ("c", "a"), ("d", "a"), ("d", "b")}
 
 
-def test_store(spark, tmp_path):
-    from graphloom.sources import store
-
-    path = f"file://{tmp_path}/edges"
-    rows = spark.createDataFrame([(f"f{i % 9}", f"a{i}") for i in range(60)], "origin_file string, src string")
-    store.save(rows, path)
-    assert store.load(spark, path).count() == 60 and store.load(spark, path, ["f3"]).count() == rows.where("origin_file = 'f3'").count()
-    store.replace(spark, path, ["f3", "f4", "f99"], spark.createDataFrame([("f3", "new")], rows.schema))
-    expected = rows.where("origin_file NOT IN ('f3', 'f4')").unionByName(spark.createDataFrame([("f3", "new")], rows.schema))
-    assert rules.multiset_difference(store.load(spark, path), expected).isEmpty()
-
-
 def test_drawing_and_budgets(spark):
     from graphloom.operators import explain
 
