@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ from .common import Scratch, joined, steps, table, texts
 class LeakConfig:
     edits_percent: int = 8  #: error budget of an item, in hundredths of its normalised length
     block_bytes: int = 2 << 20  #: benchmark text that one pass over the documents looks for; more items take more passes
-    blocks: int = 4  #: passes of one plan; after these the rows are written, so that a plan holds a bounded part of a benchmark
+    blocks: int = 4  #: passes of one plan; of a larger benchmark the hits of so many blocks at a time are written
+    broadcast_bytes: int = 32 << 20  #: written hits that are broadcast; more meet their texts in salted parts
+    salts: int = 16
 
 
 _KEEP = np.full(256, 32, np.uint8)
@@ -152,10 +155,12 @@ def _look(items: list[tuple[int, bytes]], percent: int):
     return run
 
 
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, most: int, scratch: Scratch) -> Iterator[list[tuple[int, bytes]]]:
+    """Items in blocks of so many bytes. They are written first: rows that are read one by one must not wait on a shuffle,
+    whose files may go before the last row is read."""
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     held, size = [], 0
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
+    for r in scratch.keep(rows, "items").toLocalIterator():
         if item := normalise(r["text"]):
             held.append((r["item_id"], item))
             size += len(item)
@@ -166,6 +171,11 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]
         yield held
 
 
+def _key(text: str = "text") -> list:
+    """128 bits of a text: what a text holds depends on it alone."""
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, config: LeakConfig | None = None) -> DataFrame:
     """docs with item_ids (sorted long array) and distances (int array): the benchmark items that each text holds within their budgets.
 
@@ -173,19 +183,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, config: LeakConfig | Non
     item_ids or distances are replaced. Null and empty texts hold nothing; null, empty or wordless items are left
     out; rows that repeat are judged each; a very long text is one step, so memory follows the longest; an empty
     benchmark gives empty arrays, an empty table no rows. An item is found between spaces of the normalised text only;
-    items of up to 12 bytes have no error budget. No shuffle: each block of items, bounded in bytes, is one narrow pass
-    over all documents.
+    items of up to 12 bytes have no error budget. Each block of items, bounded in bytes, is one narrow pass over all
+    documents; a benchmark of more blocks than one plan takes has its hits written by text and joined to the documents.
     """
     c = config or LeakConfig()
     names = [x for x in docs.columns if x not in ("item_ids", "distances")]
-    order = ["text", *(x for x in names if x != "text")]
-    out = docs.select(*order, F.expr("cast(array() as array<bigint>)").alias("item_ids"), F.expr("cast(array() as array<int>)").alias("distances"))
+    none = [F.expr("cast(array() as array<bigint>)").alias("item_ids"), F.expr("cast(array() as array<int>)").alias("distances")]
     scratch = Scratch(docs.sparkSession, "leaks")
-    for k, items in enumerate(_blocks(benchmark, c.block_bytes)):
-        if k and not k % c.blocks:
-            out = scratch.keep(out, "blocks")
-        out = out.mapInArrow(_look(items, c.edits_percent), out.schema)
-    return out.select(*names, "item_ids", "distances")
+    blocks = _blocks(benchmark, c.block_bytes, scratch)
+    first = list(islice(blocks, c.blocks))
+
+    def looked(rows: DataFrame, some: list) -> DataFrame:
+        for items in some:
+            rows = rows.mapInArrow(_look(items, c.edits_percent), rows.schema)
+        return rows
+
+    more = list(islice(blocks, c.blocks))
+    if not more:
+        order = ["text", *(x for x in names if x != "text")]
+        return looked(docs.select(*order, *none), first).select(*names, "item_ids", "distances")
+    hits, some = None, first
+    while some:  # a larger benchmark: only the texts that hold something are written, never the corpus
+        found = looked(docs.select("text", *none), some).where(F.size("item_ids") > 0)
+        found = scratch.keep(found.select(*_key(), F.explode(F.arrays_zip("item_ids", "distances")).alias("x")).select("a", "b", "x.item_ids", "x.distances").distinct(), "hits")
+        hits = found if hits is None else hits.unionByName(found)
+        some, more = more, list(islice(blocks, c.blocks))
+    least = hits.groupBy("a", "b", "item_ids").agg(F.min("distances").alias("d"))
+    held = least.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("item_ids", "d"))).alias("x"))
+    held = scratch.keep(held.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.transform("x", lambda x: x["item_ids"]).alias("item_ids"), F.transform("x", lambda x: x["d"]).alias("distances")), "held")
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in names]).alias("rest"), *_key())  # other columns are inside rest
+    same = (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))
+    if scratch.bytes(held) <= c.broadcast_bytes:
+        both = rows.join(F.broadcast(held), same, "left")
+    else:
+        spread = held.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(c.salts - 1))))
+        both = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(c.salts)).cast("int")).join(spread.hint("merge"), same & (F.col("salt") == F.col("salt_")), "left")
+    return both.select("rest.*", *[F.coalesce(n, x).alias(n) for n, x in zip(("item_ids", "distances"), none, strict=True)])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,13 +166,17 @@ def test_decontamination(spark):
             p = normalise(item)
             if p and (d := brute.edit_inside(b" " + p + b" ", b" " + normalise(text) + b" ")) <= len(p) * LeakConfig().edits_percent // 100:
                 expected[k] = d
-        assert got[i].keys() == expected.keys(), i
+        assert got[i] == expected, i
     assert sum(map(bool, got.values())) > 5
     assert contaminated(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     none = contaminated(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.where(F.size("item_ids") > 0).count() == 0
     small = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), LeakConfig(block_bytes=300, blocks=2))
-    assert {r.doc_id: set(r.item_ids) for r in small.collect()} == {i: set(x) for i, x in got.items()}
+    assert small.columns == [*docs.columns[:-1], "item_ids", "distances"]
+    assert {r.doc_id: dict(zip(r.item_ids, r.distances)) for r in small.collect()} == got
+    clash = docs.select("*", *[F.lit(x).alias(x) for x in ("a", "b", "a_", "salt", "salt_", "rest", "x")])
+    salted = contaminated(clash, spark.createDataFrame(items, "item_id long, text string"), LeakConfig(block_bytes=300, blocks=1, broadcast_bytes=0)).collect()
+    assert sorted((r.doc_id, r.item_ids) for r in salted) == sorted((r.doc_id, r.item_ids) for r in small.collect()) and all(r[x] == x for r in salted for x in ("a", "b", "salt", "rest", "x"))
     assert leaks(b" nothing ", [(1, normalise("abc def"))], 5) == {}
     assert leaks(normalise("the party was long"), [(1, b"art"), (2, b"part")], 8) == {} and leaks(normalise("The ART, was"), [(1, b"art")], 8) == {1: 0}
     long = "".join(rng.choice("abcdefgh ") for _ in range(300000))  # a very long text, an item across its end
