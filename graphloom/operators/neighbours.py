@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import WRITE_EDGES
+from .traversal import settled
 
 
 def existing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -104,10 +105,12 @@ def page_targets(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) ->
 def cross_relations(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, target, kind_a, kind_b): direct targets that both ids of a pair (a, b) have, with one edge type of each side, the first by name.
 
-    Only the pairs' own edges are joined: two frontiers meet, no pair of nodes is formed.
+    Edges of other nodes are left out before anything is grouped; the two sides' edges meet, no pair of nodes is formed.
     """
-    out = edges.groupBy("src", "dst").agg(F.min("edge_type").alias("kind"))
-    left = pairs.distinct().join(out.toDF("a", "target", "kind_a"), "a")
+    pairs = settled(pairs.select("a", "b").distinct())
+    ids = pairs.select(F.col("a").alias("src")).union(pairs.select("b")).distinct()
+    out = settled(edges.select("src", "dst", "edge_type").join(ids, "src", "left_semi").groupBy("src", "dst").agg(F.min("edge_type").alias("kind")))
+    left = pairs.join(out.toDF("a", "target", "kind_a"), "a")
     return left.join(out.toDF("b", "target", "kind_b"), ["b", "target"]).select("a", "b", "target", "kind_a", "kind_b")
 
 

@@ -116,22 +116,24 @@ def causal_paths(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, depth:
     for hop in range(1, depth + 1):
         grown = paths.join(links if hop == 1 else few, F.element_at("nodes", -1) == F.col("src"))
         edge = F.when(F.array_contains("nodes", F.col("dst")), F.col("again")).otherwise(F.col("best"))
-        grown = grown.withColumn("edge", edge).where("edge IS NOT NULL").join(of, (F.col("page") == F.col("p")) & (F.col("dst") == F.col("i")), "left")
-        role = F.coalesce("role", none)
-        grown = settled(grown.select("page", "rank", "anchor", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("steps", F.array("edge")).alias("steps"), F.concat("roles", F.array(role)).alias("roles")))
+        grown = grown.withColumn("edge", edge).where("edge IS NOT NULL").withColumn("nodes", F.concat("nodes", F.array("dst")))
+        first = F.row_number().over(W.partitionBy("page", "anchor").orderBy("nodes"))
+        if hop > 1:  # an anchor that has fewer than per_anchor paths by now keeps all of them
+            grown = grown.withColumn("k", first).where(F.col("k") <= per_anchor)
+        grown = grown.join(of, (F.col("page") == F.col("p")) & (F.col("dst") == F.col("i")), "left")
+        grown = settled(grown.select("page", "rank", "anchor", "nodes", F.concat("steps", F.array("edge")).alias("steps"), F.concat("roles", F.array(F.coalesce("role", none))).alias("roles"), *(["k"] if hop > 1 else [])))
         dropped(paths)
         last = F.element_at("roles", -1)
-        counted = grown if hop > 1 else grown.where(last["target"] | last["source"] | last["sink"] | last["bridge"])
+        counted = grown if hop > 1 else grown.where(last["target"] | last["source"] | last["sink"] | last["bridge"]).withColumn("k", first)
         lacking = F.lit(per_anchor)
         if have is not None:
             counted = counted.join(have.withColumnsRenamed({"page": "p", "anchor": "a"}), (F.col("page") == F.col("p")) & (F.col("anchor") == F.col("a")), "left").drop("p", "a")
             lacking = per_anchor - F.coalesce("have", F.lit(0))
-        taken = counted.withColumn("k", F.row_number().over(W.partitionBy("page", "anchor").orderBy("nodes"))).where((F.col("k") <= per_anchor) & (F.col("k") <= lacking)).drop("k", "have")
-        taken = settled(taken)
+        taken = settled(counted.where(F.col("k") <= F.least(lacking, F.lit(per_anchor))).drop("k", "have"))
         found = taken if found is None else found.unionByName(taken)
         have = settled(found.groupBy("page", "anchor").agg(F.count("*").alias("have")))
         done = have.where(F.col("have") >= per_anchor).select("page", "anchor")
-        paths = settled(grown.join(done, ["page", "anchor"], "left_anti"))
+        paths = settled(grown.drop("k").join(done, ["page", "anchor"], "left_anti"))
         dropped(grown)
         if paths.isEmpty():
             break

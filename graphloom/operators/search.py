@@ -18,6 +18,8 @@ from .traversal import dropped, settled
 KINDS = ("model", "page", "comp", "action", "field")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GRAM = 3
+#: Different scores of the ladders.
+SCORES = 8
 
 
 def kind_of(id_: Column) -> Column:
@@ -58,12 +60,13 @@ class TextIndex:
     """Written tables over the nodes that have an id and a name."""
 
     names: DataFrame  #: (id, node_type, name, path, id_l, name_l, path_l, kind, bare, bare_l)
-    grams: DataFrame  #: (gram, field, text): texts in lower case of ids, names and paths by runs of one to three characters
+    texts: DataFrame  #: (field, text): texts in lower case of ids, names and paths
+    grams: DataFrame  #: (gram, field, text): the texts by their runs of three characters
     segments: DataFrame  #: (kind, length, i, segment, text): the three rarest segments of each bare name of three characters or more
     short: DataFrame  #: (kind, variant, text): shorter bare names
 
     def drop(self) -> None:
-        dropped(self.names, self.grams, self.segments, self.short)
+        dropped(self.names, self.texts, self.grams, self.segments, self.short)
 
 
 def text_index(nodes: DataFrame) -> TextIndex:
@@ -71,8 +74,8 @@ def text_index(nodes: DataFrame) -> TextIndex:
     rows = nodes.where("trim(id) <> '' AND trim(name) <> ''").select("id", "node_type", "name", F.coalesce("path", F.lit("")).alias("path")).distinct()
     names = settled(rows.select("*", F.lower("id").alias("id_l"), F.lower("name").alias("name_l"), F.lower("path").alias("path_l"), kind_of(F.col("id")).alias("kind"), bare(F.col("id")).alias("bare"), F.lower(bare(F.col("id"))).alias("bare_l")))
     texts = names.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_l").alias("text")) for f in ("id", "name", "path")])).alias("x")).select("x.*").distinct()
-    sizes = F.array(*[F.when(F.length("text") >= n, _grams(F.col("text"), n)).otherwise(F.expr("cast(array() as array<string>)")) for n in range(1, _GRAM + 1)])
-    grams = settled(texts.select(F.explode(F.flatten(sizes)).alias("gram"), "field", "text").repartition("gram"))
+    texts = settled(texts)
+    grams = settled(texts.where(F.length("text") >= _GRAM).select(F.explode(_grams(F.col("text"), _GRAM)).alias("gram"), "field", "text"))
     bares = names.select("kind", F.col("bare_l").alias("text"), F.length("bare_l").alias("length")).where("kind IS NOT NULL").distinct()
     every = bares.where("length >= 3").select("*", F.explode(_segments(F.col("length"))).alias("s")).select("kind", "length", "s.i", F.substring("text", F.col("s.start"), F.col("s.size")).alias("segment"), "text")
     every = settled(every)
@@ -81,17 +84,28 @@ def text_index(nodes: DataFrame) -> TextIndex:
     segments = settled(every.join(n, ["kind", "length", "i", "segment"]).withColumn("k", rarest).where("k <= 3").drop("k", "n"))
     dropped(every)
     short = settled(bares.where("length < 3").select("kind", F.explode(_variants(F.col("text"))).alias("variant"), "text"))
-    return TextIndex(names, grams, segments, short)
+    return TextIndex(names, texts, grams, segments, short)
 
 
 def containing(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """(wanted, field, text): indexed texts that contain a wanted one (lower case, not empty)."""
-    size = F.least(F.length("wanted"), F.lit(_GRAM))
-    probes = wanted.where("wanted <> ''").select("wanted").distinct().select("wanted", F.explode(_grams(F.col("wanted"), size)).alias("gram")).crossJoin(F.broadcast(wanted.sparkSession.createDataFrame([("id",), ("name",), ("path",)], "field string")))
-    probes = settled(probes)
+    """(wanted, field, text): indexed texts that contain a wanted one (lower case, not empty).
+
+    A wanted text of three characters or more is looked up by its rarest run of three; shorter ones meet the runs of
+    their own length, which are made for them alone.
+    """
+    words = settled(wanted.where("wanted <> ''").select("wanted").distinct())
+    probes = settled(words.where(F.length("wanted") >= _GRAM).select("wanted", F.explode(_grams(F.col("wanted"), _GRAM)).alias("gram")))
+    fields = index.texts.select("field").distinct()
     n = index.grams.join(probes.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "field").agg(F.count("*").alias("n"))
-    best = probes.join(n, ["gram", "field"], "left").groupBy("wanted", "field").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return best.join(index.grams, ["gram", "field"]).where(F.contains("text", F.col("wanted"))).select("wanted", "field", "text")
+    each = probes.crossJoin(F.broadcast(fields))  # three rows at most
+    best = each.join(n, ["gram", "field"], "left").groupBy("wanted", "field").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = best.join(index.grams, ["gram", "field"]).where(F.contains("text", F.col("wanted"))).select("wanted", "field", "text")
+    for size in range(1, _GRAM):
+        little = words.where(F.length("wanted") == size)
+        if not little.isEmpty():
+            runs = index.texts.where(F.length("text") >= size).select(F.explode(_grams(F.col("text"), size)).alias("wanted"), "field", "text")
+            found = found.unionByName(runs.join(little, "wanted").select("wanted", "field", "text"))
+    return found
 
 
 def within_two_edits(index: TextIndex, wanted: DataFrame) -> DataFrame:
@@ -109,7 +123,12 @@ def within_two_edits(index: TextIndex, wanted: DataFrame) -> DataFrame:
 
 
 def _best(rows: DataFrame, limit: int) -> DataFrame:
-    """(target, rank, id, score, reason) of rows (target, id, score, reason): each id at its highest score, ties by id."""
+    """(target, rank, id, score, reason) of rows (target, id, score, reason): each id at its highest score, ties by id.
+
+    An id has at most SCORES different scores, so the first so many pairs of score and id for each place hold all that count.
+    """
+    near = F.dense_rank().over(W.partitionBy("target").orderBy(F.desc("score"), "id"))
+    rows = rows.withColumn("n", near).where(F.col("n") <= SCORES * limit)
     top = rows.groupBy("target", "id").agg(F.max(F.struct("score", "reason")).alias("x"))
     order = W.partitionBy("target").orderBy(F.desc("x.score"), "id")
     return top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("target", "rank", "id", "x.score", "x.reason")

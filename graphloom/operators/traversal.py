@@ -68,10 +68,12 @@ def context(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
     An edge between two expanded nodes shows up in both directions.
     """
+    edges = settled(edges.select("src", "dst", "edge_type").distinct())
     near = reach(seeds, undirected(edges), max(depth - 1, 0)).select("target", "node")
+    # edges and expanded nodes come once each, so no row comes twice
     down = near.join(edges, F.col("node") == F.col("src")).select("target", F.lit("downstream").alias("direction"), "edge_type", "src", "dst")
     up = near.join(edges, F.col("node") == F.col("dst")).select("target", F.lit("upstream").alias("direction"), "edge_type", "src", "dst")
-    return down.unionByName(up).distinct()
+    return down.unionByName(up)
 
 
 def page_subtree(edges: DataFrame) -> DataFrame:
@@ -81,18 +83,23 @@ def page_subtree(edges: DataFrame) -> DataFrame:
     return held.unionByName(actions)
 
 
-def data_closure(edges: DataFrame) -> DataFrame:
-    """(page, node): models and fields reachable from a page's subtree over models and fields alone."""
+def data_closure(edges: DataFrame, subtree: DataFrame | None = None) -> DataFrame:
+    """(page, node): models and fields reachable from a page's subtree (of written edges, if it is given) over models and fields alone."""
+    if subtree is None:
+        edges = settled(edges.select("src", "dst", "edge_type").distinct())
+        subtree = page_subtree(edges)
     to_data = edges.where("dst LIKE 'model:%' OR dst LIKE 'field:%'").select("src", "dst")
-    first = page_subtree(edges).join(to_data, F.col("node") == F.col("src")).select(F.col("page").alias("target"), F.col("dst").alias("node")).distinct()
+    first = subtree.join(to_data, F.col("node") == F.col("src")).select(F.col("page").alias("target"), F.col("dst").alias("node")).distinct()
     inner = to_data.where("src LIKE 'model:%' OR src LIKE 'field:%'").distinct()
     return closure(first, inner).select(F.col("target").alias("page"), "node")
 
 
 def page_index(edges: DataFrame) -> DataFrame:
     """(node, page): every page that a change of the node can affect."""
+    edges = settled(edges.select("src", "dst", "edge_type").distinct())
+    tree = settled(page_subtree(edges))
     own = edges.where("src LIKE 'page:%'").select(F.col("src").alias("page")).distinct().select("page", F.col("page").alias("node"))
-    return own.unionByName(page_subtree(edges)).unionByName(data_closure(edges)).distinct().select("node", "page")
+    return own.unionByName(tree).unionByName(data_closure(edges, tree)).distinct().select("node", "page")
 
 
 def affected_pages(index: DataFrame, dirty: DataFrame) -> DataFrame:

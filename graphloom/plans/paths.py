@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import CAUSAL_EDGES
 from ..operators import paths as op
+from ..operators.traversal import settled
 from ..sources import projection as p
 from .registry import query
 from .traversals import _SUBTREE
@@ -63,7 +64,7 @@ def _sql_chosen() -> list[str]:
 
 
 def _paths(t):
-    n, e = p.nodes(t), p.edges(t)
+    n, e = settled(p.nodes(t)), settled(p.edges(t))  # each is read several times
     return op.page_candidates(n, e, op.page_anchors(n, e))
 
 
