@@ -78,18 +78,3 @@ def field_trace(fields: DataFrame, start: DataFrame) -> DataFrame:
         at = rows.where("stop IS NULL").select("model", "wanted", F.col("r.original_node").alias("node"), F.col("r.original_field").alias("field"), F.concat("path", F.array(to)).alias("path"))
         if at.isEmpty():
             return out
-
-
-def confidence(source: Column) -> Column:
-    """How sure a lineage step of a source is."""
-    return F.when(source.isin("input_field", "producer"), "high").when(source == "expression", "medium").otherwise("low")
-
-
-def field_lineage(edges: DataFrame) -> DataFrame:
-    """(field, source, origin, confidence): origins of fields by alias; where there is none, the fields of the same name in the model's inputs."""
-    alias = edges.where("edge_type = 'FieldAlias'").select(F.col("src").alias("field"), F.lit("input_field").alias("source"), F.col("dst").alias("origin")).distinct()
-    own = edges.where("edge_type = 'Contains' AND dst LIKE 'field:%'").select(F.col("src").alias("model"), F.col("dst").alias("field"), F.element_at(F.split("dst", "\\."), -1).alias("name"))
-    inputs = edges.where("edge_type = 'DataflowInput'").select(F.col("src").alias("model"), F.col("dst").alias("input")).distinct()
-    same = own.join(inputs, "model").join(own.select(F.col("model").alias("input"), F.col("field").alias("origin"), "name"), ["input", "name"])
-    fallback = same.join(alias.select("field"), "field", "left_anti").select("field", F.lit("input_name").alias("source"), "origin").distinct()
-    return alias.unionByName(fallback).withColumn("confidence", confidence(F.col("source")))

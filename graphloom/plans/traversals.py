@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import conditions as cond
 from ..operators import dataflow, ranking, rules
+from ..operators import lineage as lineage_of
 from ..operators import traversal as tr
+from ..operators.traversal import settled
 from ..sources import projection as p
 from .registry import query
 
@@ -120,11 +122,37 @@ def field_origins(t):
     return dataflow.field_origins(p.edges(t))
 
 
-@query("g15_field_lineage", p.sql("""SELECT field, source, origin, CASE source WHEN 'input_field' THEN 'high' ELSE 'low' END AS confidence FROM (SELECT DISTINCT src AS field, 'input_field' AS source, dst AS origin FROM edges WHERE edge_type = 'FieldAlias'
- UNION ALL SELECT DISTINCT a.field, 'input_name', b.field FROM own a JOIN edges i ON i.src = a.model AND i.edge_type = 'DataflowInput' JOIN own b ON b.model = i.dst AND b.name = a.name WHERE a.field NOT IN (SELECT src FROM edges WHERE edge_type = 'FieldAlias'))""",
- "own AS (SELECT src AS model, dst AS field, split_part(dst, '.', -1) AS name FROM edges WHERE edge_type = 'Contains' AND dst LIKE 'field:%')"))
+# price fields are mapped, quantities of every fourth part are calculated, the others have what dataflows and dimensions say
+_LINEAGE = """own AS (SELECT n.id AS field, n.name AS field_name, c.src AS model, m.name AS model_name, CAST(substr(c.src, 11) AS BIGINT) AS k FROM nodes n JOIN edges c ON c.dst = n.id AND c.edge_type = 'Contains' JOIN nodes m ON m.id = c.src WHERE n.node_type = 'Field'),
+told AS (SELECT *, CASE WHEN field_name = 'price' AND k % 3 = 0 THEN concat('in', k % 7) END AS input_field, CASE WHEN field_name = 'qty' AND k % 4 = 0 THEN '=model1.x * 2' END AS expr, CASE WHEN k % 8 = 0 THEN ['model1'] ELSE CAST([] AS VARCHAR[]) END AS expr_models FROM own),
+dims AS (SELECT concat('model:part', p_partkey) AS model, concat('d', p_partkey % 5) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'qty' ELSE 'price' END AS dbfield FROM part),
+ins AS (SELECT DISTINCT e.src, e.dst, n.name FROM edges e JOIN nodes n ON n.id = e.dst WHERE edge_type = 'DataflowInput'),
+wrote AS (SELECT DISTINCT e.src, o.field FROM edges e JOIN own o ON e.dst = o.model AND e.field_path = o.field_name WHERE e.edge_type IN ('Writes', 'ActionWrites')),
+found AS (SELECT field, 'input_field' AS source, concat('field:', model_name, '.', input_field) AS sources, NULL AS expr, model AS via, 'high' AS confidence FROM told WHERE input_field IS NOT NULL UNION ALL SELECT field, 'expression', array_to_string(list_transform(expr_models, lambda x: concat('model:', x)), ','), expr, model, CASE WHEN len(expr_models) > 0 THEN 'medium' ELSE 'low' END FROM told WHERE expr IS NOT NULL UNION ALL SELECT field, 'writer', '', NULL, src, 'high' FROM wrote),
+rest AS (SELECT * FROM told WHERE field NOT IN (SELECT field FROM found)),
+chained AS (SELECT DISTINCT field, CASE WHEN d.model IS NULL THEN 'input_node' ELSE 'input_dimension' END AS source, concat('field:', i.name, '.', coalesce(d.name, field_name)) AS sources, NULL AS expr, r.model AS via, 'medium' AS confidence FROM rest r JOIN ins i ON i.src = r.model LEFT JOIN dims d ON d.model = i.dst AND d.dbfield = r.field_name WHERE d.model IS NOT NULL OR concat('field:', i.name, '.', field_name) IN (SELECT id FROM nodes)
+ UNION ALL SELECT DISTINCT field, 'producer_dimension', concat('field:', n.name, '.', d.name), NULL, e.src, 'medium' FROM rest r JOIN edges e ON e.dst = r.model AND e.edge_type = 'OutputsTo' JOIN nodes n ON n.id = e.src JOIN dims d ON d.model = e.src AND d.dbfield = r.field_name)"""
+
+
+@query("g15_field_lineage", p.sql("SELECT * FROM found UNION ALL SELECT * FROM chained", _LINEAGE))
 def field_lineage(t):
-    return dataflow.field_lineage(p.edges(t))
+    n, e = settled(p.nodes(t)), settled(p.edges(t))
+    k = F.expr("cast(regexp_extract(id, '^field:part([0-9]+)', 1) AS BIGINT)")
+    own = n.where("node_type = 'Field'").select(F.col("id").alias("field"), "name", k.alias("k"))
+    expr = F.when((F.col("name") == "qty") & (F.col("k") % 4 == 0), "=model1.x * 2")
+    fields = own.select("field", F.when((F.col("name") == "price") & (F.col("k") % 3 == 0), F.concat(F.lit("in"), F.col("k") % 7)).alias("input_field"), expr.alias("expr"), F.when(F.col("k") % 8 == 0, F.array(F.lit("model1"))).otherwise(F.expr("cast(array() as array<string>)")).alias("expr_models"))
+    key, none = F.col("p_partkey"), F.lit(None).cast("string")
+    dims = t.part.select(p.model_id(key).alias("model"), F.lit(0).alias("place"), F.concat(F.lit("d"), key % 5).alias("name"), F.when(key % 2 == 0, "qty").otherwise("price").alias("dbfield"), none.alias("input_field"), none.alias("exp"))
+    return lineage_of.model_field_lineage(n, e, fields, dims).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("g16_table_lineage", "SELECT concat('t', l_orderkey) AS model, concat('f', l_linenumber) AS name, CASE l_returnflag WHEN 'R' THEN concat('in', s, ',model1.c', k, CASE WHEN l_linenumber % 2 = 0 THEN ',orig' ELSE '' END) WHEN 'A' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'orig' ELSE '' END ELSE CASE WHEN l_linenumber % 2 = 0 THEN 'orig' END END AS sources, CASE WHEN l_returnflag = 'A' THEN 'medium' ELSE 'high' END AS confidence FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS s, CASE WHEN l_returnflag IN ('R', 'A') THEN l_partkey % 9 END AS k FROM lineitem) WHERE l_returnflag IN ('R', 'A') OR l_linenumber % 2 = 0")
+def table_lineage(t):
+    flag = F.col("l_returnflag")
+    exp = F.when(flag == "R", F.concat(F.lit("=model1.c"), F.col("l_partkey") % 9, F.lit(" + 1"))).when(flag == "A", F.concat(F.lit("=x"), F.col("l_partkey") % 9, F.lit(".value")))
+    even = F.col("l_linenumber") % 2 == 0
+    dims = t.lineitem.select(F.concat(F.lit("t"), "l_orderkey").alias("model"), F.concat(F.lit("f"), "l_linenumber").alias("name"), F.when(flag == "R", F.concat(F.lit("in"), "l_suppkey")).alias("input_field"), exp.alias("exp"), F.when(even, "orig").alias("original_field"), F.when(even, F.concat(F.lit("n"), F.col("l_linenumber") - 1)).alias("original_node"))
+    return lineage_of.table_field_lineage(dims).select("model", "name", F.array_join("sources", ",").alias("sources"), "confidence")
 
 
 _DF = """df_fields AS (SELECT concat('m', l_orderkey) AS model, concat('n', l_linenumber) AS node, 'f' AS name, concat('db', l_linenumber) AS dbfield, CASE WHEN l_linenumber > 1 THEN 'f' END AS original_field, CASE WHEN l_linenumber > 1 THEN concat('n', l_linenumber - 1) END AS original_node FROM lineitem GROUP BY ALL)"""
