@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import INTENT_WEIGHTS
@@ -62,3 +63,40 @@ def retrieval_metrics(found: DataFrame, relevant: DataFrame, k: int) -> DataFram
     hits = found.where(F.col("rank") <= k).join(relevant, ["case_id", "node"]).groupBy("case_id").agg(F.count("*").alias("hits"))
     sizes = relevant.groupBy("case_id").agg(F.count("*").alias("n"))
     return sizes.join(hits, "case_id", "left").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), F.avg(F.coalesce("hits", F.lit(0)) / F.lit(k)).alias("precision"))
+
+
+def seed_ranks(edges: DataFrame, seeds: DataFrame, intent: str = "context", restart: float = 0.2, least: float = 1e-4) -> DataFrame:
+    """(seed, node, score): the personalised ranks of many seed groups (seed, node, score) at once, by pushing residuals.
+
+    A residual above least is pushed: a part of it stays as score, the rest goes along the arcs, from a node without arcs
+    back to the group's own seeds. Each group touches only the nodes around it, and all groups push in one join a round;
+    what is left unpushed at a node is below least, so scores are too low by its flow at most.
+    """
+    links = settled(arcs(edges, intent).repartition("src"))
+    total = seeds.where("score > 0").groupBy("seed").agg(F.sum("score").alias("total"))
+    base = settled(seeds.where("score > 0").groupBy("seed", "node").agg(F.sum("score").alias("s")).join(total, "seed").select("seed", "node", (F.col("s") / F.col("total")).alias("weight")))
+    state = settled(base.select("seed", "node", F.lit(0.0).alias("score"), F.col("weight").alias("left")))
+    while True:
+        if state.where(F.col("left") > least).isEmpty():
+            break
+        active = state.where(F.col("left") > least).select("seed", "node", "left")
+        kept = state.select("seed", "node", (F.col("score") + F.when(F.col("left") > least, restart * F.col("left")).otherwise(0.0)).alias("score"), F.when(F.col("left") > least, 0.0).otherwise(F.col("left")).alias("left"))
+        moved = active.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.lit(0.0).alias("score"), ((1 - restart) * F.col("left") * F.col("p")).alias("left"))
+        lost = active.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").groupBy("seed").agg(F.sum("left").alias("mass"))
+        back = base.join(lost, "seed").select("seed", "node", F.lit(0.0).alias("score"), ((1 - restart) * F.col("mass") * F.col("weight")).alias("left"))
+        after = settled(kept.unionByName(moved).unionByName(back).groupBy("seed", "node").agg(F.sum("score").alias("score"), F.sum("left").alias("left")))
+        dropped(state)
+        state = after
+    dropped(links, base)
+    return state.where("score > 0").select("seed", "node", "score")
+
+
+def bridges(edges: DataFrame, targets: DataFrame, intent: str = "context", k: int = 10, least: float = 1e-4) -> DataFrame:
+    """(target, rank, id, score): for each target (target) the k nodes that rank best from it, itself left out; ties by id.
+
+    They are candidates for paths to lead to (``paths.page_anchors`` takes them as bridges), never evidence.
+    """
+    seeds = targets.select(F.col("target").alias("seed"), F.col("target").alias("node"), F.lit(1.0).alias("score")).distinct()
+    ranks = seed_ranks(edges, seeds, intent, least=least).where("node <> seed")
+    rank = F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "node"))
+    return ranks.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("seed").alias("target"), "rank", F.col("node").alias("id"), "score")

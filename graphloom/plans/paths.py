@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import CAUSAL_EDGES
 from ..operators import paths as op
+from ..operators import ranking
 from ..operators.traversal import settled
 from ..sources import projection as p
 from .registry import query
@@ -122,3 +123,10 @@ _FITS = "CASE intent " + " ".join(f"WHEN '{k}' THEN len(list_filter(kinds, lambd
 def intent_paths(t):
     rows = op.selected(op.classified(_paths(t))).withColumn("intent", F.explode(F.array(*[F.lit(x) for x in _INTENTS])))
     return op.partitioned(rows, F.col("intent")).select("intent", "page", _PATH, "status", "reject_reason")
+
+
+# the ranks are pushed until nothing above the threshold is left, which SQL can't unroll; a test compares them with page_rank
+@query("g24_bridges")
+def bridges(t):
+    pages = p.nodes(t).where("node_type = 'Page'").select(F.col("id").alias("target"))
+    return ranking.bridges(settled(p.edges(t)), pages, "value_source").select("target", "rank", "id", F.round("score", 5).alias("score"))

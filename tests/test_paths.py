@@ -6,6 +6,7 @@ import pytest
 
 from graphloom.model import CAUSAL_EDGES
 from graphloom.operators import paths as op
+from graphloom.operators import ranking
 
 NODE = "id string, node_type string, path string, name string"
 EDGE = "src string, dst string, edge_type string, field_path string, meta string"
@@ -254,3 +255,26 @@ def test_field_paths_name_the_writer_of_the_field(spark):
 def test_no_anchors_no_paths(spark):
     n, e = spark.createDataFrame([("page:p", "Page", "p", "p")], NODE), spark.createDataFrame([], EDGE)
     assert op.selected(op.classified(op.page_candidates(n, e, op.page_anchors(n, e)))).collect() == []
+
+
+def test_pushed_ranks_equal_page_rank(spark):
+    nodes, edges = graph(7)
+    e = spark.createDataFrame(edges, EDGE)
+    pages = [n[0] for n in nodes if n[1] == "Page"]
+    seeds = [(p, p, 1.0) for p in pages] + [("both", pages[0], 3.0), ("both", "model:m1", 1.0), ("alone", "nowhere", 2.0)]
+    got = {}
+    for r in ranking.seed_ranks(e, spark.createDataFrame(seeds, "seed string, node string, score double"), "context", least=1e-3).collect():
+        got.setdefault(r.seed, {})[r.node] = r.score
+    for name in ("both", "alone"):
+        own = spark.createDataFrame([(n, x) for s, n, x in seeds if s == name], "node string, score double")
+        exact = {r.node: r.score for r in ranking.page_rank(e, own, "context", tolerance=1e-3).collect()}
+        assert all(abs(got[name].get(n, 0) - exact.get(n, 0)) < 0.02 for n in exact | got[name])
+        assert sum(got[name].values()) > 0.95
+    best = ranking.bridges(e, spark.createDataFrame([(p,) for p in pages], "target string"), "context", k=4, least=1e-3).collect()
+    for p in pages:
+        ranked = sorted(((-round(v, 12), n) for n, v in got[p].items() if n != p))[:4]
+        assert [r.id for r in sorted((r for r in best if r.target == p), key=lambda r: r.rank)] == [n for _, n in ranked]
+    n = spark.createDataFrame(nodes, NODE)
+    with_more = op.page_anchors(n, e, spark.createDataFrame([(r.target, r.id) for r in best], "page string, id string"))
+    held = {(r.page, r.id) for r in with_more.where("anchor = 'bridge'").collect()}
+    assert held >= {(r.target, r.id) for r in best} and held >= {(p, i) for p, a, i, _ in anchors_of(nodes, edges) if a == "bridge"}
