@@ -83,11 +83,6 @@ def health(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     return part(nodes, "nodes").unionByName(part(edges, "edges")).unionByName(part(states, "files"))
 
 
-def patched(index: DataFrame, fresh: DataFrame, pages: DataFrame) -> DataFrame:
-    """An index (node, page) in which only some pages were computed anew; equal to a full rebuild."""
-    return index.join(pages.select("page"), "page", "left_anti").select("node", "page").unionByName(fresh.join(pages.select("page"), "page", "left_semi").select("node", "page"))
-
-
 def tsv(rows: DataFrame) -> DataFrame:
     """(line): tab-separated values; tabs and line ends inside values become spaces, nulls empty."""
     return rows.select(F.concat_ws("\t", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\\t\\r\\n]", " ") for c in rows.columns]).alias("line"))

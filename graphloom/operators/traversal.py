@@ -94,14 +94,36 @@ def data_closure(edges: DataFrame, subtree: DataFrame | None = None) -> DataFram
     return closure(first, inner).select(F.col("target").alias("page"), "node")
 
 
-def page_index(edges: DataFrame) -> DataFrame:
-    """(node, page): every page that a change of the node can affect."""
+def page_index(edges: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(node, page): every page that a change of the node can affect; of some pages (page) only, if they are given."""
     edges = settled(edges.select("src", "dst", "edge_type").distinct())
-    tree = settled(page_subtree(edges))
-    own = edges.where("src LIKE 'page:%'").select(F.col("src").alias("page")).distinct().select("page", F.col("page").alias("node"))
+    tree = page_subtree(edges)
+    own = edges.where("src LIKE 'page:%'").select(F.col("src").alias("page")).distinct()
+    if pages is not None:
+        tree, own = (df.join(pages.select("page").distinct(), "page", "left_semi") for df in (tree, own))
+    tree = settled(tree)
+    own = own.select("page", F.col("page").alias("node"))
     return own.unionByName(tree).unionByName(data_closure(edges, tree)).distinct().select("node", "page")
 
 
+def refreshed_index(index: DataFrame, edges: DataFrame, changed: DataFrame, most: float = 0.5) -> tuple[DataFrame, str]:
+    """An index (node, page) brought up to edges, after changed ones (src, dst) were added or removed, and how: patched or rebuilt.
+
+    What a page reaches changes only by an edge that begins at what it reached before, so the pages of the changed edges'
+    sources are derived anew and no others. An edge without an end is not sure to be understood: it rebuilds the index, and
+    so does a change of more than a part of all pages.
+    """
+    changed = settled(changed.select("src", "dst"))
+    if not changed.where("src IS NULL OR dst IS NULL OR trim(src) = '' OR trim(dst) = ''").isEmpty():
+        return page_index(edges), "rebuilt"
+    sources = changed.select(F.col("src").alias("node")).distinct()
+    dirty = index.join(sources, "node", "left_semi").select("page")
+    dirty = settled(dirty.union(sources.where("node LIKE 'page:%'").select("node")).distinct())
+    if dirty.count() > most * max(1, index.select("page").distinct().count()):
+        return page_index(edges), "rebuilt"
+    return index.join(dirty, "page", "left_anti").select("node", "page").unionByName(page_index(edges, dirty)), "patched"
+
+
 def affected_pages(index: DataFrame, dirty: DataFrame) -> DataFrame:
     """Pages of a set of changed nodes (node)."""
     return index.join(dirty.select("node"), "node", "left_semi").select("page").distinct()

@@ -58,3 +58,30 @@ def test_page_rank_is_converged(spark):
         score = after
     got = {r.node: r.score for r in registry.queries()["g23_converged_page_rank"](spark, SF).collect()}
     assert got.keys() == {x for x, v in score.items() if v > 2.3e-16} and all(abs(got[x] - score[x]) < 2e-9 for x in got)
+
+
+def test_refreshed_index_equals_a_rebuild(spark):
+    import random
+
+    rng = random.Random(11)
+    nodes = {"page": [f"page:{k}" for k in range(6)], "comp": [f"comp:{k}" for k in range(12)], "action": [f"action:{k}" for k in range(8)], "model": [f"model:{k}" for k in range(8)], "field": [f"field:{k}" for k in range(8)]}
+    kinds = [("page", "comp", "Contains"), ("comp", "action", "Triggers"), ("comp", "model", "Reads"), ("action", "field", "FieldWrite"), ("model", "field", "Contains"), ("field", "field", "FieldAlias"), ("model", "model", "DataflowInput")]
+
+    def some(n):
+        return {(rng.choice(nodes[a]), rng.choice(nodes[b]), kind) for a, b, kind in rng.choices(kinds, k=n)}
+
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "src string, dst string, edge_type string")
+    edges, ways = some(45), []
+    index = tr.settled(tr.page_index(frame(edges)))
+    for _ in range(5):
+        gone, new = set(rng.sample(sorted(edges), 2)), some(2)
+        edges = (edges - gone) | new
+        found, way = tr.refreshed_index(index, frame(edges), frame(gone | new), 0.9)
+        ways.append(way)
+        index = tr.settled(found)
+        assert sorted(map(tuple, index.collect())) == sorted(map(tuple, tr.page_index(frame(edges)).collect()))
+    assert "patched" in ways
+    odd = spark.createDataFrame([("comp:1", None)], "src string, dst string")
+    assert tr.refreshed_index(index, frame(edges), odd)[1] == "rebuilt"
+    everything = frame({(p, "comp:1", "Contains") for p in nodes["page"]})
+    assert tr.refreshed_index(index, frame(edges), everything)[1] == "rebuilt"
