@@ -170,12 +170,12 @@ def row_count_gates(t):
 
 
 # a component adds to the value of the one that it refers to, subtracts a parameter from it, or multiplies a field by it
-_VALUES = """form AS (SELECT page, component, ref, CAST(substr(component, 2) AS BIGINT) % 3 AS k FROM refs),
+_TRACES = """form AS (SELECT page, component, ref, CAST(substr(component, 2) AS BIGINT) % 3 AS k FROM refs),
 exprs AS (SELECT page, component, ref, CASE k WHEN 0 THEN concat(ref, '.value + 1') WHEN 1 THEN concat('(', ref, ') - param1') ELSE concat('model1.A * ', ref, '.value') END AS clean, CASE k WHEN 0 THEN '(' WHEN 1 THEN '((' ELSE '(model1.A) * (' END AS pre, CASE k WHEN 0 THEN ') + 1' WHEN 1 THEN ')) - (param1)' ELSE ')' END AS suf FROM form),
 walk AS (SELECT page, component AS start, ref AS here, pre, suf, [component] AS seen FROM exprs UNION ALL SELECT w.page, w.start, e.ref, concat(w.pre, e.pre), concat(e.suf, w.suf), list_append(w.seen, w.here) FROM walk w JOIN exprs e ON e.page = w.page AND e.component = w.here WHERE len(w.seen) < 10 AND NOT list_contains(w.seen, w.here))"""
 
 
-@query("g08_value_traces", p.sql("""SELECT w.page, w.start AS component_id, concat('=', w.pre, e.clean, w.suf) AS expanded, CASE WHEN len(w.seen) = 10 THEN 'TRACE_DEPTH_LIMIT' ELSE 'TRACE_CYCLE' END AS code, w.here AS stopped_at, concat('=', e.clean) AS token, len(list_distinct(list_append(w.seen[2:], w.here))) AS n_chain FROM walk w JOIN exprs e ON e.page = w.page AND e.component = w.here WHERE len(w.seen) = 10 OR list_contains(w.seen, w.here)""", _VALUES))
+@query("g08_value_traces", p.sql("""SELECT w.page, w.start AS component_id, concat('=', w.pre, e.clean, w.suf) AS expanded, CASE WHEN len(w.seen) = 10 THEN 'TRACE_DEPTH_LIMIT' ELSE 'TRACE_CYCLE' END AS code, w.here AS stopped_at, concat('=', e.clean) AS token, len(list_distinct(list_append(w.seen[2:], w.here))) AS n_chain FROM walk w JOIN exprs e ON e.page = w.page AND e.component = w.here WHERE len(w.seen) = 10 OR list_contains(w.seen, w.here)""", _TRACES))
 def value_traces(t):
     refs = p.component_refs(t)
     k = F.substring("component", 2, 20).cast("long") % 3

@@ -129,3 +129,11 @@ def test_bare_symbols(spark):
     rows = spark.createDataFrame([("${X}",), (" ${ a_1 } ",), ("=${X}",), ("${a.b}",), ("${é}",), ("${}",), ("${a}b",), (None,)], "e string")
     assert [r.s for r in rows.select(ex.bare_symbol(F.col("e")).alias("s")).collect()] == ["X", "a_1", None, None, None, None, None, None]
 
+
+
+def test_values_of_expression_fields_are_the_templates(spark):
+    from graphloom.plans import registry
+
+    got = registry.queries()["e07_expression_fields"](spark, "/root/testdata/sf0.001").collect()
+    shapes = [lambda k: f"=c{k}.value", lambda k: f"plain {k}", lambda k: f"a ${{model{k}.x}}", lambda k: ""]
+    assert got and all(r.value == shapes[r.o_orderkey % 4](r.o_orderkey % 9) for r in got)
