@@ -238,6 +238,22 @@ def test_paths_equal_brute_force(spark, seed, depth, most, size):
             assert r.n_files == len({path[x] for x in at})
 
 
+def test_a_full_page_is_searched_no_further(spark, monkeypatch):
+    nodes, edges = graph(3, pages=2, size=12)
+    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE)
+    whole = {(r.page, r.place, tuple(r.nodes), tuple(r.roles)) for r in op.causal_paths(n, e, op.page_anchors(n, e), 4, 4).collect()}
+    asked, search = [], op._searched
+    monkeypatch.setattr(op, "_searched", lambda n, e, known, starts, *a: asked.append(starts.count()) or search(n, e, known, starts, *a))
+    got = {(r.page, r.place, tuple(r.nodes), tuple(r.roles)) for r in op.causal_paths(n, e, None, 4, 4, per_page=6).collect()}
+    assert got == {x for x in whole if x[1] <= 6} and len(got) == 12
+    anchors = op.page_anchors(n, e).where("anchor = 'target'").count()
+    assert 0 < sum(asked) < anchors, (asked, anchors)
+    asked.clear()
+    short = [{(r.page, r.place, tuple(r.nodes)) for r in op.causal_paths(n, e, None, 1, 4, per_page=k).collect()} for k in (9, 1000)]
+    assert short[0] == {x for x in short[1] if x[1] <= 9}
+    assert len(asked) > 2  # the first anchors don't fill a page
+
+
 def test_field_paths_name_the_writer_of_the_field(spark):
     nodes = [("page:p", "Page", "p", "p"), ("comp:p|c", "Component", "p", "c"), ("field:fact.phone", "Field", "fact.tbl", "phone"), ("field:loc.phone", "Field", "p", "phone"), ("action:q|b|w", "Action", "q", "w"), ("action:p|c|own", "Action", "p", "own"), ("action:q|b|other", "Action", "q", "other")]
     edges = [
