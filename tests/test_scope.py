@@ -87,3 +87,25 @@ def test_intents(spark):
     need = ("rejected", "writer_intent_requires_write_edge")
     assert status("writer") == [need, ("proven", None), need, gone]
     assert status("context") == [("proven", None), ("proven", None), ("candidate", None), gone]
+
+
+def test_page_models_meet_texts_by_the_ends_of_names(spark, monkeypatch):
+    nodes = [("page:p", "Page", "p", "p"), ("page:q", "Page", "q", "q"), ("model:Ab", "Model", "m", "x")]
+    nodes += [(f"comp:p|c{k}", "Component", "p", f"Long name {k}") for k in (1, 12, 123)] + [("comp:q|c1", "Component", "q", "abab")]
+    edges = [("page:p", n[0], "Contains") for n in nodes if n[0].startswith("comp:p")] + [("page:q", "comp:q|c1", "Contains")]
+    names = ["", "C1", "c123", "ng NAME 12", "COMP:P|C12", "c", "nothing", "ab", "longer than any text of a node", "name 1"]
+    n, e = spark.createDataFrame(nodes, "id string, node_type string, path string, name string"), spark.createDataFrame(edges, "src string, dst string, edge_type string")
+    asked = spark.createDataFrame([(p, x) for p in ("page:p", "page:q", "page:r") for x in names], "page string, name string")
+    want = {}
+    for page, _, _ in {(x[0], 0, 0) for x in edges}:
+        for name in names:
+            for id_, _, _, called in nodes:
+                if (page, id_, "Contains") in edges and (name.lower() in id_.lower() or name.lower() in called.lower()):
+                    want[page, name, id_] = 100 if id_.lower() == name.lower() else 80
+            if name.lower() == "ab":
+                want[page, name, "model:Ab"] = 60
+    plans, write = [], scope.settled
+    monkeypatch.setattr(scope, "settled", lambda df: plans.append(df.columns) or write(df))
+    found = scope.page_models(n, e, asked)
+    assert {(r.page, r["name"], r.id): r.score for r in found.collect()} == want
+    assert ["page", "name", "key"] in plans  # not every name with every node of its page
