@@ -198,3 +198,16 @@ def test_cross_relations(spark):
     e = edges(spark, [("p", "m", "Reads"), ("p", "m", "Contains"), ("q", "m", "Writes"), ("q", "n", "Reads"), ("r", "n", "Reads")])
     pairs = spark.createDataFrame([("p", "q"), ("q", "r"), ("p", "r")], "a string, b string")
     assert {tuple(r) for r in neighbours.cross_relations(e, pairs).collect()} == {("p", "q", "m", "Contains", "Writes"), ("q", "r", "n", "Reads", "Reads")}
+
+
+def test_context_summary_sums_up_the_rows_of_context(spark):
+    edges = [(f"comp:{k}", f"model:{k % 3}", kind) for k in range(12) for kind in ("Reads", "Writes")[: 1 + k % 2]]
+    edges += [(f"model:{k}", "model:hub", "DataflowInput") for k in range(3)] + [("model:hub", "model:0", "OutputsTo"), ("model:0", "model:0", "Self")] + [edges[0]]
+    e = spark.createDataFrame(edges, "src string, dst string, edge_type string")
+    seeds = spark.createDataFrame([(f"model:{k}",) * 2 for k in (0, 1, 2, "hub", "alone")], "target string, node string")
+    for depth in (1, 2, 3):
+        rows = {}
+        for r in tr.context(e, seeds, depth).collect():
+            rows.setdefault((r.target, r.direction, r.edge_type), []).append((r.src, r.dst))
+        got = {(r.target, r.direction, r.edge_type): (r.n, r.first_src, r.last_dst) for r in tr.context_summary(e, seeds, depth).collect()}
+        assert got == {k: (len(x), min(x)[0], max(d for _, d in x)) for k, x in rows.items()}
