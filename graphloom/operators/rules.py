@@ -85,8 +85,16 @@ def applied(state: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that a and b hold in different numbers: empty if an incremental result equals the rebuilt one."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that a and b hold in different numbers: empty if an incremental result equals the rebuilt one.
+
+    One grouping tells both sides: a row of a counts one, a row of b less one. What is left is repeated in blocks, so
+    that no list grows with the number of copies.
+    """
+    counted = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1))).groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    left = F.abs("_n")
+    rows = counted.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), left - 1, F.lit(10_000).cast("long"))))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(left - F.col("_at"), F.lit(10_000)))))
+    return rows.select(*a.columns, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"))
 
 
 def stale(diagnostics: DataFrame, files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import ENDPOINTS
 from ..operators import conditions as cond
 from ..operators import lookup, neighbours, output, pattern, rules, search
+from ..operators.traversal import settled
 from ..sources import projection as p
 from .registry import query
 
@@ -26,7 +27,7 @@ def type_counts(t):
 
 @query("j01_neighbours", p.sql("SELECT src AS id, 'out' AS direction, edge_type, dst AS neighbour, node_type AS neighbour_type FROM edges JOIN nodes ON id = dst UNION ALL SELECT dst, 'in', edge_type, src, node_type FROM edges JOIN nodes ON id = src"))
 def neighbour_rows(t):
-    return neighbours.neighbours(p.nodes(t), p.edges(t))
+    return neighbours.neighbours(p.nodes(t), settled(p.edges(t).select("src", "dst", "edge_type")))  # read for both directions
 
 
 @query("j02_readers_of_model", p.sql("SELECT dst AS model, count(*) AS n_readers, min(src) AS first_reader FROM edges WHERE edge_type = 'Reads' AND dst LIKE 'model:%' GROUP BY dst"))
@@ -105,7 +106,8 @@ def dangling(t):
 
 @query("j17_existing_edges", p.sql("SELECT DISTINCT * FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)"))
 def existing(t):
-    return neighbours.distinct_edges(neighbours.existing(p.nodes(t), p.edges(t)))
+    # written, or both joins would be made in each family's branch, with all nodes each time
+    return neighbours.distinct_edges(neighbours.existing(settled(p.nodes(t).select("id")), settled(p.edges(t))))
 
 
 _FIND = """SELECT keyword, rank, id, node_type, score, CASE WHEN score >= 100 THEN 'high' WHEN score >= 80 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, CAST(row_number() OVER (PARTITION BY keyword ORDER BY score DESC, id) AS INTEGER) AS rank FROM
@@ -254,7 +256,7 @@ def provenance_rebuild(t):
 
 @query("u06_multiset_difference", p.sql("SELECT src, dst, edge_type, 'left' AS side FROM (SELECT src, dst, edge_type FROM edges EXCEPT ALL SELECT src, dst, edge_type FROM edges WHERE edge_type <> 'OutputsTo')"))
 def multiset_difference(t):
-    e = p.edges(t).select("src", "dst", "edge_type")
+    e = settled(p.edges(t).select("src", "dst", "edge_type"))
     return rules.multiset_difference(e, e.where("edge_type <> 'OutputsTo'"))
 
 

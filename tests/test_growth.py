@@ -4,6 +4,9 @@ from contextlib import contextmanager
 
 import pytest
 
+from graphloom.operators import paths, rules, traversal
+from graphloom.operators.traversal import few, settled
+from graphloom.plans import registry
 from graphloom.sources import projection as p
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,50 @@ def test_action_edges_are_distinct_without_a_shuffle_of_ids(spark, kind):
 def test_edges_of_another_family_read_no_lines(spark):
     plan = _plan(p.edges(p.Tables(spark, SF)).where("edge_type = 'Contains'"))
     assert "lineitem" not in plan and "l_partkey" not in plan
+
+
+def test_few_rows_do_not_shuffle_the_other_side(spark):
+    with _merged(spark):
+        ids = settled(spark.createDataFrame([("a",), ("b",)], "id string"))
+        plan = _plan(spark.range(1000).selectExpr("cast(id as string) AS id").join(few(ids), "id", "left_semi"))
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+
+
+def test_first_steps_of_a_node_lead_to_nodes_alone(spark):
+    nodes = spark.createDataFrame([(x, "Component", "p") for x in ("a", "c", "d", "e")], "id string, node_type string, path string")
+    edges = spark.createDataFrame([("a", x, "Contains", None) for x in ("b", "c", "c", "d", "e")], "src string, dst string, edge_type string, field_path string")
+    starts = settled(spark.createDataFrame([("a",)], "id string"))
+    # b is no node and takes no place, c counts once
+    assert sorted(r.dst for r in paths.causal_steps(nodes, edges, starts, 2).collect()) == ["c", "d"]
+    assert sorted(r.dst for r in paths.causal_steps(nodes, edges, starts).collect()) == ["c", "d", "e"]
+
+
+def test_multiset_difference_groups_once_and_tells_both_sides(spark):
+    a = spark.createDataFrame([("x",)] * 3 + [("y",)] + [(None,)] * 2, "k string")
+    b = spark.createDataFrame([("x",)] + [("y",)] + [("z",)] * 2, "k string")
+    found = rules.multiset_difference(a, b)
+    assert _plan(found).count("Exchange hashpartitioning") == 1
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, [("x", "left")] * 2 + [(None, "left")] * 2 + [("z", "right")] * 2))
+    many = rules.multiset_difference(spark.range(25_003).selectExpr("'x' AS k"), b.where("k = 'z'"))
+    assert {r.side: r["count"] for r in many.groupBy("side").count().collect()} == {"left": 25_003, "right": 2}
+
+
+@pytest.mark.parametrize("query", ["g35_page_logic", "j07_model_query"])
+def test_no_row_is_repeated_to_be_counted(spark, query):
+    assert "Expand" not in _plan(registry.queries()[query](spark, SF))
+
+
+@pytest.mark.parametrize("query", ["j01_neighbours", "j17_existing_edges"])
+def test_edges_are_made_once(spark, query):
+    assert "lineitem" not in _plan(registry.queries()[query](spark, SF))
+
+
+def test_late_hops_do_not_shuffle_what_is_known(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(traversal, "settled", lambda df: (seen.append(_plan(df)), settled(df))[1])
+    seeds = spark.createDataFrame([("t", "n0")], "target string, node string")
+    links = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)] + [("n4", "n1"), ("n0", "n3")], "src string, dst string")
+    with _merged(spark):
+        found = traversal.closure(seeds, links)
+    assert sorted((r.node, r.depth) for r in found.collect()) == [("n0", 0), ("n1", 1), ("n2", 2), ("n3", 1), ("n4", 2)]
+    assert any("LeftAnti" in x and "BroadcastHashJoin" in x for x in seen)
