@@ -68,10 +68,14 @@ def page_risks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def page_logic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(page, n_actions, n_sources, n_sinks, n_targets, targets) of all pages at once."""
-    rows = edges.join(parent_pages(nodes, edges), F.col("src") == F.col("id")).select("page", "dst", "edge_type").distinct()
-    of = lambda *kinds: F.when(F.col("edge_type").isin(*kinds), F.col("dst"))
-    models = F.when(F.col("dst").startswith("model:"), of("Reads", "ActionReads"))
-    counts = rows.groupBy("page").agg(F.count_distinct(of("Triggers")).alias("n_actions"), F.count_distinct(models).alias("n_sources"), F.count_distinct(of("Writes", "ActionWrites")).alias("n_sinks"), F.count_distinct(of("ActionNavigates")).alias("n_targets"), F.array_join(F.array_sort(F.collect_set(of("ActionNavigates"))), ",").alias("targets"))
+    kind, to_model = F.col("edge_type"), F.col("dst").startswith("model:")
+    group = F.when(kind == "Triggers", "action").when(kind.isin("Reads", "ActionReads") & to_model, "source").when(kind.isin("Writes", "ActionWrites"), "sink").when(kind == "ActionNavigates", "target")
+    # what no count needs is not joined, and an end counts once in its group, so plain counts do
+    some = edges.select("src", "dst", group.alias("group")).where("group IS NOT NULL AND dst IS NOT NULL")
+    rows = some.join(parent_pages(nodes, edges), F.col("src") == F.col("id")).select("page", "dst", "group").distinct()
+    n = lambda x: F.count_if(F.col("group") == x)
+    targets = F.array_join(F.array_sort(F.collect_list(F.when(F.col("group") == "target", F.col("dst")))), ",")
+    counts = rows.groupBy("page").agg(n("action").alias("n_actions"), n("source").alias("n_sources"), n("sink").alias("n_sinks"), n("target").alias("n_targets"), targets.alias("targets"))
     pages = nodes.where("node_type = 'Page'").select(F.col("id").alias("page"))
     return pages.join(counts, "page", "left").na.fill(0).na.fill("")
 
