@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .traversal import FEW, settled
+
 
 def by_id(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """Point lookups of a table of ids (target)."""
@@ -84,11 +86,13 @@ def normalise_targets(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     parts that are written, of an id with more; 4 an id whose parts end a longer target; 5 the node's own name alone;
     6 another file, all other parts equal. One id in the tier resolves the target, several make it ambiguous (the first
     ones, sorted, are given). Case and file suffixes do not matter but in tier 0. Every tier is an equi-join: names that
-    a node may go by are exploded from its own path.
+    a node may go by are exploded from its own path. All ids of a page share some of these names, so few targets are sent
+    to the nodes, which are read and not shuffled, and what a target means is cut before its rows meet.
     """
     starts = lambda c: F.array_contains(F.array(*[F.lit(x) for x in TARGET_PREFIXES]), F.concat(F.substring_index(c, ":", 1), F.lit(":")))
-    t = targets.select("target").distinct().where(starts(F.col("target"))).withColumn("w", _split(F.col("target")))
-    n = nodes.select("id").where(starts(F.col("id"))).withColumn("h", _split(F.col("id")))
+    known = settled(targets.select("target").distinct().where(starts(F.col("target"))))
+    t = known.withColumn("w", _split(F.col("target")))
+    n = settled(nodes.select("id").where(starts(F.col("id")))).withColumn("h", _split(F.col("id")))
     size = lambda x: F.size(f"{x}.parts")
     first = lambda x: F.get(f"{x}.parts", F.lit(0))
     last = lambda x: F.element_at(f"{x}.parts", -1)
@@ -99,27 +103,29 @@ def normalise_targets(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     same = every.select("id", "kind", "size", "file", _rest(F.col("parts"), F.col("size")).alias("rest"))
     heads = every.where("size > 1").select("id", "kind", "file", "parts", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("size")).select("id", "kind", "size", "file", _rest(F.col("parts"), F.col("size")).alias("rest"))
     ends = t.where(size("w") > 1).select("target", "w.kind", F.explode(F.transform(F.sequence(F.lit(2), size("w")), lambda k: F.array_join(F.slice("w.parts", k, size("w")), "|"))).alias("end"))
-    parts_of = lambda df, cols: df.select(*cols)
+    asked = F.broadcast if known.count() <= FEW else lambda df: df
     tiers = [
-        (0, t.join(n, F.col("target") == F.col("id"))),
-        (1, whole.join(same, ["kind", "size", "file", "rest"])),
-        (2, parts_of(t, ["target", F.col("w.kind").alias("k"), F.lower("w.content").alias("c")]).join(n.select("id", F.col("h.kind").alias("kind"), F.lower("h.content").alias("c")), "c").where("k <> kind")),
-        (3, whole.join(heads, ["kind", "size", "file", "rest"])),
-        (4, ends.join(n.select("id", "h.kind", joined("h").alias("end")), ["kind", "end"])),
-        (5, whole.where("size = 1").select("target", "kind", "file").join(n.where(size("h") > 1).select("id", "h.kind", F.explode(_forms(last("h"))).alias("file")), ["kind", "file"])),
-        (6, whole.where("size > 1").select("target", "kind", "size", "rest").join(n.select("id", "h.kind", size("h").alias("size"), _rest(F.col("h.parts"), size("h")).alias("rest")), ["kind", "size", "rest"])),
+        (0, n.join(asked(t.select("target")), F.col("target") == F.col("id"))),
+        (1, same.join(asked(whole), ["kind", "size", "file", "rest"])),
+        (2, n.select("id", "h.kind", F.lower("h.content").alias("c")).join(asked(t.select("target", F.col("w.kind").alias("k"), F.lower("w.content").alias("c"))), "c").where("k <> kind")),
+        (3, heads.join(asked(whole), ["kind", "size", "file", "rest"])),
+        (4, n.select("id", "h.kind", joined("h").alias("end")).join(asked(ends), ["kind", "end"])),
+        (5, n.where(size("h") > 1).select("id", "h.kind", F.explode(_forms(last("h"))).alias("file")).join(asked(whole.where("size = 1").select("target", "kind", "file")), ["kind", "file"])),
+        (6, n.select("id", "h.kind", size("h").alias("size"), _rest(F.col("h.parts"), size("h")).alias("rest")).join(asked(whole.where("size > 1").select("target", "kind", "size", "rest")), ["kind", "size", "rest"])),
     ]
     found = None
     for tier, rows in tiers:
-        rows = rows.select("target", F.lit(tier).alias("tier"), "id").distinct()
+        rows = rows.select("target", F.lit(tier).alias("tier"), "id")
         found = rows if found is None else found.unionByName(rows)
-    best = found.groupBy("target").agg(F.min("tier").alias("tier"))
-    ranked = found.join(best, ["target", "tier"]).withColumn("k", F.row_number().over(W.partitionBy("target").orderBy("id")))
-    kept = ranked.where(F.col("k") <= MOST_CANDIDATES).groupBy("target", "tier").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # a tier may have an id more than once: equal rows have one rank, and the first tier has the first ranks
+    place = F.dense_rank().over(W.partitionBy("target").orderBy("tier", "id"))
+    first_ones = settled(found.withColumn("k", place).where(F.col("k") <= MOST_CANDIDATES).select("target", "tier", "id").distinct())
+    best = first_ones.groupBy("target").agg(F.min("tier").alias("tier"))
+    kept = first_ones.join(best, ["target", "tier"]).groupBy("target", "tier").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     status = F.when(F.col("tier") == 0, "exact").when(F.size("ids") == 1, "resolved").otherwise("ambiguous")
-    known = kept.select("target", "tier", status.alias("status"), F.array_join("ids", ",").alias("ids"))
-    lost = targets.select("target").distinct().join(known, "target", "left_anti").select("target", F.lit(-1).alias("tier"), F.lit("not_found").alias("status"), F.lit("").alias("ids"))
-    return known.unionByName(lost)
+    meant = kept.select("target", "tier", status.alias("status"), F.array_join("ids", ",").alias("ids"))
+    lost = targets.select("target").distinct().join(meant, "target", "left_anti").select("target", F.lit(-1).alias("tier"), F.lit("not_found").alias("status"), F.lit("").alias("ids"))
+    return meant.unionByName(lost)
 
 
 def with_prefix(nodes: DataFrame, start: str, limit: int | None = None) -> DataFrame:

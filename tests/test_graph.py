@@ -194,6 +194,18 @@ def test_targets_are_normalised(spark):
     assert {r.target: (r.ids, r.tier, r.status) for r in got} == asked
 
 
+def test_few_targets_are_sent_to_the_nodes_and_cut_before_their_ids_meet(spark, monkeypatch):
+    ids = [f"comp:app/p.spg|c{k:03}" for k in range(200)] + [f"action:app/p.spg|c{k:03}|a" for k in range(200)]
+    nodes = spark.createDataFrame([(x,) for x in ids], "id string")
+    written, real = [], lookup.settled
+    monkeypatch.setattr(lookup, "settled", lambda df: written.append(df) or real(df))
+    got = lookup.normalise_targets(nodes, spark.createDataFrame([("comp:p",), ("action:P.spg",), ("action:q.spg|c003|a",)], "target string")).collect()
+    assert {r.target: (r.tier, r.status, r.ids.split(",")) for r in got} == {"comp:p": (3, "ambiguous", ids[:12]), "action:P.spg": (3, "ambiguous", ids[200:212]), "action:q.spg|c003|a": (6, "resolved", [ids[203]])}
+    cut = [df for df in written if "tier" in df.columns]
+    plan = cut[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(cut) == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and cut[0].count() <= 3 * 12
+
+
 def test_cross_relations(spark):
     e = edges(spark, [("p", "m", "Reads"), ("p", "m", "Contains"), ("q", "m", "Writes"), ("q", "n", "Reads"), ("r", "n", "Reads")])
     pairs = spark.createDataFrame([("p", "q"), ("q", "r"), ("p", "r")], "a string, b string")
