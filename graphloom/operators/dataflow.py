@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .traversal import closure, settled
+from .traversal import closure, dealt, settled
 
 
 def filter_roles(df_nodes: DataFrame, df_deps: DataFrame) -> DataFrame:
@@ -61,15 +61,18 @@ def field_trace(fields: DataFrame, start: DataFrame) -> DataFrame:
 
     fields has (model, node, name, dbfield, original_field, original_node), start (model, node, field). A field matches
     a record by its name, else by its dbfield. It stops at an unknown node or field, at a record without an origin, or
-    at a repetition, so every chain ends.
+    at a repetition, so every chain ends. Records are written once and meet each hop in parts of a limited size.
     """
+    fields, key = settled(fields), ["model", "node", "field"]
+    n = fields.count()
     by_name = fields.select("model", "node", F.col("name").alias("field"), "original_field", "original_node", F.lit(0).alias("way"))
     by_db = fields.where("dbfield <> name").select("model", "node", F.col("dbfield").alias("field"), "original_field", "original_node", F.lit(1).alias("way"))
-    record = by_name.unionByName(by_db).groupBy("model", "node", "field").agg(F.min(F.struct("way", "original_node", "original_field")).alias("r"))
+    record = settled(dealt(by_name.unionByName(by_db), 2 * n, *key).groupBy(*key).agg(F.min(F.struct("way", "original_node", "original_field")).alias("r")))
+    record = dealt(record, 2 * n, *key)
     at = start.select("model", F.col("field").alias("wanted"), "node", "field", F.array(F.concat_ws(".", "node", "field")).alias("path"))
     out = None
     while True:
-        step = settled(at.join(record, ["model", "node", "field"], "left"))
+        step = settled(at.join(record, key, "left"))
         to = F.concat_ws(".", "r.original_node", "r.original_field")
         stop = F.when(F.col("r").isNull(), "unknown").when(F.col("r.original_node").isNull() | F.col("r.original_field").isNull(), "origin").when(F.array_contains("path", to), "cycle")
         rows = step.withColumn("stop", stop)

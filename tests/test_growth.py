@@ -104,3 +104,16 @@ def test_page_rank_converges_in_few_rounds(spark, monkeypatch):
         rank = step
     assert got.keys() == rank.keys()
     assert max(abs(got[k] - rank[k]) for k in rank) < 1e-9
+
+
+def test_field_trace_deals_its_records_by_their_number(spark, monkeypatch):
+    from graphloom.operators import dataflow
+
+    monkeypatch.setattr(traversal, "SHARE", 2)
+    written = []
+    monkeypatch.setattr(dataflow, "settled", lambda df: written.append(df.rdd.getNumPartitions()) or settled(df))
+    rows = [("m", f"n{k}", "f", f"db{k}", "f" if k > 1 else None, f"n{k - 1}" if k > 1 else None) for k in range(1, 21)]
+    fields = spark.createDataFrame(rows, "model string, node string, name string, dbfield string, original_field string, original_node string")
+    got = dataflow.field_trace(fields, spark.createDataFrame([("m", "n20", "db20")], "model string, node string, field string")).collect()
+    assert [(r.path, r.stop) for r in got] == [("<".join(["n20.db20", *[f"n{k}.f" for k in range(19, 0, -1)]]), "origin")]
+    assert max(written) == 20  # 40 records, though a shuffle has 4 parts by default
