@@ -117,3 +117,13 @@ def test_field_trace_deals_its_records_by_their_number(spark, monkeypatch):
     got = dataflow.field_trace(fields, spark.createDataFrame([("m", "n20", "db20")], "model string, node string, field string")).collect()
     assert [(r.path, r.stop) for r in got] == [("<".join(["n20.db20", *[f"n{k}.f" for k in range(19, 0, -1)]]), "origin")]
     assert max(written) == 20  # 40 records, though a shuffle has 4 parts by default
+
+
+def test_field_lineage_writes_models_and_fields_alone(spark, monkeypatch):
+    from graphloom.plans import traversals
+
+    written = []
+    monkeypatch.setattr(traversals, "settled", lambda df: written.append(settled(df)) or written[-1])
+    at = "/root/testdata/sf0.001"
+    assert registry.queries()["g15_field_lineage"](spark, at).count() > 0
+    assert len(written) == 1 and written[0].count() == 3 * spark.read.parquet(f"{at}/part.parquet").count()
