@@ -273,6 +273,17 @@ def test_no_anchors_no_paths(spark):
     assert op.selected(op.classified(op.page_candidates(n, e, op.page_anchors(n, e)))).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 7])
+def test_anchor_counts_equal_the_anchors_counted(spark, seed):
+    nodes, edges = graph(seed)
+    n, e = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges + edges[:5], EDGE)
+    ids = {}
+    for r in op.page_anchors(n, e).collect():
+        ids.setdefault((r.page, r.anchor), set()).add(r.id)
+    assert {"target", "source", "sink", "bridge", "excluded"} >= {a for _, a in ids} >= {"target", "source", "bridge"}
+    assert {(r.page, r.anchor): (r.n, r.first_id) for r in op.anchor_counts(n, e).collect()} == {k: (len(x), min(x)) for k, x in ids.items()}
+
+
 def test_pushed_ranks_equal_page_rank(spark):
     nodes, edges = graph(7)
     e = spark.createDataFrame(edges, EDGE)
