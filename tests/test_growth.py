@@ -127,3 +127,23 @@ def test_field_lineage_writes_models_and_fields_alone(spark, monkeypatch):
     at = "/root/testdata/sf0.001"
     assert registry.queries()["g15_field_lineage"](spark, at).count() > 0
     assert len(written) == 1 and written[0].count() == 3 * spark.read.parquet(f"{at}/part.parquet").count()
+
+
+def test_requests_of_page_models_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import scope
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(x):
+        seen.add(1)
+        return x
+
+    nodes = spark.createDataFrame([("page:p", "Page", "p"), ("comp:a", "Component", "p"), ("model:m", "Model", "m.tbl"), ("model:n", "Model", "")], "id string, node_type string, path string")
+    said = '{"target_model_path": "k.tbl"}'
+    edges = spark.createDataFrame([("comp:a", "model:m", "Reads", None, said), ("comp:a", "model:m", "Writes", None, None), ("comp:a", "model:n", "Reads", None, None)], "src string, dst string, edge_type string, field_path string, meta string")
+    asked = spark.createDataFrame([("page:p", x) for x in ("m", "n", "o")], "page string, model string").select("page", made("model").alias("model"))
+    got = {r.model: r.path for r in scope.page_scoped_models(nodes, edges, asked).collect()}
+    assert got == {"m": "k.tbl", "n": None, "o": None} and seen.value == 3
