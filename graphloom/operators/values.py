@@ -103,8 +103,8 @@ def _meant(name: Column, comp: Column, source: Column, param: Column) -> Column:
     )
 
 
-def _read_on_page(expressions: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
-    """(page, raw_expr, clean, bad, refs) for each text of a page; refs say what is put in (put), or which component's value (target), or the issue."""
+def _read_on_page(expressions: DataFrame, known: dict[str, DataFrame], values: DataFrame) -> DataFrame:
+    """(page, raw_expr, clean, bad, refs) for each text of a page; refs say what is put in (put), or which component's value (target, value), or the issue."""
     texts = expressions.select("raw_expr").distinct().mapInArrow(_read, "raw_expr string, clean string, bad boolean, refs array<struct<i:int,token:string,name:string,begin:int,end:int>>")
     rows = settled(expressions.select("page", "raw_expr").distinct().join(texts, "raw_expr"))
     each = rows.select("page", "raw_expr", F.explode("refs").alias("r")).select("page", "raw_expr", "r.*")
@@ -117,7 +117,8 @@ def _read_on_page(expressions: DataFrame, known: dict[str, DataFrame]) -> DataFr
     value = ((F.col("m.kind") == "component_value") & F.col("m.member").isin("value", "bare")) | ((F.col("m.kind") == "component_property") & (F.col("m.member") == "value"))
     put = F.when(F.col("m.kind") == "model_field", F.concat(F.lit("("), "m.id", F.lit("."), "m.member", F.lit(")"))).when(F.col("m.kind") == "param", F.concat(F.lit("("), "m.id", F.lit(")")))
     issue = F.when(value, None).when(F.col("m.kind") == "other", "TRACE_UNRESOLVED_REFERENCE").when(F.col("m.kind").isin("component_property", "component_value"), "TRACE_PROPERTY_NOT_EXPANDED")
-    made = each.select("page", "raw_expr", F.struct("i", "token", "begin", "end", F.when(value, F.col("m.id")).alias("target"), put.alias("put"), issue.alias("issue")).alias("r"))
+    each = each.withColumns({"target": F.when(value, F.col("m.id")), "put": put, "issue": issue}).join(values, ["page", "target"], "left")
+    made = each.select("page", "raw_expr", F.struct("i", "token", "begin", "end", "target", "put", "issue", "value").alias("r"))
     refs = made.groupBy("page", "raw_expr").agg(F.array_sort(F.collect_list("r")).alias("refs"))
     return rows.drop("refs").join(refs, ["page", "raw_expr"], "left")
 
@@ -133,8 +134,9 @@ def value_traces(expressions: DataFrame, components: DataFrame, sources: DataFra
     what the page has. A component with several values has the first one by text; texts grow with what they name.
     """
     known = {"comp": components, "source": sources, "param": params}
-    read = settled(_read_on_page(expressions, known))
-    values = settled(expressions.where("field = 'value'").groupBy("page", F.col("component_id").alias("target")).agg(F.min("raw_expr").alias("value")))
+    # a reference has its component's value with it, so that no level looks it up again
+    values = expressions.where("field = 'value'").groupBy("page", F.col("component_id").alias("target")).agg(F.min("raw_expr").alias("value"))
+    read = settled(_read_on_page(expressions, known, values))
     root = F.struct("component_id", "field").alias("root")
     at = settled(expressions.select("page", root, F.expr("cast(array() as array<int>)").alias("path"), "component_id", "raw_expr", F.array(F.concat_ws("\n", "component_id", "field")).alias("stack"), F.lit("ok").alias("state")).distinct())
     levels = []
@@ -143,7 +145,7 @@ def value_traces(expressions: DataFrame, components: DataFrame, sources: DataFra
         here = at.withColumn("state", F.when(F.lit(left == 0), "TRACE_DEPTH_LIMIT").otherwise(F.col("state")))
         here = settled(here.join(read, ["page", "raw_expr"]))
         levels.append(here)
-        step = here.where("state = 'ok'").select("page", "root", "path", "stack", F.explode("refs").alias("r")).where("r.target IS NOT NULL").select("page", "root", "path", "stack", "r.i", "r.target").join(values, ["page", "target"])
+        step = here.where("state = 'ok'").select("page", "root", "path", "stack", F.explode("refs").alias("r")).where("r.value IS NOT NULL").select("page", "root", "path", "stack", "r.i", "r.target", "r.value")
         key = F.concat_ws("\n", "target", F.lit("value"))
         at = settled(step.select("page", "root", F.concat("path", F.array("i")).alias("path"), F.col("target").alias("component_id"), F.col("value").alias("raw_expr"), F.concat("stack", F.array(key)).alias("stack"), F.when(F.array_contains("stack", key), "TRACE_CYCLE").otherwise("ok").alias("state")))
     below = None
@@ -160,7 +162,7 @@ def value_traces(expressions: DataFrame, components: DataFrame, sources: DataFra
         inside = lambda r: F.when(own(r)["composite"] & ~alone(r), F.concat(F.lit("("), own(r)["text"], F.lit(")"))).otherwise(own(r)["text"])
         piece = lambda r: F.coalesce(inside(r), r["put"], r["token"])
         start = F.struct(F.lit("").alias("text"), F.lit(0).alias("upto"))
-        joined = F.aggregate(F.coalesce("refs", F.expr("cast(array() as array<struct<i:int,token:string,begin:int,end:int,target:string,put:string,issue:string>>)")), start, lambda a, r: F.struct(F.concat(a["text"], F.substring("clean", a["upto"] + 1, r["begin"] - a["upto"]), piece(r)).alias("text"), r["end"].alias("upto")), lambda a: F.concat(a["text"], F.substring("clean", a["upto"] + 1, F.length("clean"))))
+        joined = F.aggregate(F.coalesce("refs", F.expr("cast(array() as array<struct<i:int,token:string,begin:int,end:int,target:string,put:string,issue:string,value:string>>)")), start, lambda a, r: F.struct(F.concat(a["text"], F.substring("clean", a["upto"] + 1, r["begin"] - a["upto"]), piece(r)).alias("text"), r["end"].alias("upto")), lambda a: F.concat(a["text"], F.substring("clean", a["upto"] + 1, F.length("clean"))))
         text = F.when(F.col("state") == "ok", joined).otherwise(F.col("clean"))
         done = here.select("page", "root", "path", text.alias("text"))
         schema = ", ".join(f"`{n}` {t}" for n, t in done.dtypes) + ", composite boolean"
@@ -172,8 +174,7 @@ def value_traces(expressions: DataFrame, components: DataFrame, sources: DataFra
         entry = F.array_compact(F.array(F.when(F.col("state") != "ok", F.struct(F.concat("path", F.array(F.lit(-1))).alias("at"), F.col("state").alias("code"), "component_id", F.col("raw_expr").alias("token"))), F.when((F.col("state") == "ok") & F.col("bad"), F.struct(F.concat("path", F.array(F.lit(-1))).alias("at"), F.lit("TRACE_UNSUPPORTED_EXPRESSION").alias("code"), "component_id", F.col("raw_expr").alias("token")))))
         one = here.select("page", "root", F.explode(entry).alias("x")).select("page", "root", "x.*")
         refs = here.where("state = 'ok'").select("page", "root", "path", "component_id", F.explode("refs").alias("r"))
-        refs = refs.join(values.select(F.col("page").alias("p"), F.col("target").alias("t"), F.lit(True).alias("has")), (F.col("page") == F.col("p")) & (F.col("r.target") == F.col("t")), "left")
-        code = F.coalesce(F.col("r.issue"), F.when(F.col("r.target").isNotNull() & F.col("has").isNull(), "TRACE_MISSING_VALUE"))
+        code = F.coalesce(F.col("r.issue"), F.when(F.col("r.target").isNotNull() & F.col("r.value").isNull(), "TRACE_MISSING_VALUE"))
         two = refs.select("page", "root", F.concat("path", F.array("r.i")).alias("at"), code.alias("code"), "component_id", F.col("r.token").alias("token")).where("code IS NOT NULL")
         both = one.unionByName(two)
         told = both if told is None else told.unionByName(both)

@@ -147,3 +147,21 @@ def test_requests_of_page_models_are_made_once(spark):
     asked = spark.createDataFrame([("page:p", x) for x in ("m", "n", "o")], "page string, model string").select("page", made("model").alias("model"))
     got = {r.model: r.path for r in scope.page_scoped_models(nodes, edges, asked).collect()}
     assert got == {"m": "k.tbl", "n": None, "o": None} and seen.value == 3
+
+
+def test_levels_of_value_traces_look_no_value_up(spark, monkeypatch):
+    from graphloom.operators import values
+
+    plans = []
+
+    def spied(df):
+        if "stack" in df.columns and "refs" not in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(values, "settled", spied)
+    e = spark.createDataFrame([("p", "a", "value", "=b.value + 1"), ("p", "b", "value", "=c.value + gone.value"), ("p", "c", "value", "=2")], "page string, component_id string, field string, raw_expr string")
+    comps = spark.createDataFrame([("p", x) for x in ("a", "b", "c", "gone")], "page string, id string")
+    none = spark.createDataFrame([], "page string, id string")
+    got = {r.component_id: (r.expanded, [i["code"] for i in r.issues]) for r in values.value_traces(e, comps, none, none).collect()}
+    assert got["a"] == ("=(2 + gone.value) + 1", ["TRACE_MISSING_VALUE"]) and len(plans) == 4 and not any("Join" in x for x in plans)
