@@ -187,3 +187,17 @@ def test_keywords_are_looked_up_without_an_index_of_all_texts(spark):
             best += [(-score, r.id, r.node_type)] * (score > 0)
         expected |= {(w, k, i, kind, -s) for k, (s, i, kind) in enumerate(sorted(best)[:4], 1)}
     assert {tuple(r) for r in found.select("keyword", "rank", "id", "node_type", "score").collect()} == expected
+
+
+def test_rounds_of_page_rank_shuffle_ranks_alone(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", "Reads"), ("b", "c", "Contains"), ("c", "d", "DataflowInput")], "src string, dst string, edge_type string")
+    rounds = []
+    monkeypatch.setattr(ranking, "settled", lambda df: ("next" in df.columns and rounds.append((df.schema["node"].dataType.simpleString(), _plan(df))), settled(df))[1])
+    with _merged(spark):
+        got = ranking.page_rank(edges, spark.createDataFrame([("a", 1.0)], "node string, score double"), "value_source", iterations=3, tolerance=0.0)
+    assert {r.node for r in got.collect()} == {"a", "b", "c", "d"}
+    # arcs are met as they lie: below the join no exchange but that of the ranks, and the one sum's
+    assert len(rounds) == 4
+    for kind, plan in rounds[1:]:
+        scan = next(x for x in plan.split("\n") if "InMemoryTableScan" in x)
+        assert kind == "bigint" and "Exchange" not in plan.split(scan)[0].split("SortMergeJoin")[1].split("Exchange", 1)[1]
