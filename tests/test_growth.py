@@ -201,3 +201,13 @@ def test_rounds_of_page_rank_shuffle_ranks_alone(spark, monkeypatch):
     for kind, plan in rounds[1:]:
         scan = next(x for x in plan.split("\n") if "InMemoryTableScan" in x)
         assert kind == "bigint" and "Exchange" not in plan.split(scan)[0].split("SortMergeJoin")[1].split("Exchange", 1)[1]
+
+
+def test_context_of_neighbours_writes_edges_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(traversal, "settled", lambda df: (written.append(df.columns), settled(df))[1])
+    edges = spark.createDataFrame([("a", "b", "Reads"), ("b", "a", "Reads"), ("b", "c", "Writes"), ("c", "d", "Reads")], "src string, dst string, edge_type string")
+    seeds = spark.createDataFrame([("a", "a")], "target string, node string")
+    got = {(r.direction, r.edge_type): (r.n, r.first_src, r.last_dst) for r in traversal.context_summary(edges, seeds, 2).collect()}
+    assert got == {("downstream", "Reads"): (2, "a", "b"), ("upstream", "Reads"): (2, "a", "b"), ("downstream", "Writes"): (1, "b", "c")}
+    assert [x for x in written if "src" in x] == [["src", "dst", "edge_type"]]
